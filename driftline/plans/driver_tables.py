@@ -7,12 +7,14 @@ nation; many have no trajectory. All views are lazy and read whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions.text import slug
+from driftline.functions.geo import envelope_columns
+from driftline.functions.text import iso_time, slug
 from driftline.operators import temporal
 from driftline.session import configure
+from driftline.sources.export import mfjson_point
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 
@@ -119,6 +121,178 @@ class DriverTables:
             )
         )
 
+    @property
+    def reports(self) -> DataFrame:
+        """Position reports to the full hour, so that copies of (ship, time) occur.
+
+        Some texts are placeholders or missing and some positions lie outside the area.
+        """
+        kind = F.col("event_type")
+
+        def text(special: dict[str, str | None], usual) -> Column:
+            out = usual
+            for name, value in special.items():
+                out = F.when(kind == name, F.lit(value)).otherwise(out)
+            return out
+
+        ship = F.col("feature_id").cast("string")
+        k, v = F.col("y"), F.col("x")
+        return self.tracks.select(
+            F.date_trunc("HOUR", "t").alias("t"),
+            F.col("feature_id").alias("mmsi"),
+            (F.lit(54.0) + k / 50).alias("lat"),
+            (F.lit(4.0) + v / 15).alias("lon"),
+            F.when(k != 0, k / 4).alias("sog"),
+            v.alias("cog"),
+            F.when(k < 90, k * 3).alias("heading"),
+            text({"signup": "Undefined", "error": "Unknown value"}, kind).alias("navigational_status"),
+            text({"error": "Unknown"}, F.concat(F.lit("IMO"), ship)).alias("imo"),
+            text({"view": "Unknown"}, F.concat(F.lit("C"), ship, kind)).alias("callsign"),
+            text({"error": "Unknown", "click": ""}, F.concat(F.lit("Ship "), ship, kind)).alias("name"),
+            text({"signup": "Undefined"}, kind).alias("ship_type"),
+            text({"purchase": "Undefined"}, F.concat(F.lit("Cargo "), kind)).alias("cargo_type"),
+            text({"view": "Unknown", "signup": "Undefined", "error": None},
+                 F.concat(F.lit("Port "), k.cast("int").cast("string"))).alias("destination"),
+            text({"click": "Undefined"}, F.lit("GPS")).alias("type_of_position_fixing_device"),
+            F.lit("Class A").alias("type_of_mobile"),
+            (k * 2).alias("length"),
+            (k / 2).alias("width"),
+            (v / 50).alias("draught"),
+        )
+
+    @property
+    def requests(self) -> DataFrame:
+        """One request per order. By order status the collection is right, another or unknown."""
+        nation = self.table("nation").select("n_nationkey", "n_name")
+        code = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+        right = slug(F.col("n_name"))
+        other = F.concat(F.lit("nation_"), ((F.col("c_nationkey") + 1) % 25).cast("string"))
+        name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), code + 1)
+        return (
+            self.table("orders")
+            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(
+                F.col("o_orderkey").alias("request_id"),
+                F.when(F.col("o_orderstatus") == "F", slug(F.col("o_orderpriority")))
+                .when(F.col("o_orderstatus") == "P", other)
+                .otherwise(right)
+                .alias("collection_id"),
+                F.col("o_custkey").alias("feature_id"),
+                (F.col("o_custkey") * 10 + code).alias("geom_id"),
+                name.alias("property_name"),
+                F.dayofmonth("o_orderdate").alias("day"),
+                F.col("o_orderpriority").alias("priority"),
+                F.col("o_orderstatus").alias("status"),
+            )
+        )
+
+    @property
+    def regions(self) -> DataFrame:
+        """A rectangle per supplier, with corners in any order."""
+        x = F.col("s_suppkey") % 100 * 4.0
+        y = F.col("s_nationkey") * 4.0
+        side = F.col("s_acctbal") / 1000
+        return self.table("supplier").select(
+            F.col("s_suppkey").alias("region_id"), *envelope_columns(x, y, x + side, y + side)
+        )
+
+    @property
+    def fleets(self) -> DataFrame:
+        """Suppliers as collections."""
+        return self.table("supplier").select(
+            slug(F.col("s_name")).alias("id"),
+            F.col("s_name").alias("title"),
+            F.concat(F.lit("fleet of nation "), F.col("s_nationkey").cast("string")).alias("description"),
+            F.col("s_nationkey").alias("update_frequency"),
+            F.lit("movingfeature").alias("item_type"),
+            F.timestamp_add("DAY", F.col("s_nationkey"), F.lit("2024-01-01").cast("timestamp")).alias("created_at"),
+        )
+
+    @property
+    def collection_documents(self) -> DataFrame:
+        """Posted collections, one per supplier: some without title, some of a wrong type."""
+        nation = F.col("s_nationkey")
+        return self.table("supplier").select(
+            F.col("s_suppkey").alias("doc_id"),
+            F.when(F.col("s_acctbal") < 0, F.lit(None))
+            .when(F.col("s_acctbal") < 2000, F.concat(F.lit("NATION_"), nation.cast("string")))
+            .otherwise(F.col("s_name"))
+            .alias("title"),
+            F.concat(F.lit("posted "), F.col("s_suppkey").cast("string")).alias("description"),
+            nation.alias("updateFrequency"),
+            F.when(nation == 3, F.lit("feature")).when(nation > 12, F.lit("movingfeature")).alias("itemType"),
+        )
+
+    @property
+    def feature_documents(self) -> DataFrame:
+        """Posted documents, one per trajectory, in all shapes the interface meets.
+
+        Clicks and views are features with the path as object, purchases with the path
+        as JSON text, signups come in a feature collection, errors have a wrong type.
+        """
+        paths = temporal.pack_instants(self.tracks, ["geom_id", "event_type"])
+        path = mfjson_point(F.col("instants"))
+        common = {
+            "id": F.col("geom_id"),
+            "properties": F.struct(F.col("event_type").alias("kind")),
+            "crs": F.struct(F.lit("name").alias("type"), F.struct(F.lit("urn:ogc:def:crs:EPSG::25832").alias("name")).alias("properties")),
+        }
+
+        def feature(kind: str, geometry) -> Column:
+            block = F.struct(
+                F.transform("instants", lambda p: iso_time(p["t"])).alias("datetimes"),
+                F.struct(
+                    F.lit("Measure").alias("type"), F.lit("KMH").alias("form"),
+                    F.transform("instants", lambda p: p["x"]).alias("values"),
+                    F.lit("Step").alias("interpolation"),
+                ).alias("pace"),
+            )
+            return F.to_json(F.struct(
+                F.lit(kind).alias("type"),
+                *[c.alias(n) for n, c in common.items()],
+                geometry.alias("temporalGeometry"),
+                F.array(block).alias("temporalProperties"),
+            ))
+
+        kind = F.col("event_type")
+        body = (
+            F.when(kind == "error", feature("Movement", path))
+            .when(kind == "signup", F.concat(F.lit('{"type":"FeatureCollection","features":['), feature("Feature", path), F.lit("]}")))
+            .when(kind == "purchase", feature("Feature", F.to_json(path)))
+            .otherwise(feature("Feature", path))
+        )
+        return paths.select("geom_id", "event_type", body.alias("body"))
+
+    @property
+    def posted_batches(self) -> DataFrame:
+        """The stored value batches again, 15 days later; error batches lack one value."""
+        late = F.transform("datetimes", lambda t: F.timestamp_add("DAY", F.lit(15), t))
+        short = F.col("property_id") % 10 == KINDS.index("error")
+        return self.value_batches.select(
+            (F.col("value_id") + 50).alias("value_id"),
+            "property_id",
+            late.alias("datetimes"),
+            F.when(short, F.slice("values", 2, F.size("values"))).otherwise(F.col("values")).alias("values"),
+            "interpolation",
+        )
+
+    @property
+    def order_paths(self) -> DataFrame:
+        """A short path per order from its lines, of the order's customer."""
+        lines = self.table("lineitem").select(
+            "l_orderkey",
+            F.timestamp_add("SECOND", F.col("l_linenumber"), F.col("l_shipdate").cast("timestamp")).alias("t"),
+            F.col("l_quantity").alias("x"),
+            (F.col("l_extendedprice") / 1000).alias("y"),
+        )
+        boxes = temporal.extent(lines, ["l_orderkey"])
+        orders = self.requests.select(F.col("request_id").alias("l_orderkey"), "feature_id", "collection_id")
+        return boxes.join(orders, "l_orderkey").select(
+            (F.col("l_orderkey") + 100_000_000).alias("geom_id"), "feature_id", "collection_id",
+            "xmin", "ymin", "xmax", "ymax", "tmin", "tmax", "n_instants",
+        )
+
 
 def plain_times(df: DataFrame) -> DataFrame:
     """Zone-free timestamps, so that a reader's own zone cannot shift them."""

@@ -30,6 +30,7 @@ def local_session(cores: int | str = 8, app: str = "driftline", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
     )
     spark = builder.getOrCreate()
