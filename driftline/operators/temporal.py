@@ -254,13 +254,24 @@ def leaf(instants: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     )
 
 
-def shape_points(instants: DataFrame, key: Sequence[str] = KEY, **chunking) -> DataFrame:
-    """Vertices of the path: instants that do not repeat the position before them."""
+def path_marks(instants: DataFrame, key: Sequence[str] = KEY, **chunking) -> DataFrame:
+    """Instants with three flags from one pass: ``turn``, ``bend``, ``last``.
+
+    ``turn``: stays after normalisation. ``bend``: is a vertex of the shape, a turn away
+    from the position before it. ``last``: ends the trajectory.
+    """
     rows = neighbours(_points(instants, key), key, POSITION, **chunking)
-    moved = (
-        F.col("prev").isNull() | (F.col("prev.x") != F.col("x")) | (F.col("prev.y") != F.col("y"))
+    turn = _is_turn(POSITION, "Linear")
+    moved = F.col("prev").isNull() | (F.col("prev.x") != F.col("x")) | (F.col("prev.y") != F.col("y"))
+    return rows.select(
+        *key, "t", "x", "y",
+        turn.alias("turn"), (turn & moved).alias("bend"), F.col("next").isNull().alias("last"),
     )
-    return rows.filter(moved).select(*key, "t", "x", "y")
+
+
+def shape_points(instants: DataFrame, key: Sequence[str] = KEY, **chunking) -> DataFrame:
+    """Vertices of the path: normalised instants that do not repeat the position before."""
+    return path_marks(instants, key, **chunking).filter("bend").select(*key, "t", "x", "y")
 
 
 def trajectory_shape(

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.geo import geojson_shape
 from driftline.operators import temporal
 from driftline.operators.features import FEATURE, GEOMETRY, feature_page, page_counts
 from driftline.operators.predicates import bbox_overlap, time_overlap
@@ -54,27 +55,23 @@ def items(
     here = matched.join(F.broadcast(page.select(FEATURE)), FEATURE, "left_semi")
     points = instants.select(GEOMETRY, "t", "x", "y").join(here.select(GEOMETRY), GEOMETRY, "left_semi")
 
-    path, interpolation = points, "Linear"
-    if query.sub_trajectory:
-        path = temporal.subtrajectory(points, query.start, query.end)
-    if query.leaf:
-        path, interpolation = temporal.leaf(points).drop("interpolation"), "Discrete"
-    shape_source = points if query.leaf else path
-
-    kept = path if query.leaf else temporal.normalise(path)
-    sequences = (
-        time_parts(kept, [GEOMETRY], max_rows=max_rows)
+    path = temporal.subtrajectory(points, query.start, query.end) if query.sub_trajectory else points
+    shown, interpolation = (F.col("last"), "Discrete") if query.leaf else (F.col("turn"), "Linear")
+    marked = temporal.path_marks(path).withColumn("shown", shown).filter("shown or bend")
+    place = F.struct("t", "x", "y")
+    packed = (
+        time_parts(marked, [GEOMETRY], max_rows=max_rows)
         .groupBy(GEOMETRY, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("t", "x", "y"))).alias("instants"))
+        .agg(
+            F.sort_array(F.collect_list(F.when(F.col("shown"), place))).alias("instants"),
+            F.sort_array(F.collect_list(F.when(F.col("bend"), place))).alias("vertices"),
+        )
     )
-    shapes = temporal.trajectory_shape(shape_source, max_points=max_rows).select(GEOMETRY, "part", "geometry")
-    # A leaf has one instant in part 0; the parts of its unchanged shape may be more.
-    rows = sequences.join(shapes, [GEOMETRY, "part"], "full")
-    entries = here.select(FEATURE, GEOMETRY, "geometry_type").join(rows, GEOMETRY).select(
+    entries = here.select(FEATURE, GEOMETRY, "geometry_type").join(packed, GEOMETRY).select(
         FEATURE, GEOMETRY, "part", "geometry_type",
         F.size("instants").alias("n_instants"),
         mfjson_point(F.col("instants"), interpolation).alias("sequence"),
-        "geometry",
+        geojson_shape(F.col("vertices")).alias("geometry"),
     )
     return Items(page, entries, page_counts(candidates, matched, query.limit))
 

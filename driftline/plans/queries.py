@@ -149,11 +149,11 @@ def _(d):
 
 
 SHAPE_SQL = """
-    , bends AS (SELECT {key}, t, x, y FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM tracks
-        WINDOW w AS (PARTITION BY {key} ORDER BY t)) WHERE px IS NULL OR px <> x OR py <> y)"""
+    , bends AS (SELECT n.* FROM (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS by FROM norm
+        WINDOW w AS (PARTITION BY geom_id ORDER BY t)) n WHERE bx IS NULL OR bx <> x OR by <> y)"""
 
 
-@register("trajectory_shape", S.ctes("tracks") + SHAPE_SQL.format(key="geom_id") + """
+@register("trajectory_shape", S.ctes("tracks", "norm") + SHAPE_SQL + """
     SELECT geom_id, count(*)::INTEGER AS n_points,
         CASE WHEN count(*) = 1 THEN 'Point' ELSE 'LineString' END AS shape_type,
         round(arg_min(x, t), 6) AS first_x, round(arg_min(y, t), 6) AS first_y FROM bends GROUP BY geom_id""")
@@ -171,11 +171,9 @@ def _(d):
     )
 
 
-@register("feature_line", S.ctes("tracks") + """
-    , bends AS (SELECT feature_id FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM tracks
-        WINDOW w AS (PARTITION BY geom_id ORDER BY t)) WHERE px IS NULL OR px <> x OR py <> y)
-    SELECT feature_id, count(*)::INTEGER AS n_points,
-        CASE WHEN count(*) = 1 THEN 'Point' ELSE 'LineString' END AS shape_type FROM bends GROUP BY feature_id""")
+@register("feature_line", S.ctes("tracks", "norm") + SHAPE_SQL + """
+    SELECT geom_id // 10 AS feature_id, count(*)::INTEGER AS n_points,
+        CASE WHEN count(*) = 1 THEN 'Point' ELSE 'LineString' END AS shape_type FROM bends GROUP BY geom_id // 10""")
 def _(d):
     return T.feature_line(d.tracks).select(
         "feature_id", "n_points", F.get_json_object("geometry", "$.type").alias("shape_type")

@@ -30,10 +30,11 @@ PROFILE_COLUMNS = {
 def read_ais_csv(spark: SparkSession, path: str, keep_bad_rows: bool = False) -> DataFrame:
     """All 26 columns by position, day-first times.
 
-    A bad row fails the read. With ``keep_bad_rows`` it arrives with its raw text in
+    A bad row fails the read, also where only good columns are used: pruning would skip
+    the check of the others. With ``keep_bad_rows`` it arrives with its raw text in
     ``_corrupt`` instead.
     """
-    reader = spark.read.option("header", True).option("timestampFormat", DAY_FIRST).option("enforceSchema", True)
+    reader = spark.read.option("header", True).option("timestampFormat", DAY_FIRST).option("enforceSchema", True).option("columnPruning", False)
     if keep_bad_rows:
         return (
             reader.schema(f"{AIS_REPORT}, {CORRUPT} string")
