@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.projection import lonlat_from_utm32, utm32_from_lonlat
-from driftline.operators.sequence import PART_ROWS, neighbours, time_parts
-from driftline.operators.temporal import _is_turn
+from driftline.operators.sequence import CHUNK_ROWS, PART_ROWS, assign_chunks, neighbours, time_parts
+from driftline.operators.temporal import is_turn
 
 # Texts that stand for "not known", by column.
 PLACEHOLDERS = {
@@ -119,7 +119,7 @@ def report_counts(reports: DataFrame) -> DataFrame:
 
 
 def long_sequences(reports: DataFrame, numbers: Sequence[str] = ("sog", "cog", "heading")) -> DataFrame:
-    """``(mmsi, part_of, t, a, b)``: the path (``trip``) and each number as its own sequence.
+    """``(mmsi, part, chunk, part_of, t, a, b)``: the path (``trip``) and each number as its own sequence.
 
     NULL numbers are left out, each sequence by itself.
     """
@@ -129,8 +129,8 @@ def long_sequences(reports: DataFrame, numbers: Sequence[str] = ("sog", "cog", "
         for n in numbers
     ]
     return (
-        reports.select("mmsi", "t", F.explode(F.array(*variants)).alias("v"))
-        .select("mmsi", "t", "v.*")
+        reports.select("mmsi", "part", "chunk", "t", F.explode(F.array(*variants)).alias("v"))
+        .select("mmsi", "part", "chunk", "t", "v.*")
         .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     )
 
@@ -140,18 +140,21 @@ def assemble_trips(
     numbers: Sequence[str] = ("sog", "cog", "heading"),
     attributes: DataFrame | None = None,
     max_rows: int = PART_ROWS,
-    **chunking,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One row per ship: normalised path, number sequences, static attributes.
 
-    A ship with more than ``max_rows`` instants has one row per ``part``, in time order;
-    every part carries the static attributes. All sequences are normalised in a single
-    pass over their long form.
+    A ship with more than ``max_rows`` reports has one row per ``part``, in time order;
+    every part carries the static attributes. Parts and chunks of the large ships come
+    from one count per ship, and all sequences are normalised in a single pass over
+    their long form. ``reports`` is read more than once: cut its lineage when costly.
     """
     key = ("mmsi", "part_of")
-    kept = neighbours(long_sequences(reports, numbers), key, ("a", "b"), **chunking).filter(
-        _is_turn(("a", "b"), "Linear")
+    tagged = time_parts(
+        assign_chunks(reports.select("mmsi", "t", "x", "y", *numbers), ["mmsi"], max_rows=chunk_rows),
+        ["mmsi"], max_rows=max_rows,
     )
+    kept = neighbours(long_sequences(tagged, numbers), key, ("a", "b")).filter(is_turn(("a", "b"), "Linear"))
     packs = [
         F.sort_array(
             F.collect_list(F.when(F.col("part_of") == "trip", F.struct("t", F.col("a").alias("x"), F.col("b").alias("y"))))
@@ -163,7 +166,5 @@ def assemble_trips(
         ).alias(n)
         for n in numbers
     ]
-    trips = time_parts(kept.select("mmsi", "part_of", "t", "a", "b"), ["mmsi"], max_rows=max_rows)
-    trips = trips.groupBy("mmsi", "part").agg(*packs)
     static = static_attributes(reports) if attributes is None else attributes
-    return trips.join(static, "mmsi", "left")
+    return kept.groupBy("mmsi", "part").agg(*packs).join(static, "mmsi", "left")

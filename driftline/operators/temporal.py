@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.geo import geojson_shape, interpolate, planar_distance, seconds_between
+from driftline.functions.geo import geojson_shape, interpolate, planar_distance, round_to, seconds_between
 from driftline.functions.text import MS_TO_KNOTS, speed_status
 from driftline.operators.sequence import PART_ROWS, neighbours, time_parts
 
@@ -37,8 +37,8 @@ def _step_length(before: Column, here: Column) -> Column:
 
 def _off_line(fields: Sequence[str]) -> Column:
     """The row is not where its neighbours' straight motion would put it."""
-    share = seconds_between(F.col("prev.t"), F.col("t")) / F.nullif(
-        seconds_between(F.col("prev.t"), F.col("next.t")), F.lit(0.0)
+    share = F.try_divide(
+        seconds_between(F.col("prev.t"), F.col("t")), seconds_between(F.col("prev.t"), F.col("next.t"))
     )
     off = F.lit(False)
     for f in fields:
@@ -48,7 +48,7 @@ def _off_line(fields: Sequence[str]) -> Column:
     return off
 
 
-def _is_turn(fields: Sequence[str], interpolation: str) -> Column:
+def is_turn(fields: Sequence[str], interpolation: str) -> Column:
     """The row stays after normalisation."""
     ends = F.col("prev").isNull() | F.col("next").isNull()
     if interpolation == "Discrete":
@@ -70,7 +70,7 @@ def normalise(
 ) -> DataFrame:
     """Drop instants that the interpolation gives back anyway; ends always stay."""
     rows = neighbours(instants, key, fields, **chunking)
-    return rows.filter(_is_turn(fields, interpolation)).select(*instants.columns)
+    return rows.filter(is_turn(fields, interpolation)).select(*instants.columns)
 
 
 def velocity_curve(instants: DataFrame, key: Sequence[str] = KEY, **chunking) -> DataFrame:
@@ -84,22 +84,17 @@ def velocity_curve(instants: DataFrame, key: Sequence[str] = KEY, **chunking) ->
 
 
 def _speed_rows(instants: DataFrame, key: Sequence[str], **chunking) -> DataFrame:
-    rows = neighbours(_points(instants, key), key, POSITION, **chunking).filter(
-        "prev is not null or next is not null"
-    )
+    rows = neighbours(_points(instants, key), key, POSITION, **chunking)
+    here = F.struct("t", "x", "y")
 
-    def speed(a: str, b: str) -> Column:
-        left = [F.col(f"{a}.{c}") if a else F.col(c) for c in ("t", "x", "y")]
-        right = [F.col(f"{b}.{c}") if b else F.col(c) for c in ("t", "x", "y")]
-        length = planar_distance(left[1], left[2], right[1], right[2])
-        return F.round(length / F.nullif(seconds_between(left[0], right[0]), F.lit(0.0)), SPEED_DIGITS)
+    def speed(a: Column, b: Column) -> Column:
+        return round_to(F.try_divide(_step_length(a, b), seconds_between(a["t"], b["t"])), SPEED_DIGITS)
 
-    rows = rows.withColumns({"_after": speed("", "next"), "_before": speed("prev", "")})
-    changes = F.col("_before").isNull() | F.col("_after").isNull() | (
-        _off_line(POSITION) & (F.col("_before") != F.col("_after"))
-    )
-    return rows.filter(changes).select(
-        *key, "chunk", "t", F.coalesce("_after", "_before").alias("speed")
+    first, last = F.col("prev").isNull(), F.col("next").isNull()
+    after, before = speed(here, F.col("next")), speed(F.col("prev"), here)
+    changes = first | last | (_off_line(POSITION) & (before != after))
+    return rows.filter(~(first & last) & changes).select(
+        *key, "chunk", "t", F.coalesce(after, before).alias("speed")
     )
 
 
@@ -110,19 +105,17 @@ def distance_curve(
     rows = neighbours(
         _points(instants, key), key, POSITION, step=_step_length, total="distance", **chunking
     )
-    return rows.filter(_is_turn(POSITION, "Linear")).select(
-        *key, "t", F.round("distance", digits).alias("distance")
+    return rows.filter(is_turn(POSITION, "Linear")).select(
+        *key, "t", round_to(F.col("distance"), digits).alias("distance")
     )
 
 
 def acceleration_curve(instants: DataFrame, key: Sequence[str] = KEY, **chunking) -> DataFrame:
     """Change of the speed curve per second, stamped at the later instant; 0 at the first."""
     speeds = neighbours(_speed_rows(instants, key, **chunking), key, ["speed"], **chunking)
-    slope = (F.col("speed") - F.col("prev.speed")) / F.nullif(
-        seconds_between(F.col("prev.t"), F.col("t")), F.lit(0.0)
-    )
+    slope = F.try_divide(F.col("speed") - F.col("prev.speed"), seconds_between(F.col("prev.t"), F.col("t")))
     return speeds.select(
-        *key, "t", F.round(F.coalesce(slope, F.lit(0.0)), ACCELERATION_DIGITS).alias("acceleration")
+        *key, "t", round_to(F.coalesce(slope, F.lit(0.0)), ACCELERATION_DIGITS).alias("acceleration")
     )
 
 
@@ -135,9 +128,7 @@ def trip_length(instants: DataFrame, key: Sequence[str] = KEY, **chunking) -> Da
 
 def _time_mean(value: Column, following: Column, seconds: Column, linear: bool) -> Column:
     level = (value + following) / 2 if linear else value
-    return F.coalesce(
-        F.sum(level * seconds) / F.nullif(F.sum(seconds), F.lit(0.0)), F.min(value)
-    )
+    return F.coalesce(F.try_divide(F.sum(level * seconds), F.sum(seconds)), F.min(value))
 
 
 def time_weighted_avg(
@@ -170,7 +161,7 @@ def speed_agreement(
     return rows.groupBy(*key).agg(
         F.coalesce(F.sum(step), F.lit(0.0)).alias("length"),
         _time_mean(F.col(reported), F.col(f"next.{reported}"), seconds, True).alias("twavg_reported"),
-        (F.sum(step) / F.nullif(F.sum(seconds), F.lit(0.0))).alias("twavg_speed"),
+        F.try_divide(F.sum(step), F.sum(seconds)).alias("twavg_speed"),
     )
 
 
@@ -261,7 +252,7 @@ def path_marks(instants: DataFrame, key: Sequence[str] = KEY, **chunking) -> Dat
     from the position before it. ``last``: ends the trajectory.
     """
     rows = neighbours(_points(instants, key), key, POSITION, **chunking)
-    turn = _is_turn(POSITION, "Linear")
+    turn = is_turn(POSITION, "Linear")
     moved = F.col("prev").isNull() | (F.col("prev.x") != F.col("x")) | (F.col("prev.y") != F.col("y"))
     return rows.select(
         *key, "t", "x", "y",

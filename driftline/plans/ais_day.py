@@ -56,12 +56,14 @@ def ais_day(
     if belt is not None:
         plausible = positions.join(ships, "mmsi", "left_semi")
         ships = ever_intersects(plausible, belt, key=["mmsi"], **chunking)
-    trips = R.assemble_trips(positions.join(ships, "mmsi", "left_semi"), **chunking)
+    trips = R.assemble_trips(positions.join(ships, "mmsi", "left_semi"))
     return AisDay(positions, checked, trips, ship_documents(trips))
 
 
-def profile_trips(raw: DataFrame, **chunking) -> DataFrame:
+def profile_trips(raw: DataFrame, keep: bool = True) -> DataFrame:
     """Second profile: geographic coordinates, no outlier rules, first known attributes."""
     unique = R.dedup_reports(raw)
     clean = R.clean_profile(unique).withColumns({"x": F.col("lon"), "y": F.col("lat")})
-    return R.assemble_trips(clean, attributes=R.first_attributes(clean), **chunking)
+    if keep:
+        clean = cut_lineage(clean)
+    return R.assemble_trips(clean, attributes=R.first_attributes(clean))

@@ -7,6 +7,8 @@ nation; many have no trajectory. All views are lazy and read whole tables.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,14 @@ class DriverTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
         self.folder = folder
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
-    @property
+    @cached_property
     def tracks(self) -> DataFrame:
         """``feature_id, geom_id, event_type, t, x, y`` of all events."""
         kind = F.lit(len(KINDS))
@@ -42,12 +47,12 @@ class DriverTables:
             F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("y"),
         )
 
-    @property
+    @cached_property
     def paths(self) -> DataFrame:
         """The long form alone: ``geom_id, t, x, y``."""
         return self.tracks.select("geom_id", "t", "x", "y")
 
-    @property
+    @cached_property
     def geometries(self) -> DataFrame:
         """One row per trajectory with its extent."""
         nested = temporal.extent(self.tracks, ["geom_id", "feature_id", "event_type"])
@@ -59,7 +64,7 @@ class DriverTables:
             }
         )
 
-    @property
+    @cached_property
     def collections(self) -> DataFrame:
         """Nations: 25 rows at every scale."""
         return (
@@ -76,7 +81,7 @@ class DriverTables:
             )
         )
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
         """Customers; ``created_at`` follows the key, in whole minutes."""
         nation = self.table("nation").select("n_nationkey", slug(F.col("n_name")).alias("collection_id"))
@@ -92,7 +97,7 @@ class DriverTables:
             )
         )
 
-    @property
+    @cached_property
     def properties(self) -> DataFrame:
         """One temporal property per object and event type."""
         return self.tracks.select("feature_id", "geom_id", "event_type").distinct().select(
@@ -104,7 +109,7 @@ class DriverTables:
             F.concat(F.lit("value of "), F.col("event_type")).alias("description"),
         )
 
-    @property
+    @cached_property
     def value_batches(self) -> DataFrame:
         """One batch of values per property and day."""
         day = F.date_trunc("DAY", F.col("t"))
@@ -121,7 +126,7 @@ class DriverTables:
             )
         )
 
-    @property
+    @cached_property
     def reports(self) -> DataFrame:
         """Position reports to the full hour, so that copies of (ship, time) occur.
 
@@ -160,7 +165,7 @@ class DriverTables:
             (v / 50).alias("draught"),
         )
 
-    @property
+    @cached_property
     def requests(self) -> DataFrame:
         """One request per order. By order status the collection is right, another or unknown."""
         nation = self.table("nation").select("n_nationkey", "n_name")
@@ -187,7 +192,7 @@ class DriverTables:
             )
         )
 
-    @property
+    @cached_property
     def regions(self) -> DataFrame:
         """A rectangle per supplier, with corners in any order."""
         x = F.col("s_suppkey") % 100 * 4.0
@@ -197,7 +202,7 @@ class DriverTables:
             F.col("s_suppkey").alias("region_id"), *envelope_columns(x, y, x + side, y + side)
         )
 
-    @property
+    @cached_property
     def fleets(self) -> DataFrame:
         """Suppliers as collections."""
         return self.table("supplier").select(
@@ -209,7 +214,7 @@ class DriverTables:
             F.timestamp_add("DAY", F.col("s_nationkey"), F.lit("2024-01-01").cast("timestamp")).alias("created_at"),
         )
 
-    @property
+    @cached_property
     def collection_documents(self) -> DataFrame:
         """Posted collections, one per supplier: some without title, some of a wrong type."""
         nation = F.col("s_nationkey")
@@ -224,7 +229,7 @@ class DriverTables:
             F.when(nation == 3, F.lit("feature")).when(nation > 12, F.lit("movingfeature")).alias("itemType"),
         )
 
-    @property
+    @cached_property
     def feature_documents(self) -> DataFrame:
         """Posted documents, one per trajectory, in all shapes the interface meets.
 
@@ -264,7 +269,7 @@ class DriverTables:
         )
         return paths.select("geom_id", "event_type", body.alias("body"))
 
-    @property
+    @cached_property
     def posted_batches(self) -> DataFrame:
         """The stored value batches again, 15 days later; error batches lack one value."""
         late = F.transform("datetimes", lambda t: F.timestamp_add("DAY", F.lit(15), t))
@@ -277,7 +282,7 @@ class DriverTables:
             "interpolation",
         )
 
-    @property
+    @cached_property
     def order_paths(self) -> DataFrame:
         """A short path per order from its lines, of the order's customer."""
         lines = self.table("lineitem").select(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions.geo import envelope
+from driftline.functions.geo import envelope, round_to
 from driftline.functions.text import DEFAULT_SRID, parse_time, slug, srid_of
 from driftline.operators import features as X
 from driftline.operators import mutate as M
@@ -26,6 +26,7 @@ from driftline.plans.ais_day import ais_day, clean_positions, profile_trips
 from driftline.plans.driver_tables import DriverTables, plain_times
 from driftline.plans.items import items
 from driftline.plans.port_traffic import port_traffic
+from driftline.session import cut_lineage
 from driftline.sources import documents, export
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +57,7 @@ def now() -> Column:
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: round_to(F.col(c), digits) for c in columns})
 
 
 # Temporal algebra
@@ -149,8 +150,8 @@ def _(d):
 
 
 SHAPE_SQL = """
-    , bends AS (SELECT n.* FROM (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS by FROM norm
-        WINDOW w AS (PARTITION BY geom_id ORDER BY t)) n WHERE bx IS NULL OR bx <> x OR by <> y)"""
+    , bends AS (SELECT n.* FROM (SELECT *, lag(x) OVER w AS bef_x, lag(y) OVER w AS bef_y FROM norm
+        WINDOW w AS (PARTITION BY geom_id ORDER BY t)) n WHERE bef_x IS NULL OR bef_x <> x OR bef_y <> y)"""
 
 
 @register("trajectory_shape", S.ctes("tracks", "norm") + SHAPE_SQL + """
@@ -166,8 +167,8 @@ def _(d):
     )
     return flat.select(
         "geom_id", "n_points", F.col("_s.type").alias("shape_type"),
-        F.round(F.try_element_at(first, F.lit(1)), 6).alias("first_x"),
-        F.round(F.try_element_at(first, F.lit(2)), 6).alias("first_y"),
+        round_to(F.try_element_at(first, F.lit(1)), 6).alias("first_x"),
+        round_to(F.try_element_at(first, F.lit(2)), 6).alias("first_y"),
     )
 
 
@@ -377,7 +378,7 @@ def _flat_trips(trips: DataFrame) -> DataFrame:
         F.size("trip").alias("n_trip"),
         F.try_element_at("trip", F.lit(1))["t"].alias("t_first"),
         last["t"].alias("t_last"),
-        F.round(last["x"], 3).alias("x_last"),
+        round_to(last["x"], 3).alias("x_last"),
         F.size("heading").alias("n_heading"),
         F.aggregate("heading", F.lit(0.0), lambda acc, p: acc + p["v"]).alias("sum_heading"),
         "name",
@@ -390,7 +391,7 @@ def _flat_trips(trips: DataFrame) -> DataFrame:
         coalesce(sum_heading, 0) AS sum_heading, name, ship_type
     FROM trip LEFT JOIN headings USING (mmsi) JOIN static USING (mmsi)""")
 def _(d):
-    return _flat_trips(R.assemble_trips(clean_positions(d.reports)))
+    return _flat_trips(R.assemble_trips(cut_lineage(clean_positions(d.reports))))
 
 
 BELT = envelope(700000.0, 6050000.0, 900000.0, 6100000.0)
@@ -413,7 +414,7 @@ def _(d):
     SELECT mmsi, 0::BIGINT AS part, n_trip, coalesce(n_heading, 0) AS n_heading, name FROM trip
     LEFT JOIN headings USING (mmsi) JOIN static USING (mmsi)""")
 def _(d):
-    docs = export.ship_documents(R.assemble_trips(clean_positions(d.reports)))
+    docs = export.ship_documents(R.assemble_trips(cut_lineage(clean_positions(d.reports))))
     size = lambda path: F.size(F.from_json(F.get_json_object("document", path), "array<string>"))
     return docs.select(
         "mmsi", "part",
