@@ -7,8 +7,9 @@ pay nothing more than the plain window, and what must cross a chunk boundary tra
 as one row per chunk. Results equal those of the plain window.
 
 Sizes of the broadcasts: keys with more than ``max_rows`` rows number at most
-``rows / max_rows``, their chunks at most twice that. With the default this is about
-one million short rows for 2e12 reports.
+``rows / max_rows``, and all their cuts and chunks at most twice that. With the default
+this is at most one million short rows for 2e12 reports. A key of any size is spread
+over up to ``MAX_CHUNKS`` tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 CHUNK = "chunk"
 CHUNK_ROWS = 4_000_000
+MAX_CHUNKS = 1024
+# As one text, since a thousand literal columns slow down every plan that holds them.
+SHARES = ",".join(str(i / MAX_CHUNKS) for i in range(1, MAX_CHUNKS))
 PART_ROWS = 500_000
 
 
@@ -27,6 +31,41 @@ def _matches(key: Sequence[str], prefix: str) -> list[Column]:
     return [F.col(k) == F.col(prefix + k) for k in key]
 
 
+def _cut_points(rows: DataFrame, key: Sequence[str], max_rows: int) -> DataFrame:
+    """Large keys with the times that cut their rows into parts of about equal number.
+
+    A count finds the large keys; only their rows are read for the quantile sketches.
+    """
+    large = (
+        rows.groupBy(*key)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > max_rows)
+        .select(
+            *[F.col(k).alias(f"_h_{k}") for k in key],
+            F.least(F.ceil(F.col("_n") / max_rows), F.lit(MAX_CHUNKS)).cast("int").alias("_parts"),
+        )
+    )
+    at = F.transform(
+        F.sequence(F.lit(1), F.col("_parts") - 1),
+        lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * MAX_CHUNKS / F.col("_parts")).cast("int"))),
+    )
+    return (
+        rows.join(F.broadcast(large), _matches(key, "_h_"))
+        .groupBy(*key, "_parts")
+        .agg(F.percentile_approx("_us", F.split(F.lit(SHARES), ",").cast("array<double>"), 10_000).alias("_q"))
+        .select(*[F.col(k).alias(f"_h_{k}") for k in key], "_parts", at.alias("_cuts"))
+    )
+
+
+def _passed(cuts: Column, value: Column) -> Column:
+    """How many of the sorted ``cuts`` are at or before ``value``, by blocks of 32."""
+    block = F.lit(32)
+    heads = F.transform(F.sequence(F.lit(0), F.floor(F.size(cuts) / block).cast("int")), lambda i: i * block)
+    whole = F.size(F.filter(heads, lambda h: (h > 0) & (F.try_element_at(cuts, h) <= value))) * block
+    rest = F.slice(cuts, whole + 1, block)
+    return whole + F.size(F.filter(rest, lambda c: c <= value))
+
+
 def assign_chunks(
     df: DataFrame,
     key: Sequence[str],
@@ -36,25 +75,17 @@ def assign_chunks(
 ) -> DataFrame:
     """Add ``name``: NULL for ordinary keys, a number growing with time for large ones.
 
-    A key with ``n > max_rows`` rows is cut into ``ceil(n / max_rows)`` equal spans of
-    time. A frame that already has the column is returned unchanged.
+    A key with ``n > max_rows`` rows is cut at quantiles of its times into
+    ``ceil(n / max_rows)`` chunks, at most ``MAX_CHUNKS``. Chunks hold about the same
+    number of rows also where reports come in bursts. A frame that already has the
+    column is returned unchanged.
     """
     if name in df.columns:
         return df
-    micros = F.unix_micros(F.col(time))
-    large = (
-        df.select(*key, micros.alias("_us"))
-        .groupBy(*key)
-        .agg(F.count("*").alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-        .filter(F.col("_n") > max_rows)
-        .select(
-            *[F.col(k).alias(f"_h_{k}") for k in key],
-            "_lo",
-            F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / max_rows)).alias("_span"),
-        )
-    )
-    chunk = F.floor((micros - F.col("_lo")) / F.col("_span"))
-    return df.join(F.broadcast(large), _matches(key, "_h_"), "left").select(*df.columns, chunk.alias(name))
+    rows = df.withColumn("_us", F.unix_micros(F.col(time)))
+    cuts = _cut_points(rows.select(*key, "_us"), key, max_rows)
+    chunk = _passed(F.col("_cuts"), F.col("_us")) - F.col("_parts")
+    return rows.join(F.broadcast(cuts), _matches(key, "_h_"), "left").select(*df.columns, chunk.alias(name))
 
 
 def neighbours(
