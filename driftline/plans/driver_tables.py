@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftline.functions.geo import envelope_columns
 from driftline.functions.text import iso_time, slug
 from driftline.operators import temporal
+from driftline.operators.sequence import time_parts
 from driftline.session import configure
 from driftline.sources.export import mfjson_point
 
@@ -34,11 +35,12 @@ class DriverTables:
 
     @cached_property
     def tracks(self) -> DataFrame:
-        """``feature_id, geom_id, event_type, t, x, y`` of all events."""
+        """``event_id, feature_id, geom_id, event_type, t, x, y`` of all events."""
         kind = F.lit(len(KINDS))
         for code, name in enumerate(KINDS):
             kind = F.when(F.col("event_type") == name, F.lit(code)).otherwise(kind)
         return self.table("events").select(
+            "event_id",
             F.col("user_id").alias("feature_id"),
             (F.col("user_id") * 10 + kind).alias("geom_id"),
             "event_type",
@@ -111,13 +113,16 @@ class DriverTables:
 
     @cached_property
     def value_batches(self) -> DataFrame:
-        """One batch of values per property and day."""
-        day = F.date_trunc("DAY", F.col("t"))
+        """One batch of values per property and day, in parts if very long; named by its least event."""
+        rows = time_parts(self.tracks.withColumn("day", F.dayofmonth("t")), ["geom_id"])
         return (
-            self.tracks.groupBy(F.col("geom_id").alias("property_id"), day.alias("day"))
-            .agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").alias("v")))).alias("pairs"))
+            rows.groupBy(F.col("geom_id").alias("property_id"), "day", "part")
+            .agg(
+                F.min("event_id").alias("value_id"),
+                F.sort_array(F.collect_list(F.struct("t", F.col("x").alias("v")))).alias("pairs"),
+            )
             .select(
-                (F.col("property_id") * 100 + F.dayofmonth("day")).alias("value_id"),
+                "value_id",
                 "property_id",
                 "day",
                 F.transform("pairs", lambda p: p["t"]).alias("datetimes"),
@@ -275,7 +280,7 @@ class DriverTables:
         late = F.transform("datetimes", lambda t: F.timestamp_add("DAY", F.lit(15), t))
         short = F.col("property_id") % 10 == KINDS.index("error")
         return self.value_batches.select(
-            (F.col("value_id") + 50).alias("value_id"),
+            (-1 - F.col("value_id")).alias("value_id"),
             "property_id",
             late.alias("datetimes"),
             F.when(short, F.slice("values", 2, F.size("values"))).otherwise(F.col("values")).alias("values"),

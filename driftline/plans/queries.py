@@ -781,7 +781,7 @@ def _(d):
 
 @register("continuity_check", S.ctes("tracks", "batches") + """
     , last AS (SELECT geom_id AS property_id, max(t) AS last_time FROM tracks GROUP BY geom_id)
-    SELECT value_id + 50 AS value_id, property_id, last_time, last_time < first_time + INTERVAL 15 DAY AS continuous
+    SELECT -1 - value_id AS value_id, property_id, last_time, last_time < first_time + INTERVAL 15 DAY AS continuous
     FROM batches JOIN last USING (property_id)""")
 def _(d):
     return P.continuity_check(d.posted_batches, d.value_batches).select("value_id", "property_id", "last_time", "continuous")
@@ -836,7 +836,7 @@ def _(d):
 
 
 @register("validate_values", S.ctes("tracks", "batches") + """
-    SELECT value_id + 50 AS value_id, CASE WHEN property_id % 10 = 1
+    SELECT -1 - value_id AS value_id, CASE WHEN property_id % 10 = 1
         THEN 'datetimes and values must have the same length' ELSE '' END AS errors FROM batches""")
 def _(d):
     return V.validate_values(d.posted_batches).select("value_id", F.concat_ws("; ", "errors").alias("errors"))
@@ -953,9 +953,10 @@ def _(d):
 
 @register("delete_value", S.ctes("tracks", "requests", "batches") + """
     SELECT value_id, property_id, n_values FROM batches
-    WHERE value_id NOT IN (SELECT geom_id * 100 + day FROM requests)""")
+    WHERE (property_id, day) NOT IN (SELECT geom_id, day FROM requests)""")
 def _(d):
-    gone = d.requests.select((F.col("geom_id") * 100 + F.col("day")).alias("value_id"), F.col("geom_id").alias("property_id"))
+    days = d.requests.select(F.col("geom_id").alias("property_id"), "day")
+    gone = d.value_batches.join(days, ["property_id", "day"], "left_semi")
     kept = M.delete_values(d.value_batches, gone)
     return kept.select("value_id", "property_id", F.size("values").alias("n_values"))
 
@@ -987,7 +988,7 @@ def _(d):
     , last AS (SELECT geom_id AS property_id, max(t) AS last_time FROM tracks GROUP BY geom_id)
     SELECT value_id, property_id, first_time FROM batches
     UNION ALL
-    SELECT value_id + 50, property_id, first_time + INTERVAL 15 DAY FROM batches JOIN last USING (property_id)
+    SELECT -1 - value_id, property_id, first_time + INTERVAL 15 DAY FROM batches JOIN last USING (property_id)
     WHERE property_id % 10 <> 1 AND last_time < first_time + INTERVAL 15 DAY""")
 def _(d):
     stored = d.value_batches.drop("day")

@@ -79,7 +79,7 @@ def dedup(source: str, name: str) -> str:
 
 
 CTE = {
-    "tracks": f"""tracks AS (SELECT user_id AS feature_id, user_id * 10 + {KIND_CODE} AS geom_id, event_type,
+    "tracks": f"""tracks AS (SELECT event_id, user_id AS feature_id, user_id * 10 + {KIND_CODE} AS geom_id, event_type,
         ts AS t, value AS x, CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS y FROM events)""",
     "seq": """seq AS (SELECT geom_id, t, x, y, lag(t) OVER w AS pt, lag(x) OVER w AS px, lag(y) OVER w AS py,
         lead(t) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM tracks
@@ -109,7 +109,7 @@ CTE = {
     "regions": """regions AS (SELECT s_suppkey AS region_id, least(x, x + s) AS xmin, least(y, y + s) AS ymin,
         greatest(x, x + s) AS xmax, greatest(y, y + s) AS ymax FROM (SELECT s_suppkey, s_suppkey % 100 * 4.0::DOUBLE AS x,
         s_nationkey * 4.0::DOUBLE AS y, s_acctbal / 1000 AS s FROM supplier))""",
-    "batches": """batches AS (SELECT geom_id * 100 + day(t) AS value_id, geom_id AS property_id,
+    "batches": """batches AS (SELECT min(event_id) AS value_id, geom_id AS property_id, day(t) AS day,
         count(*)::INTEGER AS n_values, min(t) AS first_time, max(t) AS final_time FROM tracks GROUP BY geom_id, day(t))""",
     "reports": """reports AS (SELECT date_trunc('hour', t) AS t, feature_id AS mmsi, 54.0::DOUBLE + y / 50 AS lat,
         4.0::DOUBLE + x / 15 AS lon, CASE WHEN y <> 0 THEN y / 4 END AS sog, x AS cog,
