@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geo import Envelope, boxes_overlap, planar_distance, segment_meets_box
 from driftline.functions.text import KNOTS_TO_KMH, MS_TO_KMH
-from driftline.operators.sequence import neighbours
+from driftline.operators.sequence import neighbours, with_chunk
 from driftline.operators.temporal import KEY, POSITION, speed_agreement, trip_length
 
 Time = datetime | str
@@ -61,7 +61,7 @@ def ever_intersects(
     With ``extents`` at hand, paths whose extent misses the box are left out before
     the exchange.
     """
-    points = instants.select(*key, "t", "x", "y")
+    points = with_chunk(instants, [*key, "t", "x", "y"])
     if extents is not None:
         points = points.join(bbox_overlap(extents, box).select(*key), list(key), "left_semi")
     rows = neighbours(points, key, POSITION, **chunking)
@@ -72,7 +72,7 @@ def visits_both(
     instants: DataFrame, first: Envelope, second: Envelope, key: Sequence[str] = KEY, **chunking
 ) -> DataFrame:
     """Paths that meet both boxes, with their length in km; one pass for all three."""
-    rows = neighbours(instants.select(*key, "t", "x", "y"), key, POSITION, **chunking)
+    rows = neighbours(with_chunk(instants, [*key, "t", "x", "y"]), key, POSITION, **chunking)
     step = planar_distance(F.col("x"), F.col("y"), F.col("next.x"), F.col("next.y"))
     return (
         rows.groupBy(*key)

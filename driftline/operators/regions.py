@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import segment_meets_box
-from driftline.operators.sequence import neighbours
+from driftline.operators.sequence import neighbours, with_chunk
 from driftline.operators.temporal import KEY, POSITION
 
 LEVELS = 8
@@ -97,7 +97,7 @@ def region_visits(
     join; the exact test follows on the pairs, and partial counts run before the
     exchange on (path, region).
     """
-    rows = neighbours(instants.select(*key, "t", "x", "y"), key, POSITION, **chunking)
+    rows = neighbours(with_chunk(instants, [*key, "t", "x", "y"]), key, POSITION, **chunking)
     x2, y2 = F.coalesce("next.x", "x"), F.coalesce("next.y", "y")
     segments = rows.select(
         *key, "t", F.col("x").alias("x1"), F.col("y").alias("y1"), x2.alias("x2"), y2.alias("y2"),

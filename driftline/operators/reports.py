@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.projection import lonlat_from_utm32, utm32_from_lonlat
-from driftline.operators.sequence import CHUNK_ROWS, PART_ROWS, assign_chunks, neighbours, time_parts
+from driftline.operators.sequence import PART_ROWS, assign_chunks, neighbours, pack, with_chunk
 from driftline.operators.temporal import is_turn
 
 # Texts that stand for "not known", by column.
@@ -119,7 +119,7 @@ def report_counts(reports: DataFrame) -> DataFrame:
 
 
 def long_sequences(reports: DataFrame, numbers: Sequence[str] = ("sog", "cog", "heading")) -> DataFrame:
-    """``(mmsi, part, chunk, part_of, t, a, b)``: the path (``trip``) and each number as its own sequence.
+    """``(mmsi, chunk, part_of, t, a, b)``: the path (``trip``) and each number as its own sequence.
 
     NULL numbers are left out, each sequence by itself.
     """
@@ -129,8 +129,8 @@ def long_sequences(reports: DataFrame, numbers: Sequence[str] = ("sog", "cog", "
         for n in numbers
     ]
     return (
-        reports.select("mmsi", "part", "chunk", "t", F.explode(F.array(*variants)).alias("v"))
-        .select("mmsi", "part", "chunk", "t", "v.*")
+        reports.select("mmsi", "chunk", "t", F.explode(F.array(*variants)).alias("v"))
+        .select("mmsi", "chunk", "t", "v.*")
         .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     )
 
@@ -140,20 +140,18 @@ def assemble_trips(
     numbers: Sequence[str] = ("sog", "cog", "heading"),
     attributes: DataFrame | None = None,
     max_rows: int = PART_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
+    **chunking,
 ) -> DataFrame:
     """One row per ship: normalised path, number sequences, static attributes.
 
-    A ship with more than ``max_rows`` reports has one row per ``part``, in time order;
-    every part carries the static attributes. Parts and chunks of the large ships come
-    from one count per ship, and all sequences are normalised in a single pass over
-    their long form. ``reports`` is read more than once: cut its lineage when costly.
+    A ship with more than ``max_rows`` instants has one row per ``part``, in time order;
+    every part carries the static attributes. All sequences are normalised in a single
+    pass over their long form. ``reports`` is read more than once: cut its lineage when
+    it is costly.
     """
     key = ("mmsi", "part_of")
-    tagged = time_parts(
-        assign_chunks(reports.select("mmsi", "t", "x", "y", *numbers), ["mmsi"], max_rows=chunk_rows),
-        ["mmsi"], max_rows=max_rows,
-    )
+    columns = with_chunk(reports, ["mmsi", "t", "x", "y", *numbers])
+    tagged = assign_chunks(columns, ["mmsi"], **chunking)
     kept = neighbours(long_sequences(tagged, numbers), key, ("a", "b")).filter(is_turn(("a", "b"), "Linear"))
     packs = [
         F.sort_array(
@@ -167,4 +165,4 @@ def assemble_trips(
         for n in numbers
     ]
     static = static_attributes(reports) if attributes is None else attributes
-    return kept.groupBy("mmsi", "part").agg(*packs).join(static, "mmsi", "left")
+    return pack(kept, ["mmsi"], packs, ties=["part_of"], max_rows=max_rows).join(static, "mmsi", "left")

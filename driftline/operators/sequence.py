@@ -214,10 +214,28 @@ def collect_parts(
     return tagged.groupBy(*key, "part_no", "n_parts").agg(*aggregates)
 
 
-def time_parts(df: DataFrame, key: Sequence[str], time: str = "t", max_rows: int = PART_ROWS) -> DataFrame:
-    """Add ``part``: 0 for ordinary keys, a number growing with time for large ones.
+def with_chunk(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns, and the chunk where the frame has one already."""
+    extra = [CHUNK] if CHUNK in df.columns and CHUNK not in columns else []
+    return df.select(*columns, *extra)
 
-    For packing a sequence into arrays of bounded size, in time order over the parts.
+
+def pack(
+    df: DataFrame,
+    key: Sequence[str],
+    aggregates: Sequence[Column],
+    time: str = "t",
+    ties: Sequence[str] = (),
+    max_rows: int = PART_ROWS,
+    **chunking,
+) -> DataFrame:
+    """Aggregate each key in ``part`` slices of at most ``max_rows`` rows, in time order.
+
+    For arrays of bounded size: an ordinary key is one row with part 0. The slices are
+    counted off per chunk, and grouping by the chunk too needs no further exchange.
     """
-    tagged = assign_chunks(df.drop("part"), key, time, max_rows=max_rows, name="part")
-    return tagged.withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    df = assign_chunks(df, key, time, **chunking)
+    place = F.row_number().over(Window.partitionBy(*key, CHUNK).orderBy(time, *ties))
+    chunk_no = F.coalesce(F.col(CHUNK) + MAX_CHUNKS, F.lit(0)).cast("long")
+    part = chunk_no * 1_000_000 + F.floor((place - 1) / max_rows)
+    return df.withColumn("part", part).groupBy(*key, CHUNK, "part").agg(*aggregates).drop(CHUNK)

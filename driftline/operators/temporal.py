@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geo import geojson_shape, interpolate, planar_distance, round_to, seconds_between
 from driftline.functions.text import MS_TO_KNOTS, speed_status
-from driftline.operators.sequence import PART_ROWS, neighbours, time_parts
+from driftline.operators.sequence import CHUNK, PART_ROWS, assign_chunks, neighbours, pack, with_chunk
 
 KEY = ("geom_id",)
 POSITION = ("x", "y")
@@ -27,8 +27,7 @@ ACCELERATION_DIGITS = 12
 
 
 def _points(instants: DataFrame, key: Sequence[str]) -> DataFrame:
-    extra = ["chunk"] if "chunk" in instants.columns else []
-    return instants.select(*key, "t", "x", "y", *extra)
+    return with_chunk(instants, [*key, "t", "x", "y"])
 
 
 def _step_length(before: Column, here: Column) -> Column:
@@ -94,7 +93,7 @@ def _speed_rows(instants: DataFrame, key: Sequence[str], **chunking) -> DataFram
     after, before = speed(here, F.col("next")), speed(F.col("prev"), here)
     changes = first | last | (_off_line(POSITION) & (before != after))
     return rows.filter(~(first & last) & changes).select(
-        *key, "chunk", "t", F.coalesce(after, before).alias("speed")
+        *key, CHUNK, "t", F.coalesce(after, before).alias("speed")
     )
 
 
@@ -139,7 +138,7 @@ def time_weighted_avg(
     **chunking,
 ) -> DataFrame:
     """Mean of a temporal number weighted by time; a lone instant gives its own value."""
-    known = instants.select(*key, "t", value).filter(F.col(value).isNotNull())
+    known = with_chunk(instants, [*key, "t", value]).filter(F.col(value).isNotNull())
     rows = neighbours(known, key, [value], **chunking)
     seconds = seconds_between(F.col("t"), F.col("next.t"))
     mean = _time_mean(F.col(value), F.col(f"next.{value}"), seconds, interpolation == "Linear")
@@ -155,7 +154,7 @@ def speed_agreement(
     means then share one pass. The mean of the travelled speed is length over time; it
     is NULL for a lone instant, which has no speed.
     """
-    rows = neighbours(instants.select(*key, "t", "x", "y", reported), key, ["x", "y", reported], **chunking)
+    rows = neighbours(with_chunk(instants, [*key, "t", "x", "y", reported]), key, ["x", "y", reported], **chunking)
     seconds = seconds_between(F.col("t"), F.col("next.t"))
     step = _step_length(F.struct("x", "y"), F.col("next"))
     return rows.groupBy(*key).agg(
@@ -255,7 +254,7 @@ def path_marks(instants: DataFrame, key: Sequence[str] = KEY, **chunking) -> Dat
     turn = is_turn(POSITION, "Linear")
     moved = F.col("prev").isNull() | (F.col("prev.x") != F.col("x")) | (F.col("prev.y") != F.col("y"))
     return rows.select(
-        *key, "t", "x", "y",
+        *key, CHUNK, "t", "x", "y",
         turn.alias("turn"), (turn & moved).alias("bend"), F.col("next").isNull().alias("last"),
     )
 
@@ -277,24 +276,22 @@ def trajectory_shape(
     A part repeats no vertex; the line runs on from the last point of one to the first
     of the next.
     """
-    points = instants.select(*key, "t", "x", "y") if discrete else shape_points(instants, key, **chunking)
-    packed = (
-        time_parts(points, key, max_rows=max_points)
-        .groupBy(*key, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("t", "x", "y"))).alias("points"))
-    )
+    points = _points(instants, key) if discrete else path_marks(instants, key, **chunking).filter("bend")
+    line = F.sort_array(F.collect_list(F.struct("t", "x", "y"))).alias("points")
+    packed = pack(points, key, [line], max_rows=max_points, **chunking)
     return packed.select(*key, "part", F.size("points").alias("n_points"), geojson_shape(F.col("points"), discrete).alias("geometry"))
 
 
 def feature_line(instants: DataFrame, feature: str = "feature_id", key: Sequence[str] = KEY,
                  max_points: int = PART_ROWS, **chunking) -> DataFrame:
-    """One line per feature: the shapes of its trajectories one after another."""
-    points = shape_points(instants, [feature, *key], **chunking)
-    packed = (
-        time_parts(points, [feature], max_rows=max_points)
-        .groupBy(feature, "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*key, "t", "x", "y"))).alias("points"))
-    )
+    """One line per feature: the shapes of its trajectories one after another.
+
+    Very large features come in slices of time.
+    """
+    tagged = assign_chunks(_points(instants, [feature, *key]), [feature], **chunking)
+    points = path_marks(tagged, [feature, *key]).filter("bend")
+    line = F.sort_array(F.collect_list(F.struct(*key, "t", "x", "y"))).alias("points")
+    packed = pack(points, [feature], [line], ties=key, max_rows=max_points)
     return packed.select(feature, "part", F.size("points").alias("n_points"), geojson_shape(F.col("points")).alias("geometry"))
 
 
@@ -331,10 +328,7 @@ def unpack_instants(packed: DataFrame, key: Sequence[str] = KEY, column: str = "
     return packed.select(*key, F.inline(column))
 
 
-def pack_instants(instants: DataFrame, key: Sequence[str] = KEY, max_rows: int = PART_ROWS) -> DataFrame:
-    """Arrays of at most about ``max_rows`` instants, with ``part`` in time order."""
-    return (
-        time_parts(instants.select(*key, "t", "x", "y"), key, max_rows=max_rows)
-        .groupBy(*key, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("t", "x", "y"))).alias("instants"))
-    )
+def pack_instants(instants: DataFrame, key: Sequence[str] = KEY, max_rows: int = PART_ROWS, **chunking) -> DataFrame:
+    """Ordered arrays of at most ``max_rows`` instants, with ``part`` in time order."""
+    packed = F.sort_array(F.collect_list(F.struct("t", "x", "y"))).alias("instants")
+    return pack(_points(instants, key), key, [packed], max_rows=max_rows, **chunking)

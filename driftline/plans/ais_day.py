@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions.geo import Envelope, envelope
 from driftline.operators import reports as R
 from driftline.operators.predicates import MAX_TRIP_METRES, ever_intersects, speed_consistency
+from driftline.operators.sequence import assign_chunks
 from driftline.session import cut_lineage
 from driftline.sources.export import ship_documents
 
@@ -46,16 +47,17 @@ def ais_day(
     """First profile. ``keep`` writes the clean positions to the checkpoint folder once.
 
     They feed the checks, the belt test and the assembly; without that each of them
-    would read and de-duplicate the reports again.
+    would read and de-duplicate the reports again. Chunks of large ships are assigned
+    once for all three.
     """
-    positions = clean_positions(raw)
+    positions = assign_chunks(clean_positions(raw), ["mmsi"], **chunking)
     if keep:
         positions = cut_lineage(positions)
-    checked = plausible_ships(positions, max_length, **chunking)
+    checked = plausible_ships(positions, max_length)
     ships = checked.select("mmsi")
     if belt is not None:
         plausible = positions.join(ships, "mmsi", "left_semi")
-        ships = ever_intersects(plausible, belt, key=["mmsi"], **chunking)
+        ships = ever_intersects(plausible, belt, key=["mmsi"])
     trips = R.assemble_trips(positions.join(ships, "mmsi", "left_semi"))
     return AisDay(positions, checked, trips, ship_documents(trips))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftline.functions.geo import envelope_columns
 from driftline.functions.text import iso_time, slug
 from driftline.operators import temporal
-from driftline.operators.sequence import time_parts
+from driftline.operators.sequence import pack
 from driftline.session import configure
 from driftline.sources.export import mfjson_point
 
@@ -114,12 +114,13 @@ class DriverTables:
     @cached_property
     def value_batches(self) -> DataFrame:
         """One batch of values per property and day, in parts if very long; named by its least event."""
-        rows = time_parts(self.tracks.withColumn("day", F.dayofmonth("t")), ["geom_id"])
+        rows = self.tracks.select(
+            "event_id", F.col("geom_id").alias("property_id"), F.dayofmonth("t").alias("day"), "t", F.col("x").alias("v")
+        )
         return (
-            rows.groupBy(F.col("geom_id").alias("property_id"), "day", "part")
-            .agg(
-                F.min("event_id").alias("value_id"),
-                F.sort_array(F.collect_list(F.struct("t", F.col("x").alias("v")))).alias("pairs"),
+            pack(
+                rows, ["property_id", "day"],
+                [F.min("event_id").alias("value_id"), F.sort_array(F.collect_list(F.struct("t", "v"))).alias("pairs")],
             )
             .select(
                 "value_id",

@@ -11,7 +11,7 @@ from driftline.functions.geo import geojson_shape
 from driftline.operators import temporal
 from driftline.operators.features import FEATURE, GEOMETRY, feature_page, page_counts
 from driftline.operators.predicates import bbox_overlap, time_overlap
-from driftline.operators.sequence import PART_ROWS, collect_parts, time_parts
+from driftline.operators.sequence import PART_ROWS, collect_parts, pack
 from driftline.operators.validate import ItemQuery
 from driftline.sources.export import mfjson_point
 
@@ -59,13 +59,13 @@ def items(
     shown, interpolation = (F.col("last"), "Discrete") if query.leaf else (F.col("turn"), "Linear")
     marked = temporal.path_marks(path).withColumn("shown", shown).filter("shown or bend")
     place = F.struct("t", "x", "y")
-    packed = (
-        time_parts(marked, [GEOMETRY], max_rows=max_rows)
-        .groupBy(GEOMETRY, "part")
-        .agg(
+    packed = pack(
+        marked, [GEOMETRY],
+        [
             F.sort_array(F.collect_list(F.when(F.col("shown"), place))).alias("instants"),
             F.sort_array(F.collect_list(F.when(F.col("bend"), place))).alias("vertices"),
-        )
+        ],
+        max_rows=max_rows,
     )
     entries = here.select(FEATURE, GEOMETRY, "geometry_type").join(packed, GEOMETRY).select(
         FEATURE, GEOMETRY, "part", "geometry_type",

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.text import iso_time
-from driftline.operators.sequence import PART_ROWS, time_parts
-from driftline.operators.temporal import KEY
+from driftline.operators.sequence import PART_ROWS, pack, with_chunk
+from driftline.operators.temporal import KEY, pack_instants
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -50,11 +50,7 @@ def mfjson_float(pairs: Column, interpolation: str = "Linear") -> Column:
 def encode_mfjson(instants: DataFrame, key: Sequence[str] = KEY, interpolation: str = "Linear",
                   max_rows: int = PART_ROWS) -> DataFrame:
     """One MF-JSON text per trajectory; one per slice of time for very long ones."""
-    packed = (
-        time_parts(instants.select(*key, "t", "x", "y"), key, max_rows=max_rows)
-        .groupBy(*key, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("t", "x", "y"))).alias("instants"))
-    )
+    packed = pack_instants(instants, key, max_rows)
     return packed.select(*key, "part", F.to_json(mfjson_point(F.col("instants"), interpolation)).alias("trajectory"))
 
 
@@ -137,11 +133,7 @@ def export_feature_collection(
 
 def geometry_sequence(instants: DataFrame, feature: str = "feature_id", max_rows: int = PART_ROWS) -> DataFrame:
     """``feature, geom_id, part, geometry``: sequence entries of each feature."""
-    packed = (
-        time_parts(instants.select(feature, "geom_id", "t", "x", "y"), [feature, "geom_id"], max_rows=max_rows)
-        .groupBy(feature, "geom_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("t", "x", "y"))).alias("instants"))
-    )
+    packed = pack_instants(instants, [feature, "geom_id"], max_rows)
     return packed.select(
         feature, "geom_id", "part", mfjson_point(F.col("instants")).alias("geometry")
     )
@@ -153,11 +145,8 @@ def curve_document(
 ) -> DataFrame:
     """``TReal`` documents of a curve: one per trajectory, in parts when very long."""
     unit_column = F.lit(unit) if isinstance(unit, str) else unit
-    packed = (
-        time_parts(curve.select(*key, "t", value), key, max_rows=max_rows)
-        .groupBy(*key, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("t", F.col(value).alias("value")))).alias("pairs"))
-    )
+    pairs = F.sort_array(F.collect_list(F.struct("t", F.col(value).alias("value")))).alias("pairs")
+    packed = pack(with_chunk(curve, [*key, "t", value]), key, [pairs], max_rows=max_rows)
     return packed.select(
         *key, "part",
         F.struct(

@@ -214,6 +214,9 @@ def test_normalise_against_brute_force(wandering):
 def test_parts_of_a_long_path_are_whole(wandering):
     parts = T.pack_instants(wandering, max_rows=50)
     assert parts.filter("geom_id = 'hot'").count() == 8
+    chunked = T.pack_instants(wandering.withColumn("chunk", F.when(F.col("geom_id") == "hot", F.floor(F.col("x") / 40))), max_rows=10)
+    assert chunked.select(F.max(F.size("instants"))).first()[0] == 10
+    assert sorted(map(tuple, T.unpack_instants(chunked).collect())) == sorted(map(tuple, wandering.collect()))
     assert sorted(map(tuple, T.unpack_instants(parts).collect())) == sorted(map(tuple, wandering.collect()))
 
 
