@@ -7,9 +7,9 @@ pay nothing more than the plain window, and what must cross a chunk boundary tra
 as one row per chunk. Results equal those of the plain window.
 
 Sizes of the broadcasts: keys with more than ``max_rows`` rows number at most
-``rows / max_rows``, and all their cuts and chunks at most twice that. With the default
-this is at most one million short rows for 2e12 reports. A key of any size is spread
-over up to ``MAX_CHUNKS`` tasks.
+``rows / max_rows``, and all their cuts and chunks at most four times that. With the
+default this is at most two million short rows for 2e12 reports. A key of any size is
+spread over about ``MAX_CHUNKS`` tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 CHUNK = "chunk"
 CHUNK_ROWS = 4_000_000
 MAX_CHUNKS = 1024
-# As one text, since a thousand literal columns slow down every plan that holds them.
-SHARES = ",".join(str(i / MAX_CHUNKS) for i in range(1, MAX_CHUNKS))
+BINS = 65_536
 PART_ROWS = 500_000
 
 
@@ -34,26 +33,54 @@ def _matches(key: Sequence[str], prefix: str) -> list[Column]:
 def _cut_points(rows: DataFrame, key: Sequence[str], max_rows: int) -> DataFrame:
     """Large keys with the times that cut their rows into parts of about equal number.
 
-    A count finds the large keys; only their rows are read for the quantile sketches.
+    A count finds the large keys; only their rows are read again, for a histogram of
+    ``BINS`` equal spans of the key's life. Counts and bounds do not depend on the order
+    in which tasks end, so every branch of a plan and every retry sees the same cuts;
+    quantile sketches would not give that.
     """
     large = (
         rows.groupBy(*key)
-        .agg(F.count("*").alias("_n"))
+        .agg(F.count("*").alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
         .filter(F.col("_n") > max_rows)
         .select(
             *[F.col(k).alias(f"_h_{k}") for k in key],
+            "_n",
+            "_lo",
+            F.ceil((F.col("_hi") - F.col("_lo") + 1) / BINS).alias("_width"),
             F.least(F.ceil(F.col("_n") / max_rows), F.lit(MAX_CHUNKS)).cast("int").alias("_parts"),
         )
     )
-    at = F.transform(
-        F.sequence(F.lit(1), F.col("_parts") - 1),
-        lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * MAX_CHUNKS / F.col("_parts")).cast("int"))),
+    bins = (
+        rows.join(F.broadcast(large), _matches(key, "_h_"))
+        .withColumn("_bin", F.floor((F.col("_us") - F.col("_lo")) / F.col("_width")))
+        .groupBy(*key, "_n", "_lo", "_width", "_parts", "_bin")
+        .agg(F.count("*").alias("_in_bin"), F.min("_us").alias("_first"), F.max("_us").alias("_last"))
+    )
+    # A part begins with the bin where the running count passes the next share of rows.
+    before = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.col("_parts") / F.col("_n")
+    slot = F.floor(F.coalesce(F.sum("_in_bin").over(before), F.lit(0)) * share)
+    # A bin with the rows of several parts, as around a burst, is cut inside by time.
+    pieces = F.ceil(F.col("_in_bin") * share).cast("int")
+    inside = F.transform(
+        F.sequence(F.lit(1), pieces - 1),
+        lambda i: F.col("_first") + F.floor(i * (F.col("_last") - F.col("_first") + 1) / F.col("_pieces")),
+    )
+    nothing = F.array().cast("array<bigint>")
+    cuts = (
+        bins.withColumns({"_slot": slot, "_pieces": pieces})
+        .withColumn("_inside", F.when(F.col("_pieces") > 1, inside).otherwise(nothing))
+        .groupBy(*key, "_parts", "_slot")
+        .agg(
+            F.min(F.col("_lo") + F.col("_bin") * F.col("_width")).alias("_start"),
+            F.flatten(F.collect_list("_inside")).alias("_inside"),
+        )
+        .withColumn("_start", F.when(F.col("_slot") > 0, F.array("_start")).otherwise(nothing))
     )
     return (
-        rows.join(F.broadcast(large), _matches(key, "_h_"))
-        .groupBy(*key, "_parts")
-        .agg(F.percentile_approx("_us", F.split(F.lit(SHARES), ",").cast("array<double>"), 10_000).alias("_q"))
-        .select(*[F.col(k).alias(f"_h_{k}") for k in key], "_parts", at.alias("_cuts"))
+        cuts.groupBy(*key, "_parts")
+        .agg(F.flatten(F.collect_list(F.concat("_start", "_inside"))).alias("_cuts"))
+        .select(*[F.col(k).alias(f"_h_{k}") for k in key], "_parts", F.sort_array("_cuts").alias("_cuts"))
     )
 
 
@@ -75,7 +102,7 @@ def assign_chunks(
 ) -> DataFrame:
     """Add ``name``: NULL for ordinary keys, a number growing with time for large ones.
 
-    A key with ``n > max_rows`` rows is cut at quantiles of its times into
+    A key with ``n > max_rows`` rows is cut, by a histogram of its times, into about
     ``ceil(n / max_rows)`` chunks, at most ``MAX_CHUNKS``. Chunks hold about the same
     number of rows also where reports come in bursts. A frame that already has the
     column is returned unchanged.

@@ -247,3 +247,16 @@ def test_nested_parts_are_whole(spark):
 def test_describe(spark):
     rows = X.describe_table(spark.createDataFrame([], TABLES["collections"])).collect()
     assert [(r.column_name, r.data_type) for r in rows][:2] == [("id", "string"), ("title", "string")]
+
+
+def test_filters_reach_the_files(base):
+    from driftline.functions.geo import envelope
+    from driftline.operators.predicates import bbox_overlap, time_overlap
+
+    mine = base.geometries.filter("collection_id = 'belgium_ships'")
+    plan = time_overlap(bbox_overlap(mine, envelope(*S.PORT)), *S.MORNING).select("geom_id")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(xmin" in text and "GreaterThanOrEqual(tmax" in text
+    assert "PartitionFilters: [isnotnull(collection_id" in text
+    schema = text[text.index("ReadSchema"):]
+    assert "base" not in schema and "srid" not in schema
