@@ -249,10 +249,11 @@ def test_describe(spark):
     assert [(r.column_name, r.data_type) for r in rows][:2] == [("id", "string"), ("title", "string")]
 
 
-def test_filters_reach_the_files(base):
+def test_filters_reach_the_files(base, spark):
     from driftline.functions.geo import envelope
     from driftline.operators.predicates import bbox_overlap, time_overlap
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
     mine = base.geometries.filter("collection_id = 'belgium_ships'")
     plan = time_overlap(bbox_overlap(mine, envelope(*S.PORT)), *S.MORNING).select("geom_id")
     text = plan._jdf.queryExecution().executedPlan().toString()
