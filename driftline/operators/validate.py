@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions.geo import Envelope, envelope
 from driftline.functions.text import INTERPOLATIONS, ITEM_TYPE, PROPERTY_TYPES, slug
 
+# Page sizes, and below the error texts of the interface.
 MAX_PAGE = 10_000
 DEFAULT_PAGE = 10
 

@@ -354,7 +354,7 @@ def _(d):
 @register("speed_consistency", S.ctes("tracks", "reports", "cleaned", "inside", "dedup", "positions", "moves") + """
     SELECT mmsi, round(length, 3) AS length, round(gap, 6) AS gap_kmh FROM moves WHERE gap <= 1000""")
 def _(d):
-    ships = B.speed_consistency(clean_positions(d.reports), key=["mmsi"], max_gap=1000.0)
+    ships = B.speed_consistency(cut_lineage(clean_positions(d.reports)), key=["mmsi"], max_gap=1000.0)
     return rounded(rounded(ships, 3, "length"), 6, "gap_kmh")
 
 

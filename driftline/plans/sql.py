@@ -49,21 +49,21 @@ def _sum(coefficients, a: str, f: str, b: str = "", g: str = "") -> str:
 def utm32(source: str) -> str:
     """``source`` with columns ``east, north`` from ``lon, lat``."""
     s, d = "sin(radians(lat))", f"radians(lon-{_p.CENTRAL_MERIDIAN})"
-    north = f"{_p._rectifying!r}*(xi + {_sum(_p._FORWARD, 'xi', 'sin', 'eta', 'cosh')})"
-    east = f"{_p.FALSE_EASTING} + {_p._rectifying!r}*(eta + {_sum(_p._FORWARD, 'xi', 'cos', 'eta', 'sinh')})"
+    north = f"{_p.RECTIFYING!r}*(xi + {_sum(_p.FORWARD, 'xi', 'sin', 'eta', 'cosh')})"
+    east = f"{_p.FALSE_EASTING} + {_p.RECTIFYING!r}*(eta + {_sum(_p.FORWARD, 'xi', 'cos', 'eta', 'sinh')})"
     return f"""SELECT *, {east} AS east, {north} AS north FROM (
         SELECT *, atan2(ct, cos({d})) AS xi, atanh(sin({d})/sqrt(1+ct*ct)) AS eta FROM (
-        SELECT *, sinh(atanh({s}) - {_p._ecc!r}*atanh({_p._ecc!r}*{s})) AS ct FROM {source}))"""
+        SELECT *, sinh(atanh({s}) - {_p.ECCENTRICITY!r}*atanh({_p.ECCENTRICITY!r}*{s})) AS ct FROM {source}))"""
 
 
 def wgs84(source: str) -> str:
     """``source`` with columns ``lon, lat`` from ``e, n``."""
     return f"""SELECT *, {_p.CENTRAL_MERIDIAN} + degrees(atan2(sinh(eta1), cos(xi1))) AS lon,
-        degrees(chi + {_sum(_p._LATITUDE, 'chi', 'sin')}) AS lat FROM (
+        degrees(chi + {_sum(_p.LATITUDE, 'chi', 'sin')}) AS lat FROM (
         SELECT *, asin(sin(xi1)/cosh(eta1)) AS chi FROM (
-        SELECT *, xi - {_sum(_p._INVERSE, 'xi', 'sin', 'eta', 'cosh')} AS xi1,
-            eta - {_sum(_p._INVERSE, 'xi', 'cos', 'eta', 'sinh')} AS eta1 FROM (
-        SELECT *, n/{_p._rectifying!r} AS xi, (e-{_p.FALSE_EASTING})/{_p._rectifying!r} AS eta FROM {source} s)))"""
+        SELECT *, xi - {_sum(_p.INVERSE, 'xi', 'sin', 'eta', 'cosh')} AS xi1,
+            eta - {_sum(_p.INVERSE, 'xi', 'cos', 'eta', 'sinh')} AS eta1 FROM (
+        SELECT *, n/{_p.RECTIFYING!r} AS xi, (e-{_p.FALSE_EASTING})/{_p.RECTIFYING!r} AS eta FROM {source} s)))"""
 
 
 REPORT_COLUMNS = ("t", "mmsi", "lat", "lon", "sog", "cog", "heading", "navigational_status", "imo", "callsign",

@@ -10,4 +10,4 @@ from driftline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests", 4)
+    return local_session(8, "tests", 4)
