@@ -6,8 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import canonical
+from driftline.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not at hand")
@@ -26,9 +27,9 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = queries()[name](spark, FOLDER).toPandas()
-    want = con.sql(oracle_sql()[name]).df()
+    got = QUERIES[name](spark, FOLDER).toPandas()
+    want = con.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
