@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import licenses, mixing, urls
+from driftline.llm import bpe, licenses, mixing, neardup, urls
 from driftline.llm.common import read
 
 
@@ -14,17 +14,27 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, folder, "documents"))
 
 
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.token_digests(read(spark, folder, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(read(spark, folder, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, folder, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(read(spark, folder, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_bpe": op2_bpe,
     "op4_mix_sources": op4_mix_sources,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_url_filter": op8_url_filter,
 }
 ORACLE: dict[str, str] = {

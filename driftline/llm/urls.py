@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import lower_ascii
+from driftline.llm.common import lower_ascii, ship
 
 # The rules of the contract, (action, host, path).
 RULES = (
@@ -109,6 +109,7 @@ def judge_urls(
     threshold: int = THRESHOLD,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, and the numbers of terms. Reads the columns page_id and url only."""
+    ship(pages.sparkSession)
     parts = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     found = parts.select(
         "page_id", "host", "path",
