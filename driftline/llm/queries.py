@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, licenses, mixing, neardup, urls
+from driftline.llm import bpe, fingerprints, licenses, mixing, neardup, urls
 from driftline.llm.common import read
 
 
@@ -30,15 +30,21 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(read(spark, folder, "pages"))
 
 
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_table(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
     "op4_mix_sources": op4_mix_sources,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_url_filter": op8_url_filter,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.licenses_sql(),
     "op4_mix_sources": mixing.mixing_sql(),
     "op8_url_filter": urls.urls_sql(),
+    "op10_fingerprints": fingerprints.fingerprints_sql(),
 }
