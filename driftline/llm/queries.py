@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, fingerprints, licenses, mixing, neardup, urls
+from driftline.llm import bpe, fingerprints, licenses, mixing, neardup, quality, urls
 from driftline.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(read(spark, folder, "pages"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_table(read(spark, folder, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE: dict[str, str] = {
