@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, fingerprints, licenses, mixing, neardup, quality, toxicity, urls
+from driftline.llm import bpe, fingerprints, language, licenses, mixing, neardup, quality, toxicity, urls
 from driftline.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(read(spark, folder, "documents"))
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict_language(read(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
     "op4_mix_sources": op4_mix_sources,
+    "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_url_filter": op8_url_filter,
