@@ -246,3 +246,21 @@ def near_duplicates(
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
     )
+
+
+#: Dropped ids (8 bytes each) up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest id, and each repeated row once."""
+    dropped = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
+    dropped = cut_lineage(dropped)
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    repeated = cut_lineage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return rest
+    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return rest.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)

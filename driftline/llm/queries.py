@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, fingerprints, language, licenses, mixing, neardup, quality, toxicity, urls
+from driftline.llm import bpe, fingerprints, language, licenses, mixing, neardup, neighbours, quality, toxicity, urls
 from driftline.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(read(spark, folder, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read(spark, folder, "embeddings"))
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(read(spark, folder, "documents"))
 
@@ -49,6 +53,7 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_mix_sources": op4_mix_sources,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
