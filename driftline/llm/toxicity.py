@@ -17,7 +17,7 @@ What makes this work on short windows:
   matches only.
 
 Training is on a bounded sample: ``TRAIN_ROWS`` of each label, those with the smallest hash of the
-id; half pick the words, half calibrate. Without a toxic and an ordinary training row the score is
+id. Without a toxic and an ordinary training row the score is
 0. Every text is scored whole, A-Z in lower case; null and empty texts have one empty window and
 the score of distance 0. Rows are scored one by one, in any number; labels, lang, source and the
 id are no input of a score.
@@ -39,7 +39,7 @@ from driftline.llm.quality import training_rows
 from driftline.session import cut_lineage
 
 WINDOW, TOP = 48, 3
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 3_000
 #: Numbers of toxic words that calibration chooses from.
 SIZES = (16, 24, 32, 48, 64, 96)
 FILL = 2_000
@@ -130,34 +130,40 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, left_out: int = 2) -> Model | None:
+    """Dictionaries of all training rows; their size and the curve from rows that the dictionaries have not seen.
+
+    Words ranked on either half of the rows make dictionaries that are tried on the other half.
+    """
+    ship(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", folds, left_out, TRAIN_ROWS)
     rows = cut_lineage(rows.repartition(F.col("h")))
-    bad, usual = ranked_words(rows.where("h % 2 = 0"))
-    if not bad:
+    ranked = [ranked_words(rows.where(F.pmod("h", F.lit(2)) != half)) for half in (0, 1)]
+    whole = ranked_words(rows)
+    if not (whole[0] and ranked[0][0] and ranked[1][0]):
         return None
-    pairs = docs.sparkSession.sparkContext.broadcast([contents(bad, usual, size) for size in SIZES])
+    pairs = docs.sparkSession.sparkContext.broadcast([[contents(*r, size) for size in SIZES] for r in ranked])
 
     @F.pandas_udf("array<double>")
-    def tried(texts: pd.Series) -> pd.Series:
-        both = [(compressor(t), compressor(o)) for t, o in pairs.value]
-        return texts.map(lambda text: [d for t, o in both for d in largest_distances(text, t, o)])
-
-    # At most TRAIN_ROWS rows of a few numbers come to the driver.
-    found = rows.where("h % 2 <> 0").select("y", tried("text").alias("d")).toPandas()
-    if not len(found):
-        return None
+    def tried(texts: pd.Series, halves: pd.Series) -> pd.Series:
+        both = [[(compressor(t), compressor(o)) for t, o in of_half] for of_half in pairs.value]
+        return pd.Series([
+            [d for t, o in both[half] for d in largest_distances(text, t, o)] for text, half in zip(texts, halves)
+        ])
+
+    # At most twice TRAIN_ROWS rows of a few numbers come to the driver.
+    found = rows.select("y", tried("text", F.pmod("h", F.lit(2)).cast("int")).alias("d")).toPandas()
     y = found["y"].to_numpy(float)
     share = labels.where(fold(F.col("doc_id"), folds) != left_out).agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.5
     have = min(max(y.mean(), 1e-6), 1 - 1e-6)
     weight = np.where(y == 1, share / have, (1 - share) / (1 - have))
     x = np.array(found["d"].tolist(), float).reshape(len(y), len(SIZES), TOP)
     best = None
-    for k, pair in enumerate(pairs.value):
+    for k, size in enumerate(SIZES):
         w = logistic(x[:, k], y, weight)
         p = 1 / (1 + np.exp(-np.clip(np.column_stack([x[:, k], np.ones(len(y))]) @ w, -30, 30)))
         loss = -(weight * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum()
         if best is None or loss < best[0]:
-            best = loss, Model(*pair, tuple(w))
+            best = loss, Model(*contents(*whole, size), tuple(w))
     return best[1]
 
 
