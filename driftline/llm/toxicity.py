@@ -41,7 +41,7 @@ from driftline.session import cut_lineage
 WINDOW, TOP = 48, 3
 TRAIN_ROWS = 3_000
 #: Numbers of toxic words that calibration chooses from.
-SIZES = (16, 24, 32, 48, 64, 96)
+SIZES = (8, 12, 16, 24, 32, 48, 64, 96)
 FILL = 2_000
 MIN_MATCH = 7
 CLIP = 10.0
@@ -118,9 +118,19 @@ def ranked_words(rows: DataFrame) -> tuple[list[str], list[str]]:
     return [r["w"] for r in by_contrast.collect()], [r["w"] for r in by_number.collect()]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of x and, last, the bias: Newton steps on the weighted log likelihood with a small ridge."""
-    x = np.column_stack([x, np.ones(len(x))])
+def curve_inputs(distances: np.ndarray) -> np.ndarray:
+    """The distances, steps at the lengths of one short and one long word for the two largest, and 1."""
+    steps = [distances[:, i] >= at for i in (0, 1) for at in (3, 4, 5)]
+    return np.column_stack([distances, *steps, np.ones(len(distances))])
+
+
+def probability(distances: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve_inputs(distances) @ weights, -30, 30)))
+
+
+def logistic(distances: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
+    """Weights of the curve's inputs: Newton steps on the weighted log likelihood with a small ridge."""
+    x = curve_inputs(distances)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -160,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, left_out: int = 2)
     best = None
     for k, size in enumerate(SIZES):
         w = logistic(x[:, k], y, weight)
-        p = 1 / (1 + np.exp(-np.clip(np.column_stack([x[:, k], np.ones(len(y))]) @ w, -30, 30)))
+        p = probability(x[:, k], w)
         loss = -(weight * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum()
         if best is None or loss < best[0]:
             best = loss, Model(*contents(*whole, size), tuple(w))
@@ -178,7 +188,7 @@ def toxicity(text: Column, spark, model: Model | None) -> Column:
         m = shared.value
         t, o = compressor(m.toxic), compressor(m.ordinary)
         x = np.array([largest_distances(text, t, o) for text in texts], float).reshape(len(texts), TOP)
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(m.weights[:-1]) + m.weights[-1], -30, 30))))
+        return pd.Series(probability(x, np.array(m.weights)))
 
     return score(F.coalesce(text, F.lit("")))
 
