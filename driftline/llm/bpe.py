@@ -10,13 +10,14 @@ back from the end gives the ids, the same as merging pairs by rank.
 ``ids`` are packed as little-endian unsigned 32-bit integers in a binary column, so that a long
 text needs no object for each token. A null text counts as empty and has no tokens. Texts of any
 length are encoded whole, in time linear in their length. Words already encoded are remembered
-in each worker, up to ``REMEMBERED``; then the memory starts anew.
+in each worker, up to a bound; what has been met lately stays, the rest is forgotten.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import ship
 
+#: Entries of each half of a memory.
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
 
 # White space as the pre-tokenizing pattern understands it, and this pattern.
+SPACES = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -51,6 +54,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Values by key, in two halves: when the new one is full it becomes the old one, which is forgotten.
+
+    A value found in the old half moves to the new one, so what is met again and again stays.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+
+    def recall(self, key):
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
     """A byte-level tokenizer file as read from ``path``."""
 
@@ -71,17 +97,15 @@ class Encoder:
             self.merge[a, b] = rank
             self.halves.setdefault(made, (rank, a, b))
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both ids in one number
         self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
             if len(token) == 1 or (h := self.halves.get(i)) and self.first_across(h[1], h[2]) == h[0]:
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.part = regex.compile(PATTERN)
-        self.beside_space = re.compile(f"^[{SPACE}]|[{SPACE}]$|[{SPACE}] | [{SPACE}]")
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memory(), Memory()
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that once stood at a token's end (side 2) or start (side 1), each with the rank at which it went."""
@@ -109,67 +133,66 @@ class Encoder:
         return first
 
     def may_follow(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) > 4 * REMEMBERED:
-                self.fits.clear()
-            known = self.fits[a, b] = self.first_across(a, b) == float("inf")
-        return known
+        if len(self.fits) > 2 * REMEMBERED:
+            self.fits.clear()
+        fits = self.fits[a << 32 | b] = self.first_across(a, b) == float("inf")
+        return fits
 
     def encode_part(self, part: str) -> bytes:
         """Ids of a part of text, by the last token of each of its prefixes."""
-        known = self.parts.get(part)
+        known = self.parts.get(part) or self.parts.recall(part)
         if known is not None:
             return known
         letters = part.encode().decode("latin-1")
-        last: list[tuple[int, int]] = [(-1, 0)] * (len(letters) + 1)
-        fits, may_follow, done = self.fits, self.may_follow, 0
-        for end, token in self.automaton.iter(letters):
+        at = len(letters)
+        last, size_of = [0] * (at + 1), [0] * (at + 1)
+        fits, may_follow = self.fits.get, self.may_follow
+        for end, (token, size) in self.automaton.iter(letters):
             end += 1
-            if end == done:
+            if size_of[end]:
                 continue
-            start = end - token[1]
-            if start:
-                before = last[start][0]
-                ok = fits.get((before, token[0]))
+            if end != size:
+                before = last[end - size]
+                ok = fits(before << 32 | token)
                 if ok is None:
-                    ok = may_follow(before, token[0])
+                    ok = may_follow(before, token)
                 if not ok:
                     continue
             last[end] = token
-            done = end
-        ids, at = [], len(letters)
+            size_of[end] = size
+        ids = []
         while at:
-            ids.append(last[at][0])
-            at -= last[at][1]
-        packed = np.array(ids[::-1], "<u4").tobytes()
+            ids.append(last[at])
+            at -= size_of[at]
+        ids.reverse()
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(part) <= LONGEST_REMEMBERED:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[part] = packed
+            self.parts.keep(part, packed)
         return packed
 
     def encode_word(self, word: str) -> bytes:
         """Ids of a stretch of text at whose ends the pattern parts text anyway."""
-        known = self.words.get(word)
+        known = self.words.recall(word)
         if known is None:
             known = b"".join(map(self.encode_part, self.part.findall(word)))
             if len(word) <= LONGEST_REMEMBERED:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = known
+                self.words.keep(word, known)
         return known
 
     def encode_plain(self, text: str) -> bytes:
         """A lone space between other letters always starts a part: such texts are encoded word by word."""
-        if not text or self.beside_space.search(text):
+        if not text:
+            return b""
+        found = [c for c in SPACES if c in text]
+        if (
+            text[0] == " " or text[-1] == " " or "  " in text or text[0] in found or text[-1] in found
+            or any(f"{c} " in text or f" {c}" in text for c in found)
+        ):
             return b"".join(map(self.encode_part, self.part.findall(text)))
         first, *rest = text.split(" ")
         remembered, word = self.words.get, self.encode_word
         packed = [word(first)]
-        for w in rest:
-            w = " " + w
-            packed.append(remembered(w) or word(w))
+        packed += [remembered(w) or word(w) for w in [" " + w for w in rest]]
         return b"".join(packed)
 
     def encode(self, text: str) -> bytes:
