@@ -21,9 +21,9 @@ def slug(title: Column) -> Column:
 
 
 def srid_of(crs_properties: Column) -> Column:
-    """First run of digits in the CRS description, else WGS 84."""
+    """First run of digits in the CRS description; WGS 84 where there is none or it is no integer."""
     digits = F.nullif(F.regexp_extract(crs_properties, r"(\d+)", 1), F.lit(""))
-    return F.coalesce(F.try_to_number(digits, F.lit("9999999999")).cast("int"), F.lit(DEFAULT_SRID))
+    return F.coalesce(digits.try_cast("int"), F.lit(DEFAULT_SRID))
 
 
 def length_unit(srid: Column) -> Column:

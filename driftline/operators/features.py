@@ -113,12 +113,13 @@ def lookup_features(requests: DataFrame, features: DataFrame, geometries: DataFr
 
 def feature_page(
     features: DataFrame,
-    limit: int = 10,
+    limit: int | None = 10,
     after: tuple | None = None,
 ) -> DataFrame:
     """One page in ``(created_at, feature_id)`` order; ``after`` is the last key of the page before.
 
-    Spark runs order and limit together as a top-k with per-task heaps.
+    Spark runs order and limit together as a top-k with per-task heaps. Without a limit all rows
+    after the key are the page, in no order.
     """
     rows = features
     if after is not None:
@@ -126,10 +127,10 @@ def feature_page(
         rows = rows.filter(
             (F.col("created_at") > at) | ((F.col("created_at") == at) & (F.col(FEATURE) > ident))
         )
-    return rows.orderBy("created_at", FEATURE).limit(limit)
+    return rows if limit is None else rows.orderBy("created_at", FEATURE).limit(limit)
 
 
-def page_counts(features: DataFrame, geometries: DataFrame, limit: int) -> DataFrame:
+def page_counts(features: DataFrame, geometries: DataFrame, limit: int | None) -> DataFrame:
     """``number_matched`` features, ``joined_rows`` of feature x trajectory, ``number_returned``.
 
     Plain aggregates: a count over an unpartitioned window would gather all rows.
@@ -141,7 +142,7 @@ def page_counts(features: DataFrame, geometries: DataFrame, limit: int) -> DataF
             F.count(FEATURE).alias("number_matched"),
             F.sum(F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1))).alias("joined_rows"),
         )
-        .withColumn("number_returned", F.least("number_matched", F.lit(limit).cast("long")))
+        .withColumn("number_returned", F.least("number_matched", F.lit(limit).cast("long")) if limit is not None else F.col("number_matched"))
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftline.operators.properties import continuity_check, property_conflicts
 from driftline.operators.sequence import running_max_before
 from driftline.operators.validate import accepted, validate_values
+from driftline.session import cut_lineage
 
 
 def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -139,8 +140,12 @@ def append_properties(properties: DataFrame, incoming: DataFrame) -> tuple[DataF
 def append_values(values: DataFrame, batches: DataFrame, **chunking) -> tuple[DataFrame, DataFrame]:
     """Next snapshot, and the well-formed batches refused for starting too early.
 
-    A batch is taken when it starts after all stored values of its property and after
-    the end of every batch of this call that starts before it (ties by ``value_id``).
+    A batch is taken when it starts after all stored values of its property and after the
+    end of every batch of this call that was taken before it, in order of start and
+    ``value_id``. A batch that starts after the ends of all earlier ones is taken whatever
+    became of those, and opens an island; only within an island of overlapping batches do
+    they depend on each other, and are told apart by their ends alone. ``last_time`` of a
+    refused batch is the end it had to start after.
     """
     judged = continuity_check(accepted(validate_values(batches)), values).withColumns(
         {
@@ -148,10 +153,33 @@ def append_values(values: DataFrame, batches: DataFrame, **chunking) -> tuple[Da
             "_end": F.try_element_at("datetimes", F.lit(-1)),
         }
     )
-    ordered = running_max_before(judged, ["property_id"], "_start", "_end", "_until", ["value_id"], **chunking)
-    free = F.col("continuous") & (F.col("_until").isNull() | (F.col("_until") < F.col("_start")))
-    taken = ordered.filter(free).select(*batches.columns)
-    refused = ordered.filter(~free).select(
-        *batches.columns, F.greatest("last_time", "_until").alias("last_time")
+    late = judged.filter(~F.col("continuous")).select(*batches.columns, "last_time")
+    open_ones = judged.filter("continuous").select(*batches.columns, "_start", "_end")
+    # A few numbers for each batch, written once: the two running maxima refer to them many times.
+    brief = cut_lineage(open_ones.select("property_id", "value_id", "_start", "_end"))
+    brief = cut_lineage(running_max_before(brief, ["property_id"], "_start", "_end", "_until", ["value_id"], **chunking))
+    opens = F.when(F.col("_until").isNull() | (F.col("_until") < F.col("_start")), F.col("_start"))
+    brief = running_max_before(
+        brief.withColumn("_opens", opens), ["property_id"], "_start", "_opens", "_earlier", ["value_id"], **chunking
+    ).withColumn("_island", F.coalesce("_opens", "_earlier"))
+    islands = brief.groupBy("property_id", "_island").agg(
+        F.sort_array(F.collect_list(F.struct("_start", "value_id", "_end"))).alias("_members")
     )
-    return values.unionByName(taken, allowMissingColumns=True), refused
+    nothing = F.struct(
+        F.lit(None).cast(batches.schema["datetimes"].dataType.elementType).alias("until"),
+        F.array().cast(f"array<struct<value_id:{batches.schema['value_id'].dataType.simpleString()},after:{batches.schema['datetimes'].dataType.elementType.simpleString()},taken:boolean>>").alias("found"),
+    )
+
+    def take(state: Column, batch: Column) -> Column:
+        free = state["until"].isNull() | (state["until"] < batch["_start"])
+        found = F.struct(batch["value_id"].alias("value_id"), state["until"].alias("after"), free.alias("taken"))
+        return F.struct(
+            F.when(free, batch["_end"]).otherwise(state["until"]).alias("until"),
+            F.concat(state["found"], F.array(found)).alias("found"),
+        )
+
+    verdicts = islands.select("property_id", F.inline(F.aggregate("_members", nothing, take)["found"]))
+    told = open_ones.join(verdicts, ["property_id", "value_id"])
+    taken = told.filter("taken").select(*batches.columns)
+    refused = told.filter("NOT taken").select(*batches.columns, F.col("after").alias("last_time"))
+    return values.unionByName(taken, allowMissingColumns=True), late.unionByName(refused)

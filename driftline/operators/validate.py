@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from math import isfinite
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -74,10 +76,19 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("errors") > 0)
 
 
+def _moment(text: str) -> dt.datetime:
+    """The time that a text names, in UTC where it has no zone."""
+    try:
+        found = dt.datetime.fromisoformat(text)
+    except ValueError:
+        raise ValueError("Invalid datetime parameter") from None
+    return found if found.tzinfo else found.replace(tzinfo=dt.timezone.utc)
+
+
 class ItemQuery(NamedTuple):
     """Checked arguments of an items query; ``start``/``end`` are None where open."""
 
-    limit: int
+    limit: int | None
     box: Envelope | None
     timed: bool
     start: str | None
@@ -87,19 +98,24 @@ class ItemQuery(NamedTuple):
 
 
 def item_query(
-    limit: int | str = DEFAULT_PAGE,
+    limit: int | str | None = DEFAULT_PAGE,
     bbox: str | None = None,
     datetime: str | None = None,
     sub_trajectory: bool = False,
     leaf: bool = False,
 ) -> ItemQuery:
-    """Check the arguments before any plan is built; raises ``ValueError``."""
-    try:
-        rows = min(int(limit), MAX_PAGE)
-    except (TypeError, ValueError):
-        raise ValueError("Invalid limit parameter") from None
-    if rows < 0:
-        raise ValueError("Invalid limit parameter")
+    """Check the arguments before any plan is built; raises ``ValueError``.
+
+    A limit beyond ``MAX_PAGE`` is refused, not lowered; None asks for all features.
+    """
+    rows = None
+    if limit is not None:
+        try:
+            rows = int(limit)
+        except (TypeError, ValueError):
+            raise ValueError("Invalid limit parameter") from None
+        if not 0 <= rows <= MAX_PAGE:
+            raise ValueError("Invalid limit parameter")
     if sub_trajectory and leaf:
         raise ValueError("subTrajectory cannot be used with leaf")
     box = None
@@ -108,7 +124,7 @@ def item_query(
             numbers = [float(part) for part in bbox.split(",")]
         except ValueError:
             raise ValueError("Invalid bbox coordinates") from None
-        if len(numbers) != 4:
+        if len(numbers) != 4 or not all(map(isfinite, numbers)):
             raise ValueError("Invalid bbox format - must be 4 numbers")
         box = envelope(*numbers)
     start = end = None
@@ -122,6 +138,9 @@ def item_query(
         else:
             start, end = (None if p in ("", "..") else p for p in parts)
             bounded = start is not None and end is not None
+        times = [_moment(t) for t in (start, end) if t is not None]
+        if times != sorted(times):
+            raise ValueError("Invalid datetime parameter")
     if sub_trajectory and not bounded:
         raise ValueError("subTrajectory requires a bounded datetime interval")
     return ItemQuery(rows, box, start is not None or end is not None, start, end, sub_trajectory, leaf)

@@ -43,8 +43,9 @@ def items(
     """One page of features, their matching trajectories, and the counts.
 
     ``features`` are those of one collection. With a box or interval, features without
-    a match are left out. The page is taken before any instant is read; it has at most
-    the page cap of features, which bounds the broadcast of its keys. Trajectories come
+    a match are left out. The page is taken before any instant is read; with a
+    limit it has at most the page cap of features, which bounds the broadcast of its keys;
+    without one it is all features and nothing is broadcast. Trajectories come
     as MF-JSON structs with shape; very long ones in ``part`` slices of time.
     """
     matched = matched_geometries(geometries, query).drop("collection_id")
@@ -52,7 +53,8 @@ def items(
     if query.box is not None or query.timed:
         candidates = features.join(matched.select(FEATURE).distinct(), FEATURE, "left_semi")
     page = feature_page(candidates, query.limit, after)
-    here = matched.join(F.broadcast(page.select(FEATURE)), FEATURE, "left_semi")
+    keys = page.select(FEATURE)
+    here = matched.join(keys if query.limit is None else F.broadcast(keys), FEATURE, "left_semi")
     points = instants.select(GEOMETRY, "t", "x", "y").join(here.select(GEOMETRY), GEOMETRY, "left_semi")
 
     path = temporal.subtrajectory(points, query.start, query.end) if query.sub_trajectory else points

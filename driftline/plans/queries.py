@@ -620,8 +620,7 @@ def _(d):
 ITEMS_SQL = S.ctes("tracks", "features", "boxes", "seq") + f"""
     , matched AS (SELECT geom_id, geom_id // 10 AS feature_id FROM boxes WHERE xmin <= 260 AND xmax >= 200
         AND ymin <= 60 AND ymax >= 40 AND tmin <= TIMESTAMP '{END}' AND tmax >= TIMESTAMP '{START}'),
-    page AS (SELECT feature_id, collection_id FROM features WHERE feature_id IN (SELECT feature_id FROM matched)
-        ORDER BY created_at, feature_id LIMIT 10000)"""
+    page AS (SELECT feature_id, collection_id FROM features WHERE feature_id IN (SELECT feature_id FROM matched))"""
 
 
 @register("items", ITEMS_SQL + f"""
@@ -633,7 +632,7 @@ ITEMS_SQL = S.ctes("tracks", "features", "boxes", "seq") + f"""
         CASE WHEN count(*) = 1 THEN 'Point' ELSE 'LineString' END AS shape_type
     FROM page JOIN matched USING (feature_id) JOIN cut USING (geom_id) GROUP BY feature_id, geom_id""")
 def _(d):
-    query = V.item_query(V.MAX_PAGE, "260,60,200,40", f"{START}/{END}", sub_trajectory=True)
+    query = V.item_query(None, "260,60,200,40", f"{START}/{END}", sub_trajectory=True)
     times = F.col("sequence.datetimes")
     return items(d.features, d.geometries, d.tracks, query).geometries.select(
         "feature_id", "geom_id", "n_instants",
@@ -647,7 +646,7 @@ def _(d):
     SELECT feature_id, geom_id, max(t) AS t_last, 'Discrete' AS interpolation
     FROM page JOIN matched USING (feature_id) JOIN seq USING (geom_id) GROUP BY feature_id, geom_id""")
 def _(d):
-    query = V.item_query(V.MAX_PAGE, "200,40,260,60", f"{START}/{END}", leaf=True)
+    query = V.item_query(None, "200,40,260,60", f"{START}/{END}", leaf=True)
     return items(d.features, d.geometries, d.tracks, query).geometries.select(
         "feature_id", "geom_id",
         parse_time(F.try_element_at("sequence.datetimes", F.lit(1))).alias("t_last"),

@@ -45,15 +45,13 @@ def read_ais_csv(spark: SparkSession, path: str, keep_bad_rows: bool = False) ->
     return reader.schema(AIS_REPORT).option("mode", "FAILFAST").csv(path)
 
 
-def read_ais_profile(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """Eleven columns by name, as text but for the parsed time; ``rows`` caps the read.
+def read_ais_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Eleven columns by name, as text but for the parsed time.
 
     Column types come from the heading line, so only wanted columns are parsed.
     """
     raw = spark.read.option("header", True).csv(path)
     picked = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in PROFILE_COLUMNS.items()])
-    if rows is not None:
-        picked = picked.limit(rows)
     return picked.withColumn("t", F.to_timestamp("t", DAY_FIRST))
 
 

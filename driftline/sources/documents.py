@@ -14,6 +14,7 @@ from driftline.operators.temporal import extent
 from driftline.schemas import FEATURE_DOCUMENT, PROPERTY_MEMBER, TRAJECTORY_DOCUMENT
 
 BLOCK = "map<string,string>"
+BAD_PATH = "Invalid 'temporalGeometry'"
 
 
 def decode_trajectory(text: Column) -> Column:
@@ -44,6 +45,22 @@ def decode_mfjson(docs: DataFrame, column: str = "trajectory", keep: tuple[str,
     )
 
 
+def _bad_path(member: Column) -> Column:
+    """Whether a feature has a path that cannot be stored whole: no JSON, lists missing or of unlike
+    length, a time or place that cannot be read, or a time twice. A feature may have no path.
+    """
+    given = F.get_json_object(member, "$.temporalGeometry")
+    path = decode_trajectory(given)
+    times, places = F.transform(path["datetimes"], parse_time), path["coordinates"]
+    fits = (
+        (F.size(times) == F.size(places))
+        & ~F.exists(times, lambda t: t.isNull())
+        & ~F.exists(places, lambda p: p.isNull() | F.try_element_at(p, F.lit(1)).isNull() | F.try_element_at(p, F.lit(2)).isNull())
+        & (F.size(F.array_distinct(times)) == F.size(times))
+    )
+    return given.isNotNull() & ~F.coalesce(times.isNotNull() & places.isNotNull() & fits, F.lit(False))
+
+
 def split_documents(docs: DataFrame, body: str = "body") -> DataFrame:
     """One row per feature text (``member``), or one with the ``error`` of the document."""
     text = F.col(body)
@@ -58,7 +75,11 @@ def split_documents(docs: DataFrame, body: str = "body") -> DataFrame:
     rows = F.when(error.isNotNull(), F.array(F.lit(None).cast("string"))).when(kind == "Feature", F.array(text)).otherwise(members)
     split = docs.withColumns({"error": error, "member": F.explode(rows)})
     bad_member = F.col("error").isNull() & ~F.get_json_object("member", "$.type").eqNullSafe("Feature")
-    return split.withColumn("error", F.when(bad_member, F.lit("Invalid feature type")).otherwise(F.col("error")))
+    bad_path = F.col("error").isNull() & _bad_path(F.col("member"))
+    return split.withColumn(
+        "error",
+        F.when(bad_member, F.lit("Invalid feature type")).when(bad_path, F.lit(BAD_PATH)).otherwise(F.col("error")),
+    )
 
 
 def rejected_documents(docs: DataFrame, body: str = "body") -> DataFrame:

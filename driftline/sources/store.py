@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +33,23 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _within(file: str, folder: str) -> bool:
+    """Whether a file of a scan lies below a folder, however both name the local file system."""
+    def plain(path: str) -> str:
+        return re.sub("/+", "/", unquote(path).removeprefix("file:"))
+
+    return plain(file).startswith(plain(folder).rstrip("/") + "/")
+
+
 def write_table(df: DataFrame, name: str, root: str, mode: str = "overwrite", files: int | None = None) -> None:
-    """Write a snapshot under ``root``. Never to the place the frame is read from.
+    """Write a snapshot under ``root``; raises where an overwrite would destroy what the frame is read from.
 
     Rows are range-partitioned on the clustering columns, which splits a collection or
     trajectory of any size over many files and keeps Parquet statistics narrow.
     """
+    target = f"{root}/{name}"
+    if mode == "overwrite" and any(_within(f, target) for f in df.inputFiles()):
+        raise ValueError(f"{name} is read from {target}: write the snapshot to another folder")
     rows = conform(df, name)
     by = [c for c in ("collection_id",) if c in rows.columns]
     order = [*by, *CLUSTERING[name]]
@@ -43,7 +57,7 @@ def write_table(df: DataFrame, name: str, root: str, mode: str = "overwrite", fi
     writer = spread.sortWithinPartitions(*order).write.mode(mode)
     if by:
         writer = writer.partitionBy(*by)
-    writer.parquet(f"{root}/{name}")
+    writer.parquet(target)
 
 
 def read_table(spark: SparkSession, name: str, root: str) -> DataFrame:

@@ -87,12 +87,14 @@ def _continue(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) ->
     rows, start, end = rows.iloc[order].reset_index(drop=True), start[order], end[order]
     none = np.iinfo("int64").min
     last = state.get[0] if state.exists else none
-    before = np.maximum.accumulate(np.concatenate([[last], end[:-1]]))
-    taken = start > before
+    before, taken = np.empty(len(rows), "int64"), np.zeros(len(rows), bool)
+    for i, (s, e) in enumerate(zip(start, end)):
+        before[i], taken[i] = last, s > last
+        last = max(last, e) if taken[i] else last
     known = before != none
     last_time = pd.Series(np.where(known, before, 0).astype("datetime64[us]")).where(known)
     if taken.any():
-        state.update((int(max(last, end[taken].max())),))
+        state.update((int(last),))
     yield rows.assign(taken=taken, last_time=last_time)[
         ["value_id", "property_id", "datetimes", "values", "interpolation", "taken", "last_time"]
     ]

@@ -102,6 +102,8 @@ def test_paging(base):
     dict(limit="many"), dict(bbox="1,2,3"), dict(bbox="a,b,c,d"), dict(sub_trajectory=True),
     dict(sub_trajectory=True, datetime="2024-01-01T00:00:00Z"), dict(sub_trajectory=True, datetime="2024-01-01/.."),
     dict(sub_trajectory=True, leaf=True, datetime="2024-01-01/2024-01-02"), dict(datetime="a/b/c"),
+    dict(limit=99999), dict(limit=-1), dict(datetime="abc/def"), dict(datetime="2024-01-02/2024-01-01"),
+    dict(datetime="noon"), dict(bbox="1,2,nan,4"), dict(bbox="1,2,inf,4"),
 ])
 def test_bad_arguments(arguments):
     with pytest.raises(ValueError):
@@ -109,7 +111,7 @@ def test_bad_arguments(arguments):
 
 
 def test_arguments():
-    assert V.item_query(limit=99999).limit == 10000
+    assert V.item_query(limit=10000).limit == 10000 and V.item_query(limit=None).limit is None
     assert V.item_query(bbox="3,4,1,2").box == (1, 2, 3, 4)
     open_end = V.item_query(datetime="2024-01-01/..")
     assert (open_end.timed, open_end.start, open_end.end) == (True, "2024-01-01", None)
@@ -223,41 +225,68 @@ def test_appended_path(base, spark):
 
 def test_inline_properties(spark):
     doc = ship_document("msc_zoe", temporalProperties=[
-        {"datetimes": ["2011-07-14T22:01:01.450Z", "2011-07-14T23:01:01.450Z"],
-         "length": {"type": "Measure", "form": "m", "values": [1, 2.4], "interpolation": "Linear", "description": "d"},
-         "discharge": {"type": "Measure", "form": "MQS", "values": [3, 4]}},
-        {"datetimes": ["2011-07-15T23:01:01.450Z"], "labels": {"type": "Text", "values": ["car"], "interpolation": "Discrete"}},
+        {"datetimes": ["2024-03-05T06:00:00.250Z", "2024-03-05T06:10:00.250Z", "2024-03-05T06:20:00.250Z"],
+         "draught": {"type": "TReal", "form": "MTR", "values": [9.5, 9.25, 9], "interpolation": "Step", "description": "keel depth"},
+         "fuel": {"type": "TReal", "form": "LTR", "values": [70, 64, 61]}},
+        {"datetimes": ["2024-03-06T18:45:00.125Z"], "pilot": {"type": "TBoolean", "values": [True], "interpolation": "Discrete"}},
     ])
     docs = spark.createDataFrame([(json.dumps(doc),)], "body string")
     rows = {r.property_name: r for r in documents.inline_properties(documents.parsed_features(docs)).collect()}
-    assert set(rows) == {"length", "discharge", "labels"}
-    assert rows["length"]["values"] == ["1", "2.4"] and rows["discharge"].interpolation == "Linear"
-    assert rows["labels"].block == 1 and rows["labels"].datetimes[0].microsecond == 450000
+    assert set(rows) == {"draught", "fuel", "pilot"}
+    assert rows["draught"]["values"] == ["9.5", "9.25", "9"] and rows["fuel"].interpolation == "Linear"
+    assert rows["pilot"].block == 1 and rows["pilot"].datetimes[0].microsecond == 125000
 
 
-def test_nested_parts_are_whole(spark):
-    geometries = spark.range(1000).selectExpr("id as geom_id", "case when id < 900 then 1 else id end as feature_id", "'MovingPoint' as geometry_type", "'Linear' as interpolation")
-    features = geometries.select("feature_id").distinct().union(spark.sql("select -1L as feature_id"))
-    nested = X.features_nested(features, geometries, max_items=100)
-    assert nested.filter("feature_id = 1").count() == 9
-    assert nested.select(F.explode("geometries.geom_id")).distinct().count() == 1000
-    assert nested.filter("feature_id = -1").first().geometries == []
+BATCH = "property_id long, value_id long, datetimes array<timestamp>, values array<string>, interpolation string"
 
 
-def test_describe(spark):
-    rows = X.describe_table(spark.createDataFrame([], TABLES["collections"])).collect()
-    assert [(r.column_name, r.data_type) for r in rows][:2] == [("id", "string"), ("title", "string")]
+def day_batches(*spans):
+    return [(1, i, [datetime(2024, 1, a), datetime(2024, 1, b)], ["x", "y"], "Step") for i, (a, b) in enumerate(spans)]
 
 
-def test_filters_reach_the_files(base, spark):
-    from driftline.functions.geo import envelope
-    from driftline.operators.predicates import bbox_overlap, time_overlap
+@pytest.mark.parametrize("spans, taken", [
+    ([(5, 25), (15, 16)], [1]),  # the first is refused for what is stored, so it cannot stand in the way
+    ([(11, 20), (15, 28), (25, 26)], [0, 2]),
+    ([(11, 12), (12, 13), (13, 14), (14, 15)], [0, 2]),
+    ([(11, 11), (11, 30), (12, 13), (13, 20), (14, 15)], [0, 2, 4]),
+    ([(11, 30), (12, 13), (31, 31)], [0, 2]),
+])
+def test_refused_batches_block_none(spark, spans, taken):
+    stored = spark.createDataFrame(day_batches((1, 10)), BATCH)
+    posted = spark.createDataFrame(day_batches(*spans), BATCH)
+    for options in ({}, {"max_rows": 2}):
+        grown, refused = M.append_values(stored, posted, **options)
+        assert sorted(r.value_id for r in grown.filter("datetimes[0] > timestamp '2024-01-02'").collect()) == taken
+        assert sorted(r.value_id for r in refused.collect()) == [i for i in range(len(spans)) if i not in taken]
+
+
+def test_malformed_paths_are_rejected(spark):
+    good = {"type": "MovingPoint", "datetimes": ["2024-05-01T00:00:00Z", "2024-05-01T01:00:00Z"], "coordinates": [[1, 2], [3, 4]]}
+    bad = [
+        "no json", {**good, "coordinates": "text"}, {**good, "coordinates": [[1, 2]]}, {**good, "datetimes": ["2024-05-01T00:00:00Z", "noon"]},
+        {**good, "coordinates": [[1, 2], [3]]}, {**good, "coordinates": [[1, 2], ["a", 4]]}, {**good, "datetimes": ["2024-05-01T00:00:00Z"] * 2},
+        {"type": "MovingPoint"},
+    ]
+    def doc(path):
+        return json.dumps({"type": "Feature", "id": "f", "temporalGeometry": path})
+    docs = spark.createDataFrame([(doc(p),) for p in (good, json.dumps(good), *bad)] + [(json.dumps({"type": "Feature", "id": "g"}),)], "body string")
+    errors = [r.error for r in documents.rejected_documents(docs).collect()]
+    assert errors == [documents.BAD_PATH] * len(bad)
+    assert documents.parsed_features(docs).count() == 3
+
 
-    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
-    mine = base.geometries.filter("collection_id = 'belgium_ships'")
-    plan = time_overlap(bbox_overlap(mine, envelope(*S.PORT)), *S.MORNING).select("geom_id")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(xmin" in text and "GreaterThanOrEqual(tmax" in text
-    assert "PartitionFilters: [isnotnull(collection_id" in text
-    schema = text[text.index("ReadSchema"):]
-    assert "base" not in schema and "srid" not in schema
+def test_srid_is_safe(spark):
+    from driftline.functions.text import srid_of
+    rows = spark.createDataFrame([("EPSG:25832",), ("9999999999",), ("none",), (None,), ("123456789012345678901234567890",)], "c string")
+    assert [r.s for r in rows.select(srid_of(F.col("c")).alias("s")).collect()] == [25832, 4326, 4326, 4326, 4326]
+
+
+def test_overwriting_the_source_is_refused(spark, tmp_path):
+    from driftline.sources import store
+    rows = spark.createDataFrame([(1, 2)], "property_id long, value_id long")
+    store.write_table(rows, "temporal_values", str(tmp_path))
+    read = store.read_table(spark, "temporal_values", str(tmp_path))
+    with pytest.raises(ValueError):
+        store.write_table(read, "temporal_values", str(tmp_path))
+    store.write_table(read, "temporal_values", str(tmp_path / "next"))
+    assert store.read_table(spark, "temporal_values", str(tmp_path)).count() == 1
