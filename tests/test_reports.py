@@ -60,7 +60,7 @@ def test_bad_row_fails_or_is_kept(spark, csv):
 
 def test_pruned_read(spark, csv):
     df = ais.read_ais_profile(spark, csv)
-    assert df.count() == 9 and len(df.columns) == 11
+    assert df.count() == 8 and len(df.columns) == 11
     assert df.schema["t"].dataType.simpleString() == "timestamp"
     plan = ais.read_ais_profile(spark, csv)._jdf.queryExecution().executedPlan().toString()
     assert "Callsign" not in plan
