@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from driftline.llm.common import ship
 
 #: Entries of each half of a memory.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 
 # White space as the pre-tokenizing pattern understands it, and this pattern.
@@ -107,6 +108,12 @@ class Encoder:
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.words, self.parts = Memory(), Memory()
 
+    def forget(self) -> None:
+        """Frees what is remembered: workers outlive their tasks."""
+        self.words, self.parts = Memory(), Memory()
+        self.fits.clear()
+        self.edges.clear()
+
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that once stood at a token's end (side 2) or start (side 1), each with the rank at which it went."""
         key = token, side
@@ -219,8 +226,39 @@ def encode(text: Column, path: str | None = None) -> Column:
     path = path or default_path()
 
     @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(encoder(path).encode)
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = encoder(path)
+        try:
+            for texts in batches:
+                yield texts.map(coder.encode)
+        finally:
+            coder.forget()
+
+    return packed(F.coalesce(text, F.lit("")))
+
+
+def decode(self, packed: bytes) -> str:
+        spelled = map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())
+        return b"".join(spelled).decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def encode(text: Column, path: str | None = None) -> Column:
+    """Packed ids of a text column; ``path`` names the tokenizer file on every machine."""
+    path = path or default_path()
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = encoder(path)
+        try:
+            for texts in batches:
+                yield texts.map(coder.encode)
+        finally:
+            coder.forget()
 
     return packed(F.coalesce(text, F.lit("")))
 
@@ -237,11 +275,24 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, decoded: the packed ids of every text and the text that they spell. No shuffle."""
+    """doc_id, ids, decoded: the packed ids of every text and the text that they spell. No shuffle.
+
+    Both come from one function, so that a task needs one Python worker.
+    """
     ship(docs.sparkSession)
-    return docs.select("doc_id", encode(F.col("text"), path).alias("ids")).select(
-        "doc_id", "ids", decode(F.col("ids"), path).alias("decoded")
-    )
+    path = path or default_path()
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder = encoder(path)
+        try:
+            for texts in batches:
+                ids = texts.map(coder.encode)
+                yield pd.DataFrame({"ids": ids, "decoded": ids.map(coder.decode)})
+        finally:
+            coder.forget()
+
+    return docs.select("doc_id", both(F.coalesce("text", F.lit(""))).alias("b")).select("doc_id", "b.ids", "b.decoded")
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -23,8 +23,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of a batch that a Python worker holds at a time: whole texts, in and out.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, for the functions that run in their Python workers."""
+    """Makes a session ready for functions in Python workers: sends them this package, once, and bounds their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
