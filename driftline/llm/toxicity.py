@@ -26,6 +26,8 @@ id are no input of a score.
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +46,8 @@ TRAIN_ROWS = 3_000
 SIZES = (8, 12, 16, 24, 32, 48, 64, 96)
 FILL = 2_000
 MIN_MATCH = 7
+#: Words of fewer bytes than MIN_MATCH are made this long.
+PADDED = 8
 CLIP = 10.0
 DECISION = 0.3
 
@@ -52,6 +56,10 @@ ANCHOR = hashlib.sha256(b"anchor").digest()[:24]
 TAIL = bytes(range(1, 9))
 
 
+LETTER = rb"[a-z\x80-\xff]"
+SHORT = re.compile(rb"(?<!%b)%b{1,%d}(?!%b)" % (LETTER, LETTER, MIN_MATCH - 1, LETTER))
+
+
 class Model(NamedTuple):
     toxic: bytes
     ordinary: bytes
@@ -82,11 +90,22 @@ def windows(text: str) -> list[bytes]:
     return found or [b""]
 
 
+@lru_cache(maxsize=100_000)
+def _padded(word: bytes) -> bytes:
+    """A short word and bytes of its own, at least two."""
+    return word + hashlib.blake2b(word, digest_size=PADDED).digest()[: max(2, PADDED - len(word))]
+
+
+def expanded(data: bytes) -> bytes:
+    """Text in lower case with its short words made long enough to be matched."""
+    return SHORT.sub(lambda m: _padded(m[0]), data)
+
+
 def largest_distances(text: str, toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> list[float]:
     best = [0] * TOP
     least = 0
     for w in windows(text):
-        whole = b" %b %b%b" % (w, ANCHOR, TAIL)
+        whole = b" %b %b%b" % (expanded(w), ANCHOR, TAIL)
         d = len(ordinary.compress(whole)) - len(toxic.compress(whole))
         if d > least:
             best = sorted([*best, d])[1:]
@@ -96,13 +115,13 @@ def largest_distances(text: str, toxic: zstandard.ZstdCompressor, ordinary: zsta
 
 def contents(toxic: list[str], ordinary: list[str], size: int) -> tuple[bytes, bytes]:
     """Dictionary contents from words, best first; the best stand last, where references are shortest."""
-    bad = (" " + " ".join(reversed(toxic[:size])) + " ").encode()
-    usual = (" " + " ".join(reversed(ordinary)) + " ").encode()
+    bad = expanded((" " + " ".join(reversed(toxic[:size])) + " ").encode())
+    usual = expanded((" " + " ".join(reversed(ordinary)) + " ").encode())
     return bad, usual[-len(bad) :].rjust(len(bad), b" ")
 
 
 def ranked_words(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """Words by contrast between toxic and ordinary rows (y), and ordinary words by number of documents."""
+    """Words by contrast between toxic and ordinary rows (y), and longer ordinary words by number of documents."""
     words = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"[^\x00-\x60\x7B-\x7F]+"), F.lit(0)))
     counts = rows.select("y", F.explode(words).alias("w")).groupBy("w").agg(
         F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("usual")
@@ -114,7 +133,8 @@ def ranked_words(rows: DataFrame) -> tuple[list[str], list[str]]:
     p = (F.col("bad") + F.col("usual") + 0.5) / (bad + usual + 1)
     z = (F.col("bad") / bad - F.col("usual") / usual) / F.sqrt(p * (1 - p) * (1 / bad + 1 / usual))
     by_contrast = counts.where("bad > 2").select("w", z.alias("z")).where("z > 0").orderBy(F.desc("z"), "w").limit(max(SIZES))
-    by_number = counts.where("usual > 0").orderBy(F.desc("usual"), "w").limit(FILL)
+    longer = (F.col("usual") > 0) & (F.octet_length("w") >= MIN_MATCH)
+    by_number = counts.where(longer).orderBy(F.desc("usual"), "w").limit(FILL)
     return [r["w"] for r in by_contrast.collect()], [r["w"] for r in by_number.collect()]
 
 

@@ -131,6 +131,17 @@ def test_toxic_words_lengthen_distance():
     assert toxicity.largest_distances("what a quiet pleasant thing to say of them", t, o)[0] <= 1
 
 
+def test_every_learned_word_gives_a_match():
+    words = ["scum", "clown", "moron", "rat", "pig", "stupid", "ñu", "trash", "worthless"]
+    bad, usual = toxicity.contents(words, ["between", "gardens", "windows", "another"], len(words))
+    t, o = toxicity.compressor(bad), toxicity.compressor(usual)
+    for w in words:
+        for text in (w, f"{w}.", f"({w})", f"a quiet\n{w}\nthing to say", f"what a {w}, they say", "i a o u e x y " * 3 + w, f"stupid {w}!"):
+            assert toxicity.largest_distances(text, t, o)[0] >= 3, text
+    for text in ("scumble", "a clo wn", "what a quiet thing", "pigs rats", ""):
+        assert toxicity.largest_distances(text, t, o)[0] <= 1, text
+
+
 def test_ftrl_learns_and_continues():
     draw = np.random.default_rng(0)
     rows = [draw.integers(0, 50, 20) + (50 if y else 0) for y in (draw.random(400) < 0.5)]
