@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from driftline.llm import bpe, language, mixing, neardup, toxicity
 from driftline.llm.common import read, written
 
+#: The rule for stages on word shingles; 85 is the contract of op7 only.
+NEAR_PERCENT = 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
@@ -29,8 +32,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return neardup.drop_near_duplicates(docs)
+    """Of each group of near copies (word shingles, similarity of 0.8 or more) the document with the smallest id stays."""
+    return neardup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

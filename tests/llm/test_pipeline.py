@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage on each stage's own input."""
 
+import random
 import re
 
 import numpy as np
@@ -9,7 +10,7 @@ import corpus_pipeline
 from driftline.llm import bpe, language, mixing, toxicity
 from driftline.llm.common import read, written
 from tests.llm import cases
-from tests.llm.test_neardup import brute
+from tests.llm.test_neardup import brute, brute_sets, family
 
 
 def test_stages(spark):
@@ -53,6 +54,23 @@ def test_stages(spark):
     assert sorted((d, np.frombuffer(i, "<u4").tolist()) for d, i in zip(after["doc_id"], after["ids"])) == want
 
 
+def test_near_copies_at_80_go(spark):
+    """Families with similarities on both sides of 0.8, against a brute force at 0.8."""
+    draw = random.Random(4)
+    texts = []
+    for seed in range(12):
+        texts += family(draw, " ".join(cases.sentences(seed, 4, 5000)), 12, 4)
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    sets, root = brute_sets(texts), list(range(len(texts)))
+    links = [(a, b) for a in root for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert any(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a, b in links)
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, "").toPandas()
+    assert sorted(kept["doc_id"]) == [i for i, r in enumerate(root) if i == r]
+
+
 def test_awkward_documents_go_through(spark, tmp_path):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
