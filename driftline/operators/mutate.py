@@ -142,44 +142,72 @@ def append_values(values: DataFrame, batches: DataFrame, **chunking) -> tuple[Da
 
     A batch is taken when it starts after all stored values of its property and after the
     end of every batch of this call that was taken before it, in order of start and
-    ``value_id``. A batch that starts after the ends of all earlier ones is taken whatever
-    became of those, and opens an island; only within an island of overlapping batches do
-    they depend on each other, and are told apart by their ends alone. ``last_time`` of a
-    refused batch is the end it had to start after.
+    ``value_id``. Equal batches are judged one by one, and those without a property as one
+    property; a batch whose start is null is refused. ``last_time`` of a refused batch is the
+    end it had to start after.
+
+    Of the batches with one start only the first can be taken, so starts are linked: each to
+    the first start after its end. A batch that starts after the ends of all earlier ones is
+    taken whatever became of those; from there the links are followed in jumps that double.
+    All steps are joins and chunked windows over rows, however many batches overlap.
     """
     judged = continuity_check(accepted(validate_values(batches)), values).withColumns(
         {
             "_start": F.try_element_at("datetimes", F.lit(1)),
-            "_end": F.try_element_at("datetimes", F.lit(-1)),
+            "_end": F.greatest(F.try_element_at("datetimes", F.lit(1)), F.try_element_at("datetimes", F.lit(-1))),
+            "_row": F.monotonically_increasing_id(),
         }
     )
-    late = judged.filter(~F.col("continuous")).select(*batches.columns, "last_time")
-    open_ones = judged.filter("continuous").select(*batches.columns, "_start", "_end")
-    # A few numbers for each batch, written once: the two running maxima refer to them many times.
-    brief = cut_lineage(open_ones.select("property_id", "value_id", "_start", "_end"))
-    brief = cut_lineage(running_max_before(brief, ["property_id"], "_start", "_end", "_until", ["value_id"], **chunking))
-    opens = F.when(F.col("_until").isNull() | (F.col("_until") < F.col("_start")), F.col("_start"))
-    brief = running_max_before(
-        brief.withColumn("_opens", opens), ["property_id"], "_start", "_opens", "_earlier", ["value_id"], **chunking
-    ).withColumn("_island", F.coalesce("_opens", "_earlier"))
-    islands = brief.groupBy("property_id", "_island").agg(
-        F.sort_array(F.collect_list(F.struct("_start", "value_id", "_end"))).alias("_members")
+    judged = cut_lineage(judged)  # the row numbers must be the same wherever they are used
+    open_ones = F.coalesce(F.col("continuous") & F.col("_start").isNotNull(), F.lit(False))
+    late = judged.filter(~open_ones).select(*batches.columns, "last_time")
+    brief = judged.filter(open_ones).select("property_id", "value_id", "_row", "_start", "_end")
+    ties = ["value_id", "_row"]
+    brief = cut_lineage(running_max_before(brief, ["property_id"], "_start", "_end", "_until", ties, **chunking))
+
+    heads = brief.groupBy("property_id", "_start").agg(
+        F.min(F.struct("value_id", "_row", "_end", "_until")).alias("_head")
+    ).select("property_id", "_start", "_head._row", "_head._end", "_head._until")
+    opens = F.col("_until").isNull() | (F.col("_until") < F.col("_start"))
+    nodes = cut_lineage(_first_start_after_end(heads.withColumn("_opens", opens), **chunking))
+    taken_rows = nodes.select("_row").join(_linked(nodes), "_row", "left_semi").withColumn("_taken", F.lit(True))
+    told = brief.drop("_until").join(taken_rows, "_row", "left")
+    told = running_max_before(
+        told.withColumn("_taken_end", F.when(F.col("_taken"), F.col("_end"))),
+        ["property_id"], "_start", "_taken_end", "_after", ties, **chunking,
     )
-    nothing = F.struct(
-        F.lit(None).cast(batches.schema["datetimes"].dataType.elementType).alias("until"),
-        F.array().cast(f"array<struct<value_id:{batches.schema['value_id'].dataType.simpleString()},after:{batches.schema['datetimes'].dataType.elementType.simpleString()},taken:boolean>>").alias("found"),
-    )
-
-    def take(state: Column, batch: Column) -> Column:
-        free = state["until"].isNull() | (state["until"] < batch["_start"])
-        found = F.struct(batch["value_id"].alias("value_id"), state["until"].alias("after"), free.alias("taken"))
-        return F.struct(
-            F.when(free, batch["_end"]).otherwise(state["until"]).alias("until"),
-            F.concat(state["found"], F.array(found)).alias("found"),
-        )
-
-    verdicts = islands.select("property_id", F.inline(F.aggregate("_members", nothing, take)["found"]))
-    told = open_ones.join(verdicts, ["property_id", "value_id"])
-    taken = told.filter("taken").select(*batches.columns)
-    refused = told.filter("NOT taken").select(*batches.columns, F.col("after").alias("last_time"))
+    told = judged.join(cut_lineage(told.select("_row", "_taken", "_after")), "_row")
+    taken = told.filter("_taken").select(*batches.columns)
+    refused = told.filter("_taken IS NULL").select(*batches.columns, F.col("_after").alias("last_time"))
     return values.unionByName(taken, allowMissingColumns=True), late.unionByName(refused)
+
+
+def _first_start_after_end(heads: DataFrame, **chunking) -> DataFrame:
+    """(_row, _opens, _next): the row with the property's first start after this one's end."""
+    backwards = lambda t: F.timestamp_micros(-F.unix_micros(t))
+    # Going back in time, ends ask before the starts of the same moment tell.
+    asking = heads.select("property_id", "_row", backwards(F.col("_end")).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("timestamp").alias("_tells"))
+    telling = heads.select("property_id", "_row", backwards(F.col("_start")).alias("_at"), F.lit(1).alias("_kind"), backwards(F.col("_start")).alias("_tells"))
+    found = running_max_before(
+        cut_lineage(asking.unionByName(telling)), ["property_id"], "_at", "_tells", "_found", ["_kind", "_row"], **chunking
+    )
+    found = found.filter("_kind = 0").select("property_id", F.col("_row").alias("_from"), backwards(F.col("_found")).alias("_next_start"))
+    to = heads.select(F.col("property_id").alias("_property"), F.col("_start").alias("_next_start"), F.col("_row").alias("_next"))
+    links = found.join(
+        to, F.col("property_id").eqNullSafe(F.col("_property")) & (found["_next_start"] == to["_next_start"])
+    ).select(F.col("_from").alias("_row"), "_next")
+    return heads.select("_row", "_opens").join(links, "_row", "left")
+
+
+def _linked(nodes: DataFrame) -> DataFrame:
+    """The rows that open or that links from such rows reach."""
+    reached = nodes.filter("_opens").select("_row")
+    opening = reached.withColumnRenamed("_row", "_next")
+    jumps = nodes.filter("_next IS NOT NULL").select("_row", "_next").join(opening, "_next", "left_anti")
+    jumps = cut_lineage(jumps.select("_row", "_next"))
+    while not jumps.isEmpty():
+        further = reached.join(jumps, "_row").select(F.col("_next").alias("_row"))
+        reached = cut_lineage(reached.union(further).distinct())
+        second = jumps.select(F.col("_row").alias("_next"), F.col("_next").alias("_last"))
+        jumps = cut_lineage(jumps.join(second, "_next").select("_row", F.col("_last").alias("_next")))
+    return reached
