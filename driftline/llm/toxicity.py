@@ -48,6 +48,8 @@ FILL = 2_000
 MIN_MATCH = 7
 #: Words of fewer bytes than MIN_MATCH are made this long.
 PADDED = 8
+#: Contrast that such words need: common ones differ by chance, and the ordinary dictionary has none to set against them.
+SHORT_Z = 3.0
 CLIP = 10.0
 DECISION = 0.3
 
@@ -132,7 +134,8 @@ def ranked_words(rows: DataFrame) -> tuple[list[str], list[str]]:
         return [], []
     p = (F.col("bad") + F.col("usual") + 0.5) / (bad + usual + 1)
     z = (F.col("bad") / bad - F.col("usual") / usual) / F.sqrt(p * (1 - p) * (1 / bad + 1 / usual))
-    by_contrast = counts.where("bad > 2").select("w", z.alias("z")).where("z > 0").orderBy(F.desc("z"), "w").limit(max(SIZES))
+    least = F.when(F.octet_length("w") < MIN_MATCH, SHORT_Z).otherwise(0.0)
+    by_contrast = counts.where("bad > 2").select("w", z.alias("z")).where(F.col("z") > least).orderBy(F.desc("z"), "w").limit(max(SIZES))
     longer = (F.col("usual") > 0) & (F.octet_length("w") >= MIN_MATCH)
     by_number = counts.where(longer).orderBy(F.desc("usual"), "w").limit(FILL)
     return [r["w"] for r in by_contrast.collect()], [r["w"] for r in by_number.collect()]
