@@ -24,22 +24,11 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import ship
-
-#: Entries of each half of a memory.
-REMEMBERED = 300_000
-LONGEST_REMEMBERED = 64
-
-# White space as the pre-tokenizing pattern understands it, and this pattern.
-SPACES = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PATTERN = (
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
+from driftline.llm.pretokens import LONGEST_REMEMBERED, REMEMBERED, Memory, Parts
 
 
 def default_path() -> str:
@@ -55,29 +44,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Memory(dict):
-    """Values by key, in two halves: when the new one is full it becomes the old one, which is forgotten.
-
-    A value found in the old half moves to the new one, so what is met again and again stays.
-    """
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.old: dict = {}
-
-    def recall(self, key):
-        found = self.old.get(key)
-        if found is not None:
-            self.keep(key, found)
-        return found
-
-    def keep(self, key, value) -> None:
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class Encoder:
     """A byte-level tokenizer file as read from ``path``."""
 
@@ -104,13 +70,14 @@ class Encoder:
             if len(token) == 1 or (h := self.halves.get(i)) and self.first_across(h[1], h[2]) == h[0]:
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
-        self.part = regex.compile(PATTERN)
+        self.cut = Parts()
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
-        self.words, self.parts = Memory(), Memory()
+        self.parts = Memory()
 
     def forget(self) -> None:
         """Frees what is remembered: workers outlive their tasks."""
-        self.words, self.parts = Memory(), Memory()
+        self.parts = Memory()
+        self.cut.forget()
         self.fits.clear()
         self.edges.clear()
 
@@ -177,30 +144,8 @@ class Encoder:
             self.parts.keep(part, packed)
         return packed
 
-    def encode_word(self, word: str) -> bytes:
-        """Ids of a stretch of text at whose ends the pattern parts text anyway."""
-        known = self.words.recall(word)
-        if known is None:
-            known = b"".join(map(self.encode_part, self.part.findall(word)))
-            if len(word) <= LONGEST_REMEMBERED:
-                self.words.keep(word, known)
-        return known
-
     def encode_plain(self, text: str) -> bytes:
-        """A lone space between other letters always starts a part: such texts are encoded word by word."""
-        if not text:
-            return b""
-        found = [c for c in SPACES if c in text]
-        if (
-            text[0] == " " or text[-1] == " " or "  " in text or text[0] in found or text[-1] in found
-            or any(f"{c} " in text or f" {c}" in text for c in found)
-        ):
-            return b"".join(map(self.encode_part, self.part.findall(text)))
-        first, *rest = text.split(" ")
-        remembered, word = self.words.get, self.encode_word
-        packed = [word(first)]
-        packed += [remembered(w) or word(w) for w in [" " + w for w in rest]]
-        return b"".join(packed)
+        return self.cut.encoded(text, self.encode_part)
 
     def encode(self, text: str) -> bytes:
         if not self.special:
@@ -237,32 +182,6 @@ def encode(text: Column, path: str | None = None) -> Column:
     return packed(F.coalesce(text, F.lit("")))
 
 
-def decode(self, packed: bytes) -> str:
-        spelled = map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())
-        return b"".join(spelled).decode("utf-8", "replace")
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-def encode(text: Column, path: str | None = None) -> Column:
-    """Packed ids of a text column; ``path`` names the tokenizer file on every machine."""
-    path = path or default_path()
-
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = encoder(path)
-        try:
-            for texts in batches:
-                yield texts.map(coder.encode)
-        finally:
-            coder.forget()
-
-    return packed(F.coalesce(text, F.lit("")))
-
-
 def decode(ids: Column, path: str | None = None) -> Column:
     """Text of packed ids."""
     path = path or default_path()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, fingerprints, language, licenses, mixing, neardup, neighbours, quality, toxicity, urls
+from driftline.llm import bpe, byte_bpe, fingerprints, language, licenses, mixing, neardup, neighbours, quality, toxicity, urls
 from driftline.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_table(read(spark, folder, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.token_digests(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.licenses_sql(),

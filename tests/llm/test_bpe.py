@@ -6,7 +6,7 @@ import random
 import numpy as np
 from tokenizers import Tokenizer
 
-from driftline.llm import bpe
+from driftline.llm import bpe, pretokens
 from tests.llm import cases
 
 
@@ -25,6 +25,16 @@ def test_fuzz_equals_library():
         assert mine.decode(packed) == theirs.decode(ids, skip_special_tokens=False), text
 
 
+def test_letters_of_all_planes():
+    """Code points that the libraries' tables do not have yet are parted as theirs."""
+    draw, mine, theirs = random.Random(11), bpe.Encoder(bpe.default_path()), library()
+    newer = [c for a, b in pretokens.NEWER_LETTERS + pretokens.NEWER_NUMBERS for c in {a, b, (a + b) // 2}]
+    for _ in range(4000):
+        codes = [draw.choice(newer) if draw.random() < 0.3 else draw.randrange(0x110000) for _ in range(draw.randint(1, 12))]
+        text = "".join(chr(c) + draw.choice(["", "", " ", "a", "7", "\n", "!"]) for c in codes if not 0xD800 <= c < 0xE000)
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+
+
 def test_repeats_and_long_parts():
     mine, theirs = bpe.Encoder(bpe.default_path()), library()
     for text in ("a" * 5000, "ab" * 3000, " " * 1000, "the " * 1000, "!" * 999, "x" * 20000 + "  "):
@@ -48,11 +58,11 @@ def test_awkward_documents(spark):
 
 
 def test_memory_starts_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(pretokens, "REMEMBERED", 3)
     mine, theirs = bpe.Encoder(bpe.default_path()), library()
     text = " ".join(cases.sentences(3, 20))
     assert np.frombuffer(mine.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
-    assert max(map(len, (mine.parts, mine.words, mine.parts.old, mine.words.old))) <= 3
+    assert max(map(len, (mine.parts, mine.cut.words, mine.parts.old, mine.cut.words.old))) <= 3
 
 
 def test_query_decodes_to_the_text(spark):
