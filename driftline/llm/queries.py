@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, byte_bpe, fingerprints, language, licenses, mixing, neardup, neighbours, quality, toxicity, urls
+from driftline.llm import bpe, byte_bpe, fingerprints, language, licenses, mixing, neardup, neighbours, quality, toxicity, tries, urls
 from driftline.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.token_digests(read(spark, folder, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.conversation_trie(read(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
@@ -66,10 +70,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.licenses_sql(),
     "op4_mix_sources": mixing.mixing_sql(),
     "op8_url_filter": urls.urls_sql(),
     "op10_fingerprints": fingerprints.fingerprints_sql(),
+    "op13_conversation_trie": tries.trie_sql(),
 }
