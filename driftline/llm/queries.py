@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, byte_bpe, fingerprints, language, licenses, mixing, neardup, neighbours, quality, toxicity, tries, urls
+from driftline.llm import bpe, byte_bpe, fingerprints, language, licenses, mixing, neardup, neighbours, quality, ranking, toxicity, tries, urls
 from driftline.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_table(read(spark, folder, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.token_digests(read(spark, folder, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
+    "op11_ranked_search": op11_ranked_search,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_conversation_trie": op13_conversation_trie,
 }
@@ -77,5 +82,6 @@ ORACLE: dict[str, str] = {
     "op4_mix_sources": mixing.mixing_sql(),
     "op8_url_filter": urls.urls_sql(),
     "op10_fingerprints": fingerprints.fingerprints_sql(),
+    "op11_ranked_search": ranking.ranking_sql(),
     "op13_conversation_trie": tries.trie_sql(),
 }
