@@ -2,9 +2,9 @@
 
 Each part of a text (see ``pretokens``) starts as a linked list of single bytes. Every pair of
 neighbours that makes a token is queued under the rank of that token: one bucket of list positions
-for each rank, and above the buckets a bitmap in levels of 64 bits, whose bit is set where
-something below it is. The next merge is found by taking the first set bit from the top level
-down; of a rank's positions the leftmost comes first. A merge joins two list nodes and queues at
+for each rank, and above the buckets a bitmap of two levels, in words of ``2 ** BITS`` bits, whose
+bit is set where something below it is. The next merge is found by taking the first set bit of the
+upper level, then of the lower; of a rank's positions the leftmost comes first. A merge joins two list nodes and queues at
 most two new pairs; entries whose pair has changed meanwhile are stale and skipped. So a part of n
 bytes takes about n steps of constant size and one small heap step each, however long it is.
 
@@ -18,6 +18,7 @@ gives no rows. Short words already encoded are remembered for the length of a ta
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,7 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import ship
-from driftline.llm.pretokens import LONGEST_REMEMBERED, REMEMBERED, Memory, Parts
+from driftline.llm.pretokens import LONGEST_REMEMBERED, Memory, Parts
+
+#: Ranks to a word of the bitmap, as a power of two; its upper level is one word.
+BITS = 8
+MASK = (1 << BITS) - 1
 
 
 def default_path() -> str:
@@ -37,113 +42,103 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class RankQueue:
-    """Positions by rank. ``first`` is the least rank that holds any, by find-first-set on each level."""
-
-    def __init__(self, ranks: int):
-        self.levels = [[0] * ((ranks + 63) // 64)]
-        while len(self.levels[-1]) > 1:
-            self.levels.append([0] * ((len(self.levels[-1]) + 63) // 64))
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            if level[word] & bit:
-                return
-            level[word] |= bit
-            rank = word
-
-    def first(self) -> int:
-        """-1 where nothing is queued."""
-        at = 0
-        for level in reversed(self.levels):
-            bits = level[at]
-            if not bits:
-                return -1
-            at = at << 6 | (bits & -bits).bit_length() - 1
-        return at
-
-    def pop(self, rank: int) -> int:
-        """The leftmost position of a rank that holds any."""
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for level in self.levels:
-                word, bit = rank >> 6, 1 << (rank & 63)
-                level[word] &= ~bit
-                if level[word]:
-                    break
-                rank = word
-        return position
-
-
 class Encoder:
     """The ranks of a file."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
-            pairs = [line.split() for line in file if line.strip()]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+            lines = [line.split() for line in file if line.strip()]
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
         if -1 in self.single:
             raise ValueError("every byte needs a rank")
-        self.queue = RankQueue(max(self.bytes_of) + 1)
+        highest = max(self.bytes_of)
+        self.shift = highest.bit_length()
+        #: Rank of what two neighbours make, by both ranks in one number.
+        self.pairs = {
+            self.ranks[token[:i]] << self.shift | self.ranks[token[i:]]: rank
+            for token, rank in self.ranks.items() for i in range(1, len(token)) if token[:i] in self.ranks and token[i:] in self.ranks
+        }
+        # The queue; between parts it is empty, so all of this is as here.
+        self.first = [-1] * (highest + 1)  # the leftmost position of each bucket
+        self.words = [0] * ((highest >> BITS) + 1)  # lower level of the bitmap
+        self.bit = [1 << i for i in range(max(len(self.words), 1 << BITS))]
         self.parts, self.known = Parts(), Memory()
-        self.pairs: dict[int, int] = {}  # rank of the token that two neighbours make, -1 if none
 
     def forget(self) -> None:
         """Frees what is remembered: workers outlive their tasks."""
         self.parts.forget()
         self.known = Memory()
-        self.pairs.clear()
-
-    def pair(self, left: int, right: int) -> int:
-        key = left << 32 | right
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) > 2 * REMEMBERED:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-        return rank
 
     def merged(self, data: bytes) -> list[int]:
-        """Ids of one part."""
+        """Ids of one part.
+
+        Of the bitmap, ``top`` tells the words with a bit and ``words`` the ranks with a bucket. A
+        bucket is its leftmost position in ``first`` and a heap of all others in ``more``.
+        """
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        n, pair, queue = len(data), self.pair, self.queue
-        token = [self.single[b] for b in data]
+        n, single, first, words, bit, shift, pair = len(data), self.single, self.first, self.words, self.bit, self.shift, self.pairs.get
+        token = [single[b] for b in data]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [pair(a, b) for a, b in zip(token, token[1:])] + [-1]
+        rank_at = [pair(a << shift | b, -1) for a, b in zip(token, token[1:])]
+        rank_at.append(-1)
+        top, more = 0, {}
         for position, rank in enumerate(rank_at):
             if rank >= 0:
-                queue.push(rank, position)
-        while (rank := queue.first()) >= 0:
-            here = queue.pop(rank)
+                if first[rank] < 0:
+                    first[rank] = position
+                    word = rank >> BITS
+                    words[word] |= bit[rank & MASK]
+                    top |= bit[word]
+                else:
+                    more.setdefault(rank, []).append(position)  # positions rise, so this is a heap
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = word << BITS | low.bit_length() - 1
+            here = first[rank]
+            if rank in more:
+                heap = more[rank]
+                first[rank] = heappop(heap)
+                if not heap:
+                    del more[rank]
+            else:
+                first[rank] = -1
+                words[word] = bits = bits ^ low
+                if not bits:
+                    top &= top - 1
             if rank_at[here] != rank:
                 continue  # stale: one of its two nodes has been merged meanwhile
             gone = after[here]
             following, previous = after[gone], before[here]
-            token[here], after[here], rank_at[gone] = rank, following, -1
-            new = -1
+            token[here] = rank
+            after[here] = following
+            rank_at[gone] = new = -1
             if following < n:
                 before[following] = here
-                new = pair(rank, token[following])
-                if new >= 0:
-                    queue.push(new, here)
+                new = pair(rank << shift | token[following], -1)
             rank_at[here] = new
-            if previous >= 0:
-                new = rank_at[previous] = pair(token[previous], rank)
+            position = here
+            while True:
                 if new >= 0:
-                    queue.push(new, previous)
+                    if first[new] < 0:
+                        first[new] = position
+                        word = new >> BITS
+                        words[word] |= bit[new & MASK]
+                        top |= bit[word]
+                    else:
+                        if position < first[new]:
+                            position, first[new] = first[new], position
+                        heappush(more.setdefault(new, []), position)
+                if previous < 0:
+                    break
+                position, new = previous, pair(token[previous] << shift | rank, -1)
+                rank_at[position] = new
+                previous = -1
         ids, at = [], 0
         while at < n:
             ids.append(token[at])
@@ -153,7 +148,8 @@ class Encoder:
     def encode_part(self, part: str) -> bytes:
         known = self.known.get(part) or self.known.recall(part)
         if known is None:
-            known = np.array(self.merged(part.encode()), "<u4").tobytes()
+            ids = self.merged(part.encode())
+            known = struct.pack(f"<{len(ids)}I", *ids)
             if len(part) <= LONGEST_REMEMBERED:
                 self.known.keep(part, known)
         return known
