@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.sequence import PART_ROWS, collect_parts
+from driftline.operators.sequence import collect_parts
 
 FEATURE = "feature_id"
 GEOMETRY = "geom_id"
@@ -83,23 +83,23 @@ def features_nested(
     features: DataFrame,
     geometries: DataFrame,
     item: Sequence[str] = (GEOMETRY, "geometry_type", "interpolation"),
-    max_items: int = PART_ROWS,
+    max_items: int | None = None,
 ) -> DataFrame:
     """One row per feature with its trajectories as an array in ``geom_id`` order.
 
     The array is built before the join, with partial results. Features without
-    trajectory have an empty array. Very large features come in parts.
+    trajectory have an empty array. Very large features come in parts, in that order.
     """
     arrays = collect_parts(
         geometries, [FEATURE], [F.sort_array(F.collect_list(F.struct(*item))).alias("geometries")],
-        F.col(GEOMETRY), max_items,
+        GEOMETRY, max_items,
     )
     empty = F.array().cast(arrays.schema["geometries"].dataType)
     return features.join(arrays, FEATURE, "left").withColumns(
         {
             "geometries": F.coalesce("geometries", empty),
             "part_no": F.coalesce("part_no", F.lit(0)),
-            "n_parts": F.coalesce("n_parts", F.lit(1)),
+            "first_item": F.coalesce("first_item", F.lit(0)),
         }
     )
 

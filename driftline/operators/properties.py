@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.features import outer_by_parts
-from driftline.operators.sequence import PART_ROWS, collect_parts
+from driftline.operators.sequence import collect_parts
 
 
 def typed_value(value: Column, property_type: Column) -> dict[str, Column]:
@@ -19,14 +19,14 @@ def typed_value(value: Column, property_type: Column) -> dict[str, Column]:
     }
 
 
-def property_list(properties: DataFrame, max_items: int = PART_ROWS) -> DataFrame:
-    """Property descriptions of each feature as an array in name order."""
+def property_list(properties: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Property descriptions of each feature as an array in name order; long lists in parts along it."""
     item = F.struct(
         F.col("property_name").alias("name"), F.col("property_type").alias("type"), "form", "description"
     )
     return collect_parts(
         properties, ["feature_id"], [F.sort_array(F.collect_list(item)).alias("properties")],
-        F.col("property_name"), max_items,
+        "property_name", max_items,
     )
 
 
@@ -39,15 +39,13 @@ def property_batches(properties: DataFrame, values: DataFrame) -> DataFrame:
     return outer_by_parts(properties, batches, ["property_id"])
 
 
-def property_values(properties: DataFrame, values: DataFrame, max_items: int = PART_ROWS) -> DataFrame:
-    """Properties with their batches nested in order of first time; large ones in parts."""
-    item = F.struct(
-        F.try_element_at("datetimes", F.lit(1)).alias("first_time"),
-        F.col("value_id").alias("id"), "datetimes", "values", "interpolation",
-    )
+def property_values(properties: DataFrame, values: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Properties with their batches nested in order of first time; large ones in parts along it."""
+    item = F.struct("first_time", F.col("value_id").alias("id"), "datetimes", "values", "interpolation")
     nested = collect_parts(
-        values, ["property_id"], [F.sort_array(F.collect_list(item)).alias("batches")],
-        F.col("value_id"), max_items,
+        values.withColumn("first_time", F.try_element_at("datetimes", F.lit(1))),
+        ["property_id"], [F.sort_array(F.collect_list(item)).alias("batches")],
+        ["first_time", "value_id"], max_items,
     )
     return properties.join(nested, "property_id", "left")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.projection import lonlat_from_utm32, utm32_from_lonlat
-from driftline.operators.sequence import PART_ROWS, assign_chunks, neighbours, pack, with_chunk
+from driftline.operators.sequence import CHUNK, assign_chunks, known_neighbours, pack, with_chunk
 from driftline.operators.temporal import is_turn
 
 # Texts that stand for "not known", by column.
@@ -118,51 +118,42 @@ def report_counts(reports: DataFrame) -> DataFrame:
     return per_time.groupBy("mmsi").agg(F.sum("_n").alias("n_reports"), F.count("t").alias("n_times"))
 
 
-def long_sequences(reports: DataFrame, numbers: Sequence[str] = ("sog", "cog", "heading")) -> DataFrame:
-    """``(mmsi, chunk, part_of, t, a, b)``: the path (``trip``) and each number as its own sequence.
-
-    NULL numbers are left out, each sequence by itself.
-    """
-    variants = [F.struct(F.lit("trip").alias("part_of"), F.col("x").alias("a"), F.col("y").alias("b"))]
-    variants += [
-        F.struct(F.lit(n).alias("part_of"), F.col(n).cast("double").alias("a"), F.lit(0.0).alias("b"))
-        for n in numbers
-    ]
-    return (
-        reports.select("mmsi", "chunk", "t", F.explode(F.array(*variants)).alias("v"))
-        .select("mmsi", "chunk", "t", "v.*")
-        .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    )
-
-
 def assemble_trips(
     reports: DataFrame,
     numbers: Sequence[str] = ("sog", "cog", "heading"),
     attributes: DataFrame | None = None,
-    max_rows: int = PART_ROWS,
     **chunking,
 ) -> DataFrame:
     """One row per ship: normalised path, number sequences, static attributes.
 
-    A ship with more than ``max_rows`` instants has one row per ``part``, in time order;
-    every part carries the static attributes. All sequences are normalised in a single
-    pass over their long form. ``reports`` is read more than once: cut its lineage when
-    it is costly.
+    Each number is a sequence of its own, over the reports on which it is known. Path and
+    numbers share one window over the reports, and arrays and attributes are built where
+    the window leaves the rows, so all reports move once.
+
+    A very large ship has one row per ``part``, in time order; every part carries the
+    attributes, and each sequence begins with its last value before (``joined``).
     """
-    key = ("mmsi", "part_of")
-    columns = with_chunk(reports, ["mmsi", "t", "x", "y", *numbers])
-    tagged = assign_chunks(columns, ["mmsi"], **chunking)
-    kept = neighbours(long_sequences(tagged, numbers), key, ("a", "b")).filter(is_turn(("a", "b"), "Linear"))
-    packs = [
-        F.sort_array(
-            F.collect_list(F.when(F.col("part_of") == "trip", F.struct("t", F.col("a").alias("x"), F.col("b").alias("y"))))
-        ).alias("trip")
-    ]
-    packs += [
-        F.sort_array(
-            F.collect_list(F.when(F.col("part_of") == n, F.struct("t", F.col("a").alias("v"))))
-        ).alias(n)
-        for n in numbers
-    ]
-    static = static_attributes(reports) if attributes is None else attributes
-    return pack(kept, ["mmsi"], packs, ties=["part_of"], max_rows=max_rows).join(static, "mmsi", "left")
+    columns = [c for c in STATIC_COLUMNS if c in reports.columns] if attributes is None else []
+    rows = with_chunk(reports, ["mmsi", "t", "x", "y", *[c for c in (*numbers, *columns) if c not in ("x", "y")]])
+    sequences = {"trip": ("x", "y")} | {n: (n,) for n in numbers}
+    beside = known_neighbours(rows, ["mmsi"], sequences, **chunking)
+
+    def shown(name: str, fields: Sequence[str], value: Column) -> Column:
+        known = F.lit(True)
+        for f in fields:
+            known = known & F.col(f).isNotNull()
+        return F.when(known & is_turn(fields, "Linear", f"prev_{name}", f"next_{name}"), value)
+
+    arrays = {"trip": shown("trip", ("x", "y"), F.struct("t", "x", "y"))}
+    arrays |= {n: shown(n, (n,), F.struct("t", F.col(n).cast("double").alias("v"))) for n in numbers}
+    least = [F.min(c).alias(c) for c in columns]
+    packed = pack(beside, ["mmsi"], arrays, least)
+    if attributes is not None:
+        return packed.join(attributes, "mmsi", "left")
+    if not columns:
+        return packed
+    # The slices of a very large ship know their own least values only.
+    whole = beside.filter(F.col(CHUNK).isNotNull()).groupBy(F.col("mmsi").alias("_mmsi")).agg(*[F.min(c).alias(f"_{c}") for c in columns])
+    return packed.join(whole, F.col("mmsi") == F.col("_mmsi"), "left").select(
+        *[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in packed.columns]
+    )

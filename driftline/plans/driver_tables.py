@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from driftline.functions.geo import envelope_columns
 from driftline.functions.text import iso_time, slug
 from driftline.operators import temporal
-from driftline.operators.sequence import pack
 from driftline.session import configure
 from driftline.sources.export import mfjson_point
 
@@ -54,6 +53,17 @@ class DriverTables:
         """The long form alone: ``geom_id, t, x, y``."""
         return self.tracks.select("geom_id", "t", "x", "y")
 
+    @property
+    def interpolation(self) -> Column:
+        """Signups are Discrete paths, views Step paths, all others Linear."""
+        kind = F.col("event_type")
+        return F.when(kind == "signup", F.lit("Discrete")).when(kind == "view", F.lit("Step")).otherwise(F.lit("Linear"))
+
+    @cached_property
+    def mixed_paths(self) -> DataFrame:
+        """The long form with the interpolation of each path."""
+        return self.tracks.select("geom_id", "t", "x", "y", self.interpolation.alias("interpolation"))
+
     @cached_property
     def geometries(self) -> DataFrame:
         """One row per trajectory with its extent."""
@@ -61,7 +71,8 @@ class DriverTables:
         return nested.withColumns(
             {
                 "geometry_type": F.lit("MovingPoint"),
-                "interpolation": F.lit("Linear"),
+                "interpolation": self.interpolation,
+                "base": F.lit(None).cast("string"),
                 "srid": F.lit(25832),
             }
         )
@@ -113,19 +124,17 @@ class DriverTables:
 
     @cached_property
     def value_batches(self) -> DataFrame:
-        """One batch of values per property and day, in parts if very long; named by its least event."""
+        """One batch of values per property and date, as posted at the end of each day; named by its least event."""
         rows = self.tracks.select(
-            "event_id", F.col("geom_id").alias("property_id"), F.dayofmonth("t").alias("day"), "t", F.col("x").alias("v")
+            "event_id", F.col("geom_id").alias("property_id"), F.to_date("t").alias("date"), "t", F.col("x").alias("v")
         )
         return (
-            pack(
-                rows, ["property_id", "day"],
-                [F.min("event_id").alias("value_id"), F.sort_array(F.collect_list(F.struct("t", "v"))).alias("pairs")],
-            )
+            rows.groupBy("property_id", "date")
+            .agg(F.min("event_id").alias("value_id"), F.sort_array(F.collect_list(F.struct("t", "v"))).alias("pairs"))
             .select(
                 "value_id",
                 "property_id",
-                "day",
+                F.dayofmonth("date").alias("day"),
                 F.transform("pairs", lambda p: p["t"]).alias("datetimes"),
                 F.transform("pairs", lambda p: p["v"].cast("string")).alias("values"),
                 F.lit("Linear").alias("interpolation"),
@@ -237,12 +246,12 @@ class DriverTables:
 
     @cached_property
     def feature_documents(self) -> DataFrame:
-        """Posted documents, one per trajectory, in all shapes the interface meets.
+        """Posted documents, one per trajectory (and slice of time of a very long one), in all shapes the interface meets.
 
         Clicks and views are features with the path as object, purchases with the path
         as JSON text, signups come in a feature collection, errors have a wrong type.
         """
-        paths = temporal.pack_instants(self.tracks, ["geom_id", "event_type"])
+        paths = temporal.pack_instants(self.tracks, ["geom_id", "event_type"], join_ends=False)
         path = mfjson_point(F.col("instants"))
         common = {
             "id": F.col("geom_id"),

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geo import geojson_shape
 from driftline.operators import temporal
+from driftline.operators.temporal import KIND
 from driftline.operators.features import FEATURE, GEOMETRY, feature_page, page_counts
 from driftline.operators.predicates import bbox_overlap, time_overlap
-from driftline.operators.sequence import PART_ROWS, collect_parts, pack
+from driftline.operators.sequence import collect_parts, pack
 from driftline.operators.validate import ItemQuery
 from driftline.sources.export import mfjson_point
 
@@ -38,7 +39,7 @@ def items(
     instants: DataFrame,
     query: ItemQuery,
     after: tuple | None = None,
-    max_rows: int = PART_ROWS,
+    **chunking,
 ) -> Items:
     """One page of features, their matching trajectories, and the counts.
 
@@ -46,7 +47,9 @@ def items(
     a match are left out. The page is taken before any instant is read; with a
     limit it has at most the page cap of features, which bounds the broadcast of its keys;
     without one it is all features and nothing is broadcast. Trajectories come
-    as MF-JSON structs with shape; very long ones in ``part`` slices of time.
+    as MF-JSON structs with shape, each by its own interpolation; very long ones in
+    ``part`` slices of time. ``joined`` tells where sequence and shape of a slice begin
+    with the end of the one before.
     """
     matched = matched_geometries(geometries, query).drop("collection_id")
     candidates = features
@@ -55,37 +58,40 @@ def items(
     page = feature_page(candidates, query.limit, after)
     keys = page.select(FEATURE)
     here = matched.join(keys if query.limit is None else F.broadcast(keys), FEATURE, "left_semi")
-    points = instants.select(GEOMETRY, "t", "x", "y").join(here.select(GEOMETRY), GEOMETRY, "left_semi")
+    base = F.col("base") if "base" in here.columns else F.lit(None).cast("string").alias("base")
+    about = here.select(GEOMETRY, FEATURE, "geometry_type", F.coalesce(KIND, F.lit("Linear")).alias(KIND), base)
+    points = instants.select(GEOMETRY, "t", "x", "y").join(about.select(GEOMETRY, KIND), GEOMETRY)
 
     path = temporal.subtrajectory(points, query.start, query.end) if query.sub_trajectory else points
-    shown, interpolation = (F.col("last"), "Discrete") if query.leaf else (F.col("turn"), "Linear")
-    marked = temporal.path_marks(path).withColumn("shown", shown).filter("shown or bend")
+    shown = F.col("last") if query.leaf else F.col("turn")
+    marked = temporal.path_marks(path, **chunking).withColumn("shown", shown).filter("shown or bend")
     place = F.struct("t", "x", "y")
     packed = pack(
         marked, [GEOMETRY],
-        [
-            F.sort_array(F.collect_list(F.when(F.col("shown"), place))).alias("instants"),
-            F.sort_array(F.collect_list(F.when(F.col("bend"), place))).alias("vertices"),
-        ],
-        max_rows=max_rows,
+        {"instants": F.when(F.col("shown"), place), "vertices": F.when(F.col("bend"), place)},
+        [F.max(KIND).alias("_kind")],
+        join_ends={"instants": (F.col("_kind") != "Discrete") & F.lit(not query.leaf), "vertices": F.col("_kind") == "Linear"},
     )
-    entries = here.select(FEATURE, GEOMETRY, "geometry_type").join(packed, GEOMETRY).select(
-        FEATURE, GEOMETRY, "part", "geometry_type",
+    kind = F.lit("Discrete") if query.leaf else F.col(KIND)
+    entries = about.join(packed, GEOMETRY).select(
+        FEATURE, GEOMETRY, "part", "geometry_type", "base", "joined",
         F.size("instants").alias("n_instants"),
-        mfjson_point(F.col("instants"), interpolation).alias("sequence"),
-        geojson_shape(F.col("vertices")).alias("geometry"),
+        mfjson_point(F.col("instants"), kind, F.col("joined.instants")).alias("sequence"),
+        geojson_shape(F.col("vertices"), F.col(KIND) != "Linear").alias("geometry"),
     )
     return Items(page, entries, page_counts(candidates, matched, query.limit))
 
 
-def nest_items(result: Items, max_items: int = PART_ROWS) -> DataFrame:
-    """Page rows with their trajectories as arrays."""
+def nest_items(result: Items, max_items: int | None = None) -> DataFrame:
+    """Page rows with their trajectories as arrays, in order of trajectory and slice; very many in parts along it."""
     arrays = collect_parts(
         result.geometries, [FEATURE],
         [
             F.sort_array(F.collect_list(F.struct(GEOMETRY, "part", "sequence"))).alias("geometries"),
             F.sort_array(F.collect_list(F.struct(GEOMETRY, "part", "geometry"))).alias("shapes"),
         ],
-        F.col(GEOMETRY), max_items,
+        [GEOMETRY, "part"], max_items,
+    )
+    return result.page.join(arrays, FEATURE, "left").withColumns(
+        {"part_no": F.coalesce("part_no", F.lit(0)), "first_item": F.coalesce("first_item", F.lit(0))}
     )
-    return result.page.join(arrays, FEATURE, "left").withColumn("part_no", F.coalesce("part_no", F.lit(0)))

@@ -149,36 +149,76 @@ def _(d):
     return T.leaf(d.paths)
 
 
+MIXED_SHAPE_SQL = """
+    , bends AS (SELECT n.* FROM (SELECT *, lag(x) OVER w AS bef_x, lag(y) OVER w AS bef_y FROM mixed
+        WINDOW w AS (PARTITION BY geom_id ORDER BY t)) n WHERE bef_x IS NULL OR bef_x <> x OR bef_y <> y)"""
 SHAPE_SQL = """
     , bends AS (SELECT n.* FROM (SELECT *, lag(x) OVER w AS bef_x, lag(y) OVER w AS bef_y FROM norm
         WINDOW w AS (PARTITION BY geom_id ORDER BY t)) n WHERE bef_x IS NULL OR bef_x <> x OR bef_y <> y)"""
 
 
-@register("trajectory_shape", S.ctes("tracks", "norm") + SHAPE_SQL + """
-    SELECT geom_id, count(*)::INTEGER AS n_points,
-        CASE WHEN count(*) = 1 THEN 'Point' ELSE 'LineString' END AS shape_type,
-        round(arg_min(x, t), 6) AS first_x, round(arg_min(y, t), 6) AS first_y FROM bends GROUP BY geom_id""")
+def shape_type(kind: str = "'Linear'") -> str:
+    return f"CASE WHEN count(*) = 1 THEN 'Point' WHEN {kind} = 'Linear' THEN 'LineString' ELSE 'MultiPoint' END"
+
+
+def own_items(items: Column, joined: Column) -> Column:
+    """Items of a slice without the one that it shares with the slice before."""
+    return F.when(joined, F.slice(items, F.lit(2), F.size(items))).otherwise(items)
+
+
+def whole_type(n_points: Column, kind: Column | str = "Linear") -> Column:
+    """Shape of all slices together."""
+    line = F.when(kind == "Linear", "LineString").otherwise("MultiPoint") if isinstance(kind, Column) else F.lit("LineString")
+    return F.when(n_points == 1, F.lit("Point")).otherwise(line)
+
+
+@register("trajectory_shape", S.ctes("tracks", "mixed") + MIXED_SHAPE_SQL + f"""
+    SELECT geom_id, count(*)::INTEGER AS n_points, {shape_type('any_value(kind)')} AS shape_type,
+        round(arg_min(x, t), 6) AS first_x, round(arg_min(y, t), 6) AS first_y, round(sum(x), 4) AS sum_x,
+        round(sum(leg), 4) AS drawn
+    FROM (SELECT *, CASE WHEN kind = 'Linear' THEN coalesce(sqrt((x - bef_x) * (x - bef_x) + (y - bef_y) * (y - bef_y)), 0)
+        ELSE 0 END AS leg FROM bends) GROUP BY geom_id""")
 def _(d):
+    """Slices of one path meet again: vertices once, every leg in one slice."""
     shape = F.from_json("geometry", "type string, coordinates string")
-    flat = T.trajectory_shape(d.paths).withColumn("_s", shape)
-    line = F.from_json("_s.coordinates", "array<array<double>>")
-    first = F.when(F.col("n_points") > 1, F.try_element_at(line, F.lit(1))).otherwise(
-        F.from_json("_s.coordinates", "array<double>")
+    flat = T.trajectory_shape(d.mixed_paths).withColumn("_s", shape)
+    many = F.from_json("_s.coordinates", "array<array<double>>")
+    points = F.when(F.col("n_points") > 1, many).otherwise(F.array(F.from_json("_s.coordinates", "array<double>")))
+    legs = F.zip_with(F.slice(points, F.lit(2), F.size(points)), F.slice(points, F.lit(1), F.size(points) - 1),
+                      lambda a, b: F.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1])))
+    zero = F.lit(0.0)
+    sliced = flat.select(
+        "geom_id", "part", own_items(points, F.col("joined")).alias("points"),
+        F.when(F.col("_s.type") == "LineString", F.aggregate(legs, zero, lambda acc, leg: acc + leg)).otherwise(zero).alias("drawn"),
+        F.when(F.col("_s.type") == "MultiPoint", 1).otherwise(0).alias("spots"),
     )
-    return flat.select(
-        "geom_id", "n_points", F.col("_s.type").alias("shape_type"),
-        round_to(F.try_element_at(first, F.lit(1)), 6).alias("first_x"),
-        round_to(F.try_element_at(first, F.lit(2)), 6).alias("first_y"),
+    first = F.min(F.struct("part", F.get("points", F.lit(0)).alias("p")))["p"]
+    whole = sliced.groupBy("geom_id").agg(
+        F.sum(F.size("points")).cast("int").alias("n_points"), first.alias("first"), F.max("spots").alias("spots"),
+        F.sum(F.aggregate("points", zero, lambda acc, p: acc + p[0])).alias("sum_x"), F.sum("drawn").alias("drawn"),
+    )
+    kind = F.when(F.col("spots") == 1, "Discrete").otherwise("Linear")
+    return whole.select(
+        "geom_id", "n_points", whole_type(F.col("n_points"), kind).alias("shape_type"),
+        round_to(F.col("first")[0], 6).alias("first_x"), round_to(F.col("first")[1], 6).alias("first_y"),
+        round_to(F.col("sum_x"), 4).alias("sum_x"), round_to(F.col("drawn"), 4).alias("drawn"),
     )
 
 
+@register("normalise_mixed", S.ctes("tracks", "mixed") + "SELECT geom_id, kind AS interpolation, t, x, y FROM mixed")
+def _(d):
+    return T.normalise(d.mixed_paths).select("geom_id", "interpolation", "t", "x", "y")
+
+
 @register("feature_line", S.ctes("tracks", "norm") + SHAPE_SQL + """
     SELECT geom_id // 10 AS feature_id, count(*)::INTEGER AS n_points,
         CASE WHEN count(*) = 1 THEN 'Point' ELSE 'LineString' END AS shape_type FROM bends GROUP BY geom_id // 10""")
 def _(d):
-    return T.feature_line(d.tracks).select(
-        "feature_id", "n_points", F.get_json_object("geometry", "$.type").alias("shape_type")
+    lines = T.feature_line(d.tracks).groupBy("feature_id").agg(
+        F.sum(F.col("n_points") - F.col("joined").cast("int")).cast("int").alias("n_points"),
+        F.max(F.get_json_object("geometry", "$.type")).alias("drawn"),
     )
+    return lines.select("feature_id", "n_points", F.when(F.col("n_points") == 1, F.col("drawn")).otherwise("LineString").alias("shape_type"))
 
 
 @register("speed_status", S.ctes("tracks", "norm", "speed") + """
@@ -372,17 +412,18 @@ ASSEMBLED_SQL = """
 
 
 def _flat_trips(trips: DataFrame) -> DataFrame:
-    last = F.try_element_at("trip", F.lit(-1))
-    return trips.select(
-        "mmsi",
-        F.size("trip").alias("n_trip"),
-        F.try_element_at("trip", F.lit(1))["t"].alias("t_first"),
+    """One row per ship from all its slices."""
+    own = trips.withColumns({n: own_items(F.col(n), F.col(f"joined.{n}")) for n in ("trip", "heading")})
+    last = F.max(F.try_element_at("trip", F.lit(-1)))
+    return own.groupBy("mmsi").agg(
+        F.sum(F.size("trip")).cast("int").alias("n_trip"),
+        F.min(F.try_element_at("trip", F.lit(1)))["t"].alias("t_first"),
         last["t"].alias("t_last"),
         round_to(last["x"], 3).alias("x_last"),
-        F.size("heading").alias("n_heading"),
-        F.aggregate("heading", F.lit(0.0), lambda acc, p: acc + p["v"]).alias("sum_heading"),
-        "name",
-        "ship_type",
+        F.sum(F.size("heading")).cast("int").alias("n_heading"),
+        F.sum(F.aggregate("heading", F.lit(0.0), lambda acc, p: acc + p["v"])).alias("sum_heading"),
+        F.min("name").alias("name"),
+        F.min("ship_type").alias("ship_type"),
     )
 
 
@@ -411,16 +452,16 @@ def _(d):
 
 
 @register("ship_documents", S.ctes("tracks", "reports", "cleaned", "inside", "dedup", "positions") + ASSEMBLED_SQL + """
-    SELECT mmsi, 0::BIGINT AS part, n_trip, coalesce(n_heading, 0) AS n_heading, name FROM trip
+    SELECT mmsi, n_trip, coalesce(n_heading, 0) AS n_heading, name FROM trip
     LEFT JOIN headings USING (mmsi) JOIN static USING (mmsi)""")
 def _(d):
     docs = export.ship_documents(R.assemble_trips(cut_lineage(clean_positions(d.reports))))
     size = lambda path: F.size(F.from_json(F.get_json_object("document", path), "array<string>"))
-    return docs.select(
-        "mmsi", "part",
-        size("$.trajectory.coordinates").alias("n_trip"),
-        F.coalesce(size("$.heading.values"), F.lit(0)).alias("n_heading"),
-        F.get_json_object("document", "$.properties.Name").alias("name"),
+    own = lambda path, name: F.sum(F.coalesce(size(path), F.lit(0)) - F.col(f"joined.{name}").cast("int")).cast("int")
+    return docs.groupBy("mmsi").agg(
+        own("$.trajectory.coordinates", "trip").alias("n_trip"),
+        own("$.heading.values", "heading").alias("n_heading"),
+        F.min(F.get_json_object("document", "$.properties.Name")).alias("name"),
     )
 
 
@@ -436,10 +477,10 @@ def _(d):
         WHERE destination IS NOT NULL GROUP BY mmsi) USING (mmsi)
     GROUP BY mmsi, first_destination""")
 def _(d):
-    return profile_trips(d.reports).select(
-        "mmsi", F.size("trip").alias("n_trip"),
-        F.try_element_at("trip", F.lit(-1))["t"].alias("t_last"),
-        F.col("destination").alias("first_destination"),
+    return profile_trips(d.reports).groupBy("mmsi").agg(
+        F.sum(F.size("trip") - F.col("joined.trip").cast("int")).cast("int").alias("n_trip"),
+        F.max(F.try_element_at("trip", F.lit(-1))["t"]).alias("t_last"),
+        F.min("destination").alias("first_destination"),
     )
 
 
@@ -453,15 +494,17 @@ INGESTED_SQL = S.ctes("tracks", "boxes")
     FROM boxes WHERE geom_id % 10 <> 1""")
 def _(d):
     parsed = documents.parsed_features(d.feature_documents)
-    return documents.feature_rows(parsed).select(
-        "feature_id", "srid", "xmin", "ymin", "xmax", "ymax", "tmin", "tmax"
+    least, greatest = ("xmin", "ymin", "tmin"), ("xmax", "ymax", "tmax")
+    rows = documents.feature_rows(parsed).groupBy("feature_id", "srid").agg(
+        *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in greatest]
     )
+    return rows.select("feature_id", "srid", "xmin", "ymin", "xmax", "ymax", "tmin", "tmax")
 
 
 @register("ingest_rejects", S.ctes("tracks", "boxes") + """
     SELECT geom_id, 'Invalid ''type''' AS error FROM boxes WHERE geom_id % 10 = 1""")
 def _(d):
-    return documents.rejected_documents(d.feature_documents).select("geom_id", "error")
+    return documents.rejected_documents(d.feature_documents).select("geom_id", "error").distinct()
 
 
 @register("decode_mfjson", S.ctes("tracks") + """
@@ -570,10 +613,10 @@ def _(d):
     FROM features f LEFT JOIN tracks USING (feature_id) GROUP BY f.feature_id, f.collection_id""")
 def _(d):
     ids = F.transform("geometries", lambda g: g["geom_id"])
-    return X.features_nested(d.features, d.geometries).select(
-        "feature_id", "collection_id", F.size("geometries").alias("n_geometries"),
-        F.try_element_at(ids, F.lit(1)).alias("first_geometry"),
-        F.try_element_at(ids, F.lit(-1)).alias("last_geometry"),
+    return X.features_nested(d.features, d.geometries).groupBy("feature_id", "collection_id").agg(
+        F.sum(F.size("geometries")).cast("int").alias("n_geometries"),
+        F.min(F.try_element_at(ids, F.lit(1))).alias("first_geometry"),
+        F.max(F.try_element_at(ids, F.lit(-1))).alias("last_geometry"),
     )
 
 
@@ -617,28 +660,52 @@ def _(d):
     return X.collection_list(d.fleets)
 
 
-ITEMS_SQL = S.ctes("tracks", "features", "boxes", "seq") + f"""
+ITEMS_SQL = S.ctes("tracks", "features", "boxes", "seq", "mixed") + f"""
     , matched AS (SELECT geom_id, geom_id // 10 AS feature_id FROM boxes WHERE xmin <= 260 AND xmax >= 200
         AND ymin <= 60 AND ymax >= 40 AND tmin <= TIMESTAMP '{END}' AND tmax >= TIMESTAMP '{START}'),
     page AS (SELECT feature_id, collection_id FROM features WHERE feature_id IN (SELECT feature_id FROM matched))"""
 
 
-@register("items", ITEMS_SQL + f"""
+#: Paths of the page cut to the interval and normalised, each by its own interpolation.
+CUT_SQL = f"""
     , cut AS (
-        SELECT geom_id, t FROM seq WHERE t BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'
+        SELECT geom_id, kind, t, x, y FROM seq JOIN kinds USING (geom_id) WHERE t BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'
         UNION
-        SELECT geom_id, b AS t FROM seq, (VALUES (TIMESTAMP '{START}'), (TIMESTAMP '{END}')) v(b) WHERE t < b AND nt > b)
-    SELECT feature_id, geom_id, count(*)::INTEGER AS n_instants, min(t) AS t_first, max(t) AS t_last,
-        CASE WHEN count(*) = 1 THEN 'Point' ELSE 'LineString' END AS shape_type
-    FROM page JOIN matched USING (feature_id) JOIN cut USING (geom_id) GROUP BY feature_id, geom_id""")
+        SELECT geom_id, kind, b, CASE kind WHEN 'Step' THEN x ELSE x + (nx - x) * s END, CASE kind WHEN 'Step' THEN y ELSE y + (ny - y) * s END
+        FROM (SELECT *, ((epoch_us(b) - epoch_us(t)) / 1e6) / ((epoch_us(nt) - epoch_us(t)) / 1e6) AS s
+              FROM seq JOIN kinds USING (geom_id), (VALUES (TIMESTAMP '{START}'), (TIMESTAMP '{END}')) v(b) WHERE t < b AND nt > b AND kind <> 'Discrete')),
+    kept AS (SELECT *, lag(x) OVER w AS bef_x, lag(y) OVER w AS bef_y FROM (
+        SELECT * FROM (SELECT *, lag(t) OVER w AS pt, lag(x) OVER w AS px, lag(y) OVER w AS py,
+            lead(t) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM cut WINDOW w AS (PARTITION BY geom_id ORDER BY t))
+        WHERE CASE kind WHEN 'Discrete' THEN true WHEN 'Step' THEN pt IS NULL OR nt IS NULL OR px <> x OR py <> y ELSE {S.TURN} END)
+        WINDOW w AS (PARTITION BY geom_id ORDER BY t))"""
+
+
+@register("items", ITEMS_SQL + CUT_SQL + """
+    SELECT feature_id, geom_id, any_value(kind) AS interpolation, count(*)::INTEGER AS n_instants, min(t) AS t_first, max(t) AS t_last,
+        round(sum(x), 4) AS sum_x, CASE WHEN count(*) FILTER (bef_x IS NULL OR bef_x <> x OR bef_y <> y) = 1 THEN 'Point'
+            WHEN any_value(kind) = 'Linear' THEN 'LineString' ELSE 'MultiPoint' END AS shape_type
+    FROM page JOIN matched USING (feature_id) JOIN kept USING (geom_id) GROUP BY feature_id, geom_id""")
 def _(d):
     query = V.item_query(None, "260,60,200,40", f"{START}/{END}", sub_trajectory=True)
-    times = F.col("sequence.datetimes")
-    return items(d.features, d.geometries, d.tracks, query).geometries.select(
-        "feature_id", "geom_id", "n_instants",
-        parse_time(F.try_element_at(times, F.lit(1))).alias("t_first"),
-        parse_time(F.try_element_at(times, F.lit(-1))).alias("t_last"),
-        F.get_json_object("geometry", "$.type").alias("shape_type"),
+    joined = F.col("joined.instants")
+    times, places = (own_items(F.col(f"sequence.{n}"), joined) for n in ("datetimes", "coordinates"))
+    entries = items(d.features, d.geometries, d.tracks, query).geometries
+    sliced = entries.select(
+        "feature_id", "geom_id", F.col("sequence.interpolation").alias("interpolation"), times.alias("times"), places.alias("places"),
+        F.get_json_object("geometry", "$.type").alias("drawn"),
+        F.size(F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<string>")).alias("corners"), "joined",
+    )
+    whole = sliced.groupBy("feature_id", "geom_id", "interpolation").agg(
+        F.sum(F.size("times")).cast("int").alias("n_instants"),
+        parse_time(F.min(F.try_element_at("times", F.lit(1)))).alias("t_first"),
+        parse_time(F.max(F.try_element_at("times", F.lit(-1)))).alias("t_last"),
+        round_to(F.sum(F.aggregate("places", F.lit(0.0), lambda acc, p: acc + p[0])), 4).alias("sum_x"),
+        F.sum(F.when(F.col("drawn") == "Point", 1).otherwise(F.coalesce("corners", F.lit(0)) - F.col("joined.vertices").cast("int"))).alias("corners"),
+    )
+    return whole.select(
+        "feature_id", "geom_id", "interpolation", "n_instants", "t_first", "t_last", "sum_x",
+        whole_type(F.col("corners"), F.col("interpolation")).alias("shape_type"),
     )
 
 
@@ -647,7 +714,8 @@ def _(d):
     FROM page JOIN matched USING (feature_id) JOIN seq USING (geom_id) GROUP BY feature_id, geom_id""")
 def _(d):
     query = V.item_query(None, "200,40,260,60", f"{START}/{END}", leaf=True)
-    return items(d.features, d.geometries, d.tracks, query).geometries.select(
+    leaves = items(d.features, d.geometries, d.tracks, query).geometries.filter("n_instants > 0")
+    return leaves.select(
         "feature_id", "geom_id",
         parse_time(F.try_element_at("sequence.datetimes", F.lit(1))).alias("t_last"),
         F.col("sequence.interpolation").alias("interpolation"),
@@ -683,12 +751,10 @@ def _(d):
         {"properties": F.to_json(F.struct("name", "segment")), "crs": F.lit(None).cast("string"), "trs": F.lit(None).cast("string")}
     )
     doc = F.col("feature")
-    return export.export_features(rich).select(
-        doc["id"].alias("id"),
-        F.try_element_at(doc["links"], F.lit(1))["href"].alias("self"),
-        F.try_element_at(doc["bbox"], F.lit(1)).alias("xmin"),
-        parse_time(F.try_element_at(doc["time"], F.lit(2))).alias("tmax"),
-        F.size(doc["temporalGeometry"]).alias("n_geometries"),
+    return export.export_features(rich).groupBy(doc["id"].alias("id"), F.try_element_at(doc["links"], F.lit(1))["href"].alias("self")).agg(
+        F.min(F.try_element_at(doc["bbox"], F.lit(1))).alias("xmin"),
+        F.max(parse_time(F.try_element_at(doc["time"], F.lit(2)))).alias("tmax"),
+        F.sum(F.size(doc["temporalGeometry"])).cast("int").alias("n_geometries"),
     )
 
 
@@ -713,16 +779,19 @@ def _(d):
     ).select("type", "number_matched", "number_returned", "position", F.col("_f.id").alias("id"), "n_links")
 
 
-@register("geometry_sequence", S.ctes("tracks") + """
-    SELECT feature_id, geom_id, count(*)::INTEGER AS n_instants, min(t) AS t_first, arg_max(x, t) AS x_last
-    FROM tracks GROUP BY feature_id, geom_id""")
+@register("geometry_sequence", S.ctes("tracks", "mixed") + """
+    SELECT feature_id, geom_id, any_value(kind) AS interpolation, 'MovingPoint' AS type, count(*)::INTEGER AS n_instants,
+        min(t) AS t_first, arg_max(x, t) AS x_last
+    FROM tracks JOIN kinds USING (geom_id) GROUP BY feature_id, geom_id""")
 def _(d):
     doc = F.col("geometry")
-    return export.geometry_sequence(d.tracks).select(
-        "feature_id", "geom_id",
-        F.size(doc["coordinates"]).alias("n_instants"),
-        parse_time(F.try_element_at(doc["datetimes"], F.lit(1))).alias("t_first"),
-        F.try_element_at(F.try_element_at(doc["coordinates"], F.lit(-1)), F.lit(1)).alias("x_last"),
+    times, places = (own_items(doc[n], F.col("joined")) for n in ("datetimes", "coordinates"))
+    last = F.max(F.struct("part", F.try_element_at(places, F.lit(-1)).alias("p")))["p"]
+    return export.geometry_sequence(d.tracks, d.geometries).groupBy(
+        "feature_id", "geom_id", doc["interpolation"].alias("interpolation"), doc["type"].alias("type")
+    ).agg(
+        F.sum(F.size(places)).cast("int").alias("n_instants"),
+        parse_time(F.min(F.try_element_at(times, F.lit(1)))).alias("t_first"), last[0].alias("x_last"),
     )
 
 
@@ -743,7 +812,8 @@ def _(d):
     FROM (SELECT DISTINCT feature_id, event_type FROM tracks)""")
 def _(d):
     listed = P.property_list(d.properties)
-    return listed.select("feature_id", F.posexplode("properties").alias("position", "p")).select("feature_id", "p.*", "position")
+    flat = listed.select("feature_id", "first_item", F.posexplode("properties").alias("position", "p"))
+    return flat.select("feature_id", "p.*", (F.col("position") + F.col("first_item")).alias("position"))
 
 
 @register("property_values", S.ctes("tracks", "batches") + """
@@ -752,10 +822,10 @@ def _(d):
     FROM batches""")
 def _(d):
     nested = P.property_values(d.properties, d.value_batches)
-    flat = nested.select("feature_id", "property_id", F.posexplode("batches").alias("position", "b"))
+    flat = nested.select("feature_id", "property_id", "first_item", F.posexplode("batches").alias("position", "b"))
     return flat.select(
         "feature_id", "property_id", F.col("b.id").alias("value_id"), F.size("b.values").alias("n_values"),
-        "position", "b.first_time",
+        (F.col("position") + F.col("first_item")).alias("position"), "b.first_time",
     )
 
 

@@ -85,6 +85,10 @@ CTE = {
         lead(t) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM tracks
         WINDOW w AS (PARTITION BY geom_id ORDER BY t))""",
     "norm": f"""norm AS (SELECT geom_id, t, x, y FROM seq WHERE {TURN})""",
+    "mixed": f"""kinds AS (SELECT geom_id, any_value(CASE event_type WHEN 'signup' THEN 'Discrete' WHEN 'view' THEN 'Step' ELSE 'Linear' END) AS kind
+        FROM tracks GROUP BY geom_id),
+    mixed AS (SELECT geom_id, kind, t, x, y FROM seq JOIN kinds USING (geom_id) WHERE CASE kind WHEN 'Discrete' THEN true
+        WHEN 'Step' THEN pt IS NULL OR nt IS NULL OR px <> x OR py <> y ELSE {TURN} END)""",
     "speed": """legs AS (SELECT geom_id, t, lag(t) OVER w AS pt, lead(t) OVER w AS nt,
         round(sqrt((lead(x) OVER w - x)*(lead(x) OVER w - x) + (lead(y) OVER w - y)*(lead(y) OVER w - y))
             / ((epoch_us(lead(t) OVER w) - epoch_us(t)) / 1e6), 9) AS v
@@ -110,7 +114,8 @@ CTE = {
         greatest(x, x + s) AS xmax, greatest(y, y + s) AS ymax FROM (SELECT s_suppkey, s_suppkey % 100 * 4.0::DOUBLE AS x,
         s_nationkey * 4.0::DOUBLE AS y, s_acctbal / 1000 AS s FROM supplier))""",
     "batches": """batches AS (SELECT min(event_id) AS value_id, geom_id AS property_id, day(t) AS day,
-        count(*)::INTEGER AS n_values, min(t) AS first_time, max(t) AS final_time FROM tracks GROUP BY geom_id, day(t))""",
+        count(*)::INTEGER AS n_values, min(t) AS first_time, max(t) AS final_time FROM tracks
+        GROUP BY geom_id, date_trunc('day', t), day(t))""",
     "reports": """reports AS (SELECT date_trunc('hour', t) AS t, feature_id AS mmsi, 54.0::DOUBLE + y / 50 AS lat,
         4.0::DOUBLE + x / 15 AS lon, CASE WHEN y <> 0 THEN y / 4 END AS sog, x AS cog,
         CASE WHEN y < 90 THEN y * 3 END AS heading,
@@ -142,7 +147,7 @@ CTE = {
             sqrt((lead(x) OVER w - x)*(lead(x) OVER w - x) + (lead(y) OVER w - y)*(lead(y) OVER w - y)) AS len
             FROM positions WINDOW w AS (PARTITION BY mmsi ORDER BY t)) GROUP BY mmsi)""",
 }
-NEEDS = {"norm": ("seq",), "speed": ("seq", "norm")}
+NEEDS = {"norm": ("seq",), "mixed": ("seq",), "speed": ("seq", "norm")}
 
 
 def ctes(*names: str) -> str:

@@ -36,13 +36,15 @@ def trajectory_instants(trajectory: Column) -> Column:
 
 
 def decode_mfjson(docs: DataFrame, column: str = "trajectory", keep: tuple[str, ...] = ("geom_id",)) -> DataFrame:
-    """Long form of MF-JSON texts: ``keep`` columns, interpolation and ``t, x, y``."""
-    parsed = docs.select(*keep, decode_trajectory(F.col(column)).alias("_tg"))
-    return parsed.select(
-        *keep,
-        F.coalesce("_tg.interpolation", F.lit("Linear")).alias("interpolation"),
-        F.inline(trajectory_instants(F.col("_tg"))),
-    )
+    """Long form of MF-JSON texts: ``keep`` columns, interpolation and ``t, x, y``.
+
+    Where ``docs`` has a true ``joined``, the first instant is one of the slice before.
+    """
+    joined = F.col("joined") if "joined" in docs.columns else F.lit(False)
+    parsed = docs.select(*keep, decode_trajectory(F.col(column)).alias("_tg"), joined.alias("_joined"))
+    points = trajectory_instants(F.col("_tg"))
+    own = F.when(F.col("_joined"), F.slice(points, F.lit(2), F.size(points))).otherwise(points)
+    return parsed.select(*keep, F.coalesce("_tg.interpolation", F.lit("Linear")).alias("interpolation"), F.inline(own))
 
 
 def _bad_path(member: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.text import iso_time
-from driftline.operators.sequence import PART_ROWS, pack, with_chunk
-from driftline.operators.temporal import KEY, pack_instants
+from driftline.operators.sequence import collect_parts, pack, with_chunk
+from driftline.operators.temporal import KEY, KIND, kind_of, pack_instants
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -23,14 +23,20 @@ def link(href: Column, rel: str) -> Column:
     return F.struct(href.alias("href"), F.lit(rel).alias("rel"), F.lit(MEDIA_TYPE).alias("type"))
 
 
-def mfjson_point(instants: Column, interpolation: Column | str = "Linear") -> Column:
-    """MF-JSON struct of ordered ``array<struct<t,x,y>>``."""
+def mfjson_point(instants: Column, interpolation: Column | str = "Linear", joined: Column | None = None) -> Column:
+    """MF-JSON struct of ordered ``array<struct<t,x,y>>``.
+
+    With ``joined`` there is a member ``lower_inc``: false where the first instant belongs
+    to the slice before, else NULL.
+    """
     kind = F.lit(interpolation) if isinstance(interpolation, str) else interpolation
+    bound = [] if joined is None else [F.when(joined, F.lit(False)).alias("lower_inc")]
     return F.struct(
         F.lit("MovingPoint").alias("type"),
         F.transform(instants, lambda p: iso_time(p["t"])).alias("datetimes"),
         F.transform(instants, lambda p: F.array(p["x"], p["y"])).alias("coordinates"),
         kind.alias("interpolation"),
+        *bound,
     )
 
 
@@ -47,15 +53,19 @@ def mfjson_float(pairs: Column, interpolation: str = "Linear") -> Column:
     )
 
 
-def encode_mfjson(instants: DataFrame, key: Sequence[str] = KEY, interpolation: str = "Linear",
-                  max_rows: int = PART_ROWS) -> DataFrame:
-    """One MF-JSON text per trajectory; one per slice of time for very long ones."""
-    packed = pack_instants(instants, key, max_rows)
-    return packed.select(*key, "part", F.to_json(mfjson_point(F.col("instants"), interpolation)).alias("trajectory"))
+def encode_mfjson(instants: DataFrame, key: Sequence[str] = KEY, interpolation: str | None = None, **chunking) -> DataFrame:
+    """One MF-JSON text per trajectory; one per slice of time for very long ones, joined as in ``pack_instants``.
+
+    ``interpolation`` overrides that of the rows.
+    """
+    packed = pack_instants(instants, key, **chunking)
+    kind = F.lit(interpolation) if interpolation else kind_of(packed)
+    text = F.to_json(mfjson_point(F.col("instants"), kind, F.col("joined.instants")))
+    return packed.select(*key, "part", F.col("joined.instants").alias("joined"), text.alias("trajectory"))
 
 
 def ship_documents(trips: DataFrame) -> DataFrame:
-    """``mmsi, part, document``: one JSON text per assembled ship (and part)."""
+    """``mmsi, part, joined, document``: one JSON text per assembled ship (and part)."""
     document = F.struct(
         "mmsi",
         mfjson_point(F.col("trip")).alias("trajectory"),
@@ -65,7 +75,7 @@ def ship_documents(trips: DataFrame) -> DataFrame:
             F.col("ship_type").alias("ShipType"), F.col("destination").alias("Destination"),
         ).alias("properties"),
     )
-    return trips.select("mmsi", "part", F.to_json(document, KEEP_NULLS).alias("document"))
+    return trips.select("mmsi", "part", "joined", F.to_json(document, KEEP_NULLS).alias("document"))
 
 
 def write_ship_documents(documents: DataFrame, path: str, mode: str = "error") -> None:
@@ -131,22 +141,66 @@ def export_feature_collection(
     )
 
 
-def geometry_sequence(instants: DataFrame, feature: str = "feature_id", max_rows: int = PART_ROWS) -> DataFrame:
-    """``feature, geom_id, part, geometry``: sequence entries of each feature."""
-    packed = pack_instants(instants, [feature, "geom_id"], max_rows)
+def geometry_entry(instants: Column, interpolation: Column, joined: Column | None = None) -> Column:
+    """Entry of a geometry sequence from a packed path and the columns of its trajectory."""
+    path = mfjson_point(instants, interpolation, joined)
+    bound = [] if joined is None else [path["lower_inc"].alias("lower_inc")]
+    return F.struct(
+        F.col("geom_id").alias("id"), F.coalesce("geometry_type", F.lit("MovingPoint")).alias("type"),
+        path["datetimes"].alias("datetimes"), path["coordinates"].alias("coordinates"),
+        path["interpolation"].alias("interpolation"), F.col("base").alias("base"), *bound,
+    )
+
+
+def geometry_sequence(instants: DataFrame, geometries: DataFrame | None = None, feature: str = "feature_id", **chunking) -> DataFrame:
+    """``feature, geom_id, part, joined, geometry``: the entries of the features' geometry sequences.
+
+    ``geometries`` gives type, interpolation and base of each trajectory; its instants are
+    taken as linear without. Very long paths come in joined slices of time.
+    """
+    if geometries is not None:
+        about = [c for c in ("geometry_type", KIND, "base") if c in geometries.columns]
+        instants = instants.drop(*about).join(geometries.select("geom_id", *about), "geom_id")
+    more = [F.max(c).alias(c) for c in ("geometry_type", "base") if c in instants.columns]
+    packed = pack(
+        with_chunk(instants, [c for c in instants.columns if c in (feature, "geom_id", "t", "x", "y", KIND, "geometry_type", "base")]),
+        [feature, "geom_id"], {"instants": F.struct("t", "x", "y")},
+        [F.max(kind_of(instants)).alias(KIND), *more], join_ends=F.col(KIND) != "Discrete", **chunking,
+    )
+    packed = packed.withColumns({c: F.lit(None).cast("string") for c in ("geometry_type", "base") if c not in packed.columns})
+    joined = F.col("joined.instants")
     return packed.select(
-        feature, "geom_id", "part", mfjson_point(F.col("instants")).alias("geometry")
+        feature, "geom_id", "part", joined.alias("joined"),
+        geometry_entry(F.col("instants"), F.col(KIND), joined).alias("geometry"),
+    )
+
+
+def sequence_documents(entries: DataFrame, now: Column, feature: str = "feature_id", base: str = "", max_items: int | None = None) -> DataFrame:
+    """One ``TemporalGeometrySequence`` document per feature from the entries of ``geometry_sequence``.
+
+    The entries stand in order of trajectory and slice; a feature with very many has
+    several documents (``part_no``). Both counts are of all its trajectories.
+    """
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("geom_id", "part", "geometry"))), lambda e: e["geometry"])
+    nested = collect_parts(entries, [feature, "collection_id"], [listed.alias("geometrySequence")], ["geom_id", "part"], max_items)
+    counts = entries.filter("part = 0").groupBy(feature).agg(F.count("*").alias("_n"))
+    path = F.concat(F.lit(f"{base}/collections/"), F.col("collection_id"), F.lit("/items/"), F.col(feature).cast("string"), F.lit("/tgsequence"))
+    return nested.join(counts, feature).select(
+        feature, "collection_id", "part_no",
+        F.struct(
+            F.lit("TemporalGeometrySequence").alias("type"), "geometrySequence", F.array(link(path, "self")).alias("links"),
+            iso_time(now).alias("timeStamp"), F.col("_n").alias("numberMatched"), F.col("_n").alias("numberReturned"),
+        ).alias("document"),
     )
 
 
 def curve_document(
-    curve: DataFrame, value: str, unit: Column | str, query_type: str, key: Sequence[str] = KEY,
-    max_rows: int = PART_ROWS,
+    curve: DataFrame, value: str, unit: Column | str, query_type: str, key: Sequence[str] = KEY, **chunking
 ) -> DataFrame:
     """``TReal`` documents of a curve: one per trajectory, in parts when very long."""
     unit_column = F.lit(unit) if isinstance(unit, str) else unit
-    pairs = F.sort_array(F.collect_list(F.struct("t", F.col(value).alias("value")))).alias("pairs")
-    packed = pack(with_chunk(curve, [*key, "t", value]), key, [pairs], max_rows=max_rows)
+    pairs = {"pairs": F.struct("t", F.col(value).alias("value"))}
+    packed = pack(with_chunk(curve, [*key, "t", value]), key, pairs, join_ends=False, **chunking)
     return packed.select(
         *key, "part",
         F.struct(
