@@ -12,14 +12,14 @@ bytes takes about n steps of constant size and one small heap step each, however
 token. ``ids`` are packed as little-endian unsigned 32-bit integers in one binary column. A null
 text counts as empty and has no tokens; texts of any length are encoded whole. Rows are encoded
 one by one, so repeated rows and ids, ties and columns of other names play no part; an empty table
-gives no rows. Short words already encoded are remembered for the length of a task, up to a bound.
+gives no rows. Short words already encoded are remembered in each worker, up to a bound; what has
+been met lately stays, also from task to task.
 """
 
 from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -60,6 +60,8 @@ class Encoder:
             self.ranks[token[:i]] << self.shift | self.ranks[token[i:]]: rank
             for token, rank in self.ranks.items() for i in range(1, len(token)) if token[:i] in self.ranks and token[i:] in self.ranks
         }
+        single = self.single
+        self.byte_pairs = [self.pairs.get(a << self.shift | b, -1) for a in single for b in single]
         # The queue; between parts it is empty, so all of this is as here.
         self.first = [-1] * (highest + 1)  # the leftmost position of each bucket
         self.words = [0] * ((highest >> BITS) + 1)  # lower level of the bitmap
@@ -67,7 +69,7 @@ class Encoder:
         self.parts, self.known = Parts(), Memory()
 
     def forget(self) -> None:
-        """Frees what is remembered: workers outlive their tasks."""
+        """Frees what is remembered."""
         self.parts.forget()
         self.known = Memory()
 
@@ -83,7 +85,8 @@ class Encoder:
         n, single, first, words, bit, shift, pair = len(data), self.single, self.first, self.words, self.bit, self.shift, self.pairs.get
         token = [single[b] for b in data]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [pair(a << shift | b, -1) for a, b in zip(token, token[1:])]
+        byte_pairs = self.byte_pairs
+        rank_at = [byte_pairs[a << 8 | b] for a, b in zip(data, data[1:])]
         rank_at.append(-1)
         top, more = 0, {}
         for position, rank in enumerate(rank_at):
@@ -171,13 +174,8 @@ def encode(text: Column, path: str | None = None) -> Column:
     path = path or default_path()
 
     @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = encoder(path)
-        try:
-            for texts in batches:
-                yield texts.map(coder.encode)
-        finally:
-            coder.forget()
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(encoder(path).encode)
 
     return packed(F.coalesce(text, F.lit("")))
 
@@ -202,14 +200,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     @F.pandas_udf("ids binary, decoded binary")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def both(texts: pd.Series) -> pd.DataFrame:
         coder = encoder(path)
-        try:
-            for texts in batches:
-                ids = texts.map(coder.encode)
-                yield pd.DataFrame({"ids": ids, "decoded": ids.map(coder.decode)})
-        finally:
-            coder.forget()
+        ids = texts.map(coder.encode)
+        return pd.DataFrame({"ids": ids, "decoded": ids.map(coder.decode)})
 
     return docs.select("doc_id", both(F.coalesce("text", F.lit(""))).alias("b")).select("doc_id", "b.ids", "b.decoded")
 

@@ -99,7 +99,8 @@ class Parts:
     def encoded(self, text: str, part: Callable[[str], bytes]) -> bytes:
         """``part`` of every part of a text, joined.
 
-        A lone space between other signs always starts a part: such texts go word by word.
+        A lone space between other signs always starts a part: such texts go word by word. Python's
+        letters are all in the libraries' older tables too, so a word of them alone is one part.
         """
         if not text:
             return b""
@@ -114,7 +115,8 @@ class Parts:
         def word(w: str) -> bytes:
             known = words.recall(w)
             if known is None:
-                known = b"".join(map(part, self.of(w)))
+                letters = w[1:] if w[:1] == " " else w
+                known = part(w) if letters.isalpha() else b"".join(map(part, self.of(w)))
                 if len(w) <= LONGEST_REMEMBERED:
                     words.keep(w, known)
             return known
