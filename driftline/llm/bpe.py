@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import ship
-from driftline.llm.pretokens import LONGEST_REMEMBERED, REMEMBERED, Memory, Parts
+from driftline.llm.common import give_back, ship
+from driftline.llm.pretokens import REMEMBERED, Parts
 
 
 def default_path() -> str:
@@ -70,16 +70,15 @@ class Encoder:
             if len(token) == 1 or (h := self.halves.get(i)) and self.first_across(h[1], h[2]) == h[0]:
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
-        self.cut = Parts()
+        self.parts = Parts(self.encode_part)
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
-        self.parts = Memory()
 
     def forget(self) -> None:
         """Frees what is remembered: workers outlive their tasks."""
-        self.parts = Memory()
-        self.cut.forget()
+        self.parts.forget()
         self.fits.clear()
         self.edges.clear()
+        give_back()
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that once stood at a token's end (side 2) or start (side 1), each with the rank at which it went."""
@@ -114,9 +113,6 @@ class Encoder:
 
     def encode_part(self, part: str) -> bytes:
         """Ids of a part of text, by the last token of each of its prefixes."""
-        known = self.parts.get(part) or self.parts.recall(part)
-        if known is not None:
-            return known
         letters = part.encode().decode("latin-1")
         at = len(letters)
         last, size_of = [0] * (at + 1), [0] * (at + 1)
@@ -139,13 +135,10 @@ class Encoder:
             ids.append(last[at])
             at -= size_of[at]
         ids.reverse()
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(part) <= LONGEST_REMEMBERED:
-            self.parts.keep(part, packed)
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_plain(self, text: str) -> bytes:
-        return self.cut.encoded(text, self.encode_part)
+        return self.parts.encoded(text)
 
     def encode(self, text: str) -> bytes:
         if not self.special:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import ship
-from driftline.llm.pretokens import LONGEST_REMEMBERED, Memory, Parts
+from driftline.llm.pretokens import Parts
 
 #: Ranks to a word of the bitmap, as a power of two; its upper level is one word.
 BITS = 8
@@ -66,12 +66,7 @@ class Encoder:
         self.first = [-1] * (highest + 1)  # the leftmost position of each bucket
         self.words = [0] * ((highest >> BITS) + 1)  # lower level of the bitmap
         self.bit = [1 << i for i in range(max(len(self.words), 1 << BITS))]
-        self.parts, self.known = Parts(), Memory()
-
-    def forget(self) -> None:
-        """Frees what is remembered."""
-        self.parts.forget()
-        self.known = Memory()
+        self.parts = Parts(lambda part: struct.pack(f"<{len(ids := self.merged(part.encode()))}I", *ids))
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one part.
@@ -148,17 +143,8 @@ class Encoder:
             at = after[at]
         return ids
 
-    def encode_part(self, part: str) -> bytes:
-        known = self.known.get(part) or self.known.recall(part)
-        if known is None:
-            ids = self.merged(part.encode())
-            known = struct.pack(f"<{len(ids)}I", *ids)
-            if len(part) <= LONGEST_REMEMBERED:
-                self.known.keep(part, known)
-        return known
-
     def encode(self, text: str) -> bytes:
-        return self.parts.encoded(text, self.encode_part)
+        return self.parts.encoded(text)
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import fold, ship
+from driftline.llm.common import fold, give_back, ship
 from driftline.session import cut_lineage
 
 TRAIN_DOCS, ROUNDS = 600, 2
@@ -251,6 +251,8 @@ def identify(text: Column, spark, model: Model | None) -> Column:
         scorer = Scorer(shared.value)
         for texts in batches:
             yield scorer(texts.tolist())
+        del scorer
+        give_back()
 
     return predict(F.coalesce(text, F.lit("")))
 

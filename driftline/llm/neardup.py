@@ -16,12 +16,14 @@ Components come from label propagation with pointer jumps over the confirmed lin
 A document without words or without text has an empty set and is linked with nothing. One with
 fewer words than ``width`` has its whole sequence as its one shingle. Rows that repeat a doc_id
 are one document if their sets are equal; otherwise each set is linked on its own and each row
-carries the component of its own set. A row without doc_id takes no part: component_id is null
-and kept true. Only doc_id and text are read; an empty table gives no rows.
+carries the component of its own set: sets are classes by their own numbers, which become doc_ids
+at the very end. A row without doc_id takes no part: component_id is null and kept true. Only
+doc_id and text are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import ship, written
+from driftline.llm.common import give_back, ship, written
 from driftline.session import cut_lineage
 
 WIDTH, PERCENT = 5, 85
@@ -121,18 +123,21 @@ def sketch(text: Column, width: int, bins: int, rows: int) -> Column:
     """Struct: n_shingles, whole (two longs that tell the set), bands (keys)."""
 
     @F.pandas_udf("n_shingles long, whole array<long>, bands array<long>")
-    def sketched(texts: pd.Series) -> pd.DataFrame:
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        out = []
-        for t in texts:
-            s = shingle_set(t, width, known)
-            if not len(s):
-                out.append((0, None, None))
-                continue
-            with np.errstate(over="ignore"):
-                whole = [int(_mix(s + U(k)).sum(dtype=U).astype(np.int64)) for k in (11, 23)]
-            out.append((len(s), whole, band_keys(s, bins, rows)))
-        return pd.DataFrame(out, columns=["n_shingles", "whole", "bands"])
+        for texts in batches:
+            out = []
+            for t in texts:
+                s = shingle_set(t, width, known)
+                if not len(s):
+                    out.append((0, None, None))
+                    continue
+                with np.errstate(over="ignore"):
+                    whole = [int(_mix(s + U(k)).sum(dtype=U).astype(np.int64)) for k in (11, 23)]
+                out.append((len(s), whole, band_keys(s, bins, rows)))
+            yield pd.DataFrame(out, columns=["n_shingles", "whole", "bands"])
+        known.clear()
+        give_back()
 
     return sketched(F.coalesce(text, F.lit("")))
 
@@ -141,7 +146,7 @@ def similar(percent: int, width: int, a: Column, b: Column) -> Column:
     """Whether two texts' full sets are similar enough."""
 
     @F.pandas_udf("boolean")
-    def confirmed(left: pd.Series, right: pd.Series) -> pd.Series:
+    def confirmed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known = WordHashes()
         kept: dict[str, np.ndarray] = {}
 
@@ -153,15 +158,19 @@ def similar(percent: int, width: int, a: Column, b: Column) -> Column:
                 s = kept[text] = shingle_set(text, width, known)
             return s
 
-        out = []
-        for x, y in zip(left, right):
-            p, q = of(x), of(y)
-            if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                out.append(False)
-                continue
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= percent * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right):
+                p, q = of(x), of(y)
+                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+                    out.append(False)
+                    continue
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield pd.Series(out, dtype=bool)
+        known.clear()
+        kept.clear()
+        give_back()
 
     return confirmed(a, b)
 
@@ -217,50 +226,74 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+def judged(docs: DataFrame, width: int, percent: int, bins: int, rows: int) -> DataFrame:
+    """doc_id, n_shingles, text_hash, component_id, kept: one row for each row of ``docs``."""
     ship(docs.sparkSession)
-    sketched = docs.select("doc_id", sketch(F.col("text"), width, bins, rows).alias("s")).select("doc_id", "s.*")
+    hashed = F.xxhash64("text").alias("text_hash")
+    sketched = docs.select("doc_id", hashed, sketch(F.col("text"), width, bins, rows).alias("s")).select("doc_id", "text_hash", "s.*")
     sketched = written(sketched, "sketches")
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("whole").agg(
-        F.min("doc_id").alias("class"), F.first("bands").alias("bands")
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands")
     )
-    classes = written(classes, "classes")
+    # Written, so that a class has the same number wherever it is read.
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "whole", "first", "bands"), "classes")
     pairs = cut_lineage(candidate_pairs(classes.select("class", F.explode("bands").alias("key"))))
 
-    # Of all texts only those in a pair move, one for each class (all that an id has, if it is repeated).
+    # Of all texts only those in a pair move, one for each class.
     asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("class")
-    texts = docs.select(F.col("doc_id").alias("class"), "text").join(asked, "class", "left_semi")
-    texts = texts.groupBy("class", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
-    texts = written(texts.select("class", "text"), "texts")
+    asked = classes.join(asked, "class", "left_semi").select("class", "first.doc_id", "first.text_hash")
+    texts = docs.select("doc_id", hashed, "text").join(asked, ["doc_id", "text_hash"])
+    texts = written(texts.groupBy("class").agg(F.min("text").alias("text")), "texts")
     left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
     links = pairs.join(left, "a").join(right, "b").where(similar(percent, width, F.col("left"), F.col("right")))
-    roots = components(links.select("a", "b"))
-    placed = classes.select("whole", "class").join(roots, "class", "left").select(
-        "whole", F.coalesce("root", "class").alias("component_id")
+    roots = cut_lineage(components(links.select("a", "b")))
+    # A component is called by the smallest doc_id of all its classes.
+    firsts = classes.select("class", "first.doc_id")
+    names = roots.join(firsts, "class").groupBy("root").agg(F.min("doc_id").alias("name"))
+    named = roots.join(names, "root").select("class", "name")
+    placed = classes.select("whole", "class", "first.doc_id").join(named, "class", "left").select(
+        "whole", F.coalesce("name", "doc_id").alias("component_id")
     )
-    joined = sketched.select("doc_id", "n_shingles", "whole").join(placed, "whole", "left")
+    joined = sketched.select("doc_id", "n_shingles", "text_hash", "whole").join(placed, "whole", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+        "doc_id", "n_shingles", "text_hash", component.alias("component_id"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"),
     )
 
 
-#: Dropped ids (8 bytes each) up to which they are broadcast; beyond it the join shuffles.
+def near_duplicates(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+    return judged(docs, width, percent, bins, rows).drop("text_hash")
+
+
+#: Dropped rows (16 bytes each) up to which they are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id, and each repeated row once."""
-    dropped = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
-    dropped = cut_lineage(dropped)
+def drop_near_duplicates(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS
+) -> DataFrame:
+    """``docs`` with one document of each group: of those with its smallest id the one with the smallest hash.
+
+    Rows go by id and text, so a text stays when another one of the same id goes. Documents
+    without words are in no group; of equal rows of an id one stays.
+    """
+    found = cut_lineage(judged(docs, width, percent, bins, rows).where("doc_id IS NOT NULL").drop("component_id"))
+    kept = found.where("kept").withColumn("words", F.col("n_shingles") > 0)
+    first = kept.groupBy("doc_id", "words").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last"), F.count("*").alias("n"))
+    several = cut_lineage(first.where("n > 1"))
+    second = kept.join(several.where("words AND first <> last"), ["doc_id", "words"]).where("text_hash <> first")
+    dropped = cut_lineage(found.where("NOT kept").select("doc_id", "text_hash").union(second.select("doc_id", "text_hash")).distinct())
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    repeated = cut_lineage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
-    return rest.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    names = docs.columns
+    rows_of = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    rest = rows_of.join(dropped, ["doc_id", "text_hash"], "left_anti")
+    if not several.isEmpty():
+        repeated = several.select("doc_id").distinct()
+        once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        rest = rest.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return rest.select(*[F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -29,8 +29,8 @@ NEWER_LETTERS = (
 )
 NEWER_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
 
-#: Entries of each half of a memory, and the longest key that is kept.
-REMEMBERED = 300_000
+#: Entries of each half of a memory (some 25 MB), and the longest key that is kept.
+REMEMBERED = 120_000
 LONGEST_REMEMBERED = 64
 
 
@@ -68,9 +68,12 @@ class Memory(dict):
 
 
 class Parts:
-    """Cuts texts into parts; encodes a text by a function of one part, remembering what short words gave."""
+    """Cuts texts into parts and encodes them by ``encode``, a function of one part.
 
-    def __init__(self) -> None:
+    One memory holds what short parts and words gave: a word that is a part is in it once.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
         newer = _ranges(NEWER_LETTERS + NEWER_NUMBERS)
         self.newer = regex.compile(f"[{newer}]")
         self.plain = regex.compile(pattern())
@@ -81,7 +84,12 @@ class Parts:
             ),
             regex.V1,
         )
-        self.words = Memory()
+        self.encode = encode
+        self.memory = Memory()
+
+    def forget(self) -> None:
+        """Frees what is remembered."""
+        self.memory = Memory()
 
     def of(self, text: str) -> list[str]:
         """All parts of a text, in order."""
@@ -92,15 +100,33 @@ class Parts:
                 return self.exact.findall(text)
         return self.plain.findall(text)
 
-    def forget(self) -> None:
-        """Frees what is remembered: workers outlive their tasks."""
-        self.words = Memory()
+    def part(self, part: str) -> bytes:
+        known = self.memory.get(part) or self.memory.recall(part)
+        if known is None:
+            known = self.encode(part)
+            if len(part) <= LONGEST_REMEMBERED:
+                self.memory.keep(part, known)
+        return known
 
-    def encoded(self, text: str, part: Callable[[str], bytes]) -> bytes:
-        """``part`` of every part of a text, joined.
+    def word(self, word: str) -> bytes:
+        """Of a stretch of text at whose ends the pattern cuts anyway.
 
-        A lone space between other signs always starts a part: such texts go word by word. Python's
-        letters are all in the libraries' older tables too, so a word of them alone is one part.
+        Python's letters are all in the libraries' older tables too: a word of them alone is one part.
+        """
+        known = self.memory.recall(word)
+        if known is None:
+            if (word[1:] if word[:1] == " " else word).isalpha():
+                known = self.encode(word)
+            else:
+                known = b"".join(map(self.part, self.of(word)))
+            if len(word) <= LONGEST_REMEMBERED:
+                self.memory.keep(word, known)
+        return known
+
+    def encoded(self, text: str) -> bytes:
+        """All parts of a text encoded and joined.
+
+        A lone space between other signs always starts a part: such texts go word by word.
         """
         if not text:
             return b""
@@ -109,20 +135,9 @@ class Parts:
             text[0] == " " or text[-1] == " " or "  " in text or text[0] in found or text[-1] in found
             or any(f"{c} " in text or f" {c}" in text for c in found)
         ):
-            return b"".join(map(part, self.of(text)))
-        words = self.words
-
-        def word(w: str) -> bytes:
-            known = words.recall(w)
-            if known is None:
-                letters = w[1:] if w[:1] == " " else w
-                known = part(w) if letters.isalpha() else b"".join(map(part, self.of(w)))
-                if len(w) <= LONGEST_REMEMBERED:
-                    words.keep(w, known)
-            return known
-
+            return b"".join(map(self.part, self.of(text)))
         first, *rest = text.split(" ")
-        remembered = words.get
+        remembered, word = self.memory.get, self.word
         packed = [word(first)]
         packed += [remembered(w) or word(w) for w in [" " + w for w in rest]]
         return b"".join(packed)

@@ -62,7 +62,7 @@ def test_memory_starts_anew(monkeypatch):
     mine, theirs = bpe.Encoder(bpe.default_path()), library()
     text = " ".join(cases.sentences(3, 20))
     assert np.frombuffer(mine.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
-    assert max(map(len, (mine.parts, mine.cut.words, mine.parts.old, mine.cut.words.old))) <= 3
+    assert max(map(len, (mine.parts.memory, mine.parts.memory.old))) <= 3
 
 
 def test_query_decodes_to_the_text(spark):

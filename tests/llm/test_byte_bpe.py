@@ -91,9 +91,7 @@ def test_memory_is_bounded(monkeypatch):
     mine, theirs = byte_bpe.Encoder(byte_bpe.default_path()), library()
     text = " ".join(cases.sentences(3, 20))
     assert ids(mine.encode(text)) == theirs.encode_ordinary(text)
-    assert max(map(len, (mine.known, mine.known.old, mine.parts.words, mine.parts.words.old))) <= 3
-    mine.forget()
-    assert not mine.known and not mine.parts.words
+    assert max(map(len, (mine.parts.memory, mine.parts.memory.old))) <= 3
 
 
 def test_awkward_documents(spark):

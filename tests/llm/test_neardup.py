@@ -18,7 +18,7 @@ def brute_sets(texts):
     return out
 
 
-def brute(ids, texts):
+def brute(ids, texts, percent=85):
     sets, parent = brute_sets(texts), {i: i for i in ids}
 
     def find(x):
@@ -29,7 +29,7 @@ def brute(ids, texts):
     for a in range(len(ids)):
         for b in range(a):
             s, t = sets[a], sets[b]
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 x, y = find(ids[a]), find(ids[b])
                 parent[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in zip(ids, sets)}
@@ -94,6 +94,20 @@ def test_awkward_rows(spark):
     assert neardup.drop_near_duplicates(cases.no_documents(spark)).count() == 0
 
 
+def test_an_id_that_stands_twice_takes_no_unrelated_text_with_it(spark):
+    a, c, other = cases.sentences(21, 3, 5000)
+    a2, c2 = a + " tail", c + " tail"
+    rows = [(1, a), (5, a2), (5, c), (9, c2), (7, other), (7, other), (7, other.upper()), (8, ""), (8, other + " end"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    size = lambda t: len(t.split()) - 4
+    assert got[1, size(a)] == (1, True) and got[5, size(a2)] == (1, False)
+    assert got[5, size(c)] == (5, True) and got[9, size(c2)] == (5, False)
+    assert got[7, size(other)] == (7, True) and got[8, size(other) + 1] == (7, False) and got[8, 0] == (8, True)
+    left = sorted((r.doc_id, (r.text or "").lower()) for r in neardup.drop_near_duplicates(docs).collect())
+    assert left == sorted([(1, a), (5, c), (7, other), (8, ""), (8, "")])
+
+
 def test_stars_bound_the_pairs(spark):
     """A thousand copies with one new word each: pairs grow with the rows, not with their square."""
     draw = random.Random(9)

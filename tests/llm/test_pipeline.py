@@ -37,7 +37,7 @@ def test_stages(spark):
     assert len(after) >= 0.98 * before["text"].notna().sum()
 
     before, after = kept["minhash_near_dedup"]
-    groups = brute(before["doc_id"].tolist(), before["text"].tolist())
+    groups = brute(before["doc_id"].tolist(), before["text"].tolist(), corpus_pipeline.NEAR_PERCENT)
     assert set(after["doc_id"]) == {i for i, (_, root) in groups.items() if i == root} and len(after) == after["doc_id"].nunique()
 
     before, after = kept["mixing"]
