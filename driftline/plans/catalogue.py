@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from driftline.operators import mutate, properties as P, temporal, validate
 from driftline.operators.features import (
     collection_list,
-    features_nested,
     lookup_features,
     requests_missing,
 )
-from driftline.plans.items import Items, items
+from driftline.plans.items import Items, items, items_document
 from driftline.sources import documents, export, store
 
 
@@ -79,9 +78,18 @@ class Catalogue:
         mine = self.features.filter(F.col("collection_id") == collection_id)
         return items(mine, self.geometries, self.instants, query, after)
 
+    def get_items_document(self, collection_id: str, now: Column, after: tuple | None = None, base: str = "", **arguments) -> DataFrame:
+        """The same page as the lines of one feature collection, see ``items_document``."""
+        page = self.get_items(collection_id, after, **arguments)
+        limit = validate.item_query(**arguments).limit
+        asked = "".join(f"&{name}={arguments[name]}" for name in ("bbox", "datetime") if arguments.get(name))
+        return items_document(page, now, f"{base}/collections/{collection_id}/items", limit, asked, base)
+
     def get_feature(self, collection_id: str, feature_id: str) -> DataFrame:
+        """Document of one feature with all its trajectories, in ``part`` slices if very long."""
         mine = self.features.filter((F.col("collection_id") == collection_id) & (F.col("feature_id") == feature_id))
-        return features_nested(mine, self.geometries.filter(F.col("feature_id") == feature_id))
+        here = F.col("feature_id") == feature_id
+        return export.features_with_paths(mine, self.geometries.filter(here), self.instants.filter(here))
 
     def get_features(self, requests: DataFrame) -> DataFrame:
         return lookup_features(requests, self.features, self.geometries)
@@ -113,8 +121,13 @@ class Catalogue:
     # Trajectories
 
     def get_sequence(self, collection_id: str, feature_id: str) -> DataFrame:
-        mine = self.instants.filter((F.col("collection_id") == collection_id) & (F.col("feature_id") == feature_id))
-        return export.geometry_sequence(mine)
+        """Entries of the geometry sequence of one feature, each by its own interpolation."""
+        here = (F.col("collection_id") == collection_id) & (F.col("feature_id") == feature_id)
+        return export.geometry_sequence(self.instants.filter(here), self.geometries.filter(here))
+
+    def get_sequence_document(self, collection_id: str, feature_id: str, now: Column, base: str = "") -> DataFrame:
+        entries = self.get_sequence(collection_id, feature_id).withColumn("collection_id", F.lit(collection_id))
+        return export.sequence_documents(entries, now, base=base)
 
     def post_sequences(self, paths: DataFrame, now: Column) -> "Catalogue":
         """Append trajectories of known features.

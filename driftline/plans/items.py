@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import geojson_shape
+from driftline.functions.text import iso_time
 from driftline.operators import temporal
 from driftline.operators.temporal import KIND
 from driftline.operators.features import FEATURE, GEOMETRY, feature_page, page_counts
 from driftline.operators.predicates import bbox_overlap, time_overlap
 from driftline.operators.sequence import collect_parts, pack
 from driftline.operators.validate import ItemQuery
-from driftline.sources.export import mfjson_point
+from driftline.sources.export import feature_document, link, mfjson_point
 
 
 class Items(NamedTuple):
@@ -95,3 +96,86 @@ def nest_items(result: Items, max_items: int | None = None) -> DataFrame:
     return result.page.join(arrays, FEATURE, "left").withColumns(
         {"part_no": F.coalesce("part_no", F.lit(0)), "first_item": F.coalesce("first_item", F.lit(0))}
     )
+
+
+#: Instants up to which a path shares its document with others, and how many such paths do.
+SHORT_PATH, SHORT_PATHS = 1_000, 500
+
+
+def item_features(result: Items, base: str = "") -> DataFrame:
+    """``created_at, feature_id, part_no, feature``: the page's documents with paths and shapes.
+
+    A feature's short paths stand together, ``SHORT_PATHS`` to a document, and each long
+    path (or slice of one) in a document of its own, so none holds an unbounded number of
+    instants. Most features are one document.
+    """
+    entry = F.struct(
+        F.col(GEOMETRY).alias("id"), F.col("geometry_type").alias("type"), F.col("sequence.datetimes").alias("datetimes"),
+        F.col("sequence.coordinates").alias("coordinates"), F.col("base").alias("base"),
+        F.col("sequence.interpolation").alias("interpolation"), F.col("sequence.lower_inc").alias("lower_inc"),
+    )
+    rows = result.geometries.select(
+        FEATURE, GEOMETRY, "part", "n_instants", F.struct(GEOMETRY, "part", entry.alias("e"), F.col("geometry").alias("g")).alias("item")
+    )
+    short = collect_parts(
+        rows.filter(F.col("n_instants") <= SHORT_PATH), [FEATURE],
+        [F.sort_array(F.collect_list(F.struct(GEOMETRY, "part", "item"))).alias("items")], [GEOMETRY, "part"], SHORT_PATHS,
+    ).select(FEATURE, F.lit(0).alias("long"), F.col("part_no").cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
+             F.transform("items", lambda i: i["item"]).alias("items"))
+    long = rows.filter(F.col("n_instants") > SHORT_PATH).select(
+        FEATURE, F.lit(1).alias("long"), F.col(GEOMETRY).cast("long").alias("a"), F.col("part").alias("b"), F.array("item").alias("items")
+    )
+    nested = short.unionByName(long).withColumn("part_no", F.struct("long", "a", "b"))
+    page = result.page
+    plain = {c: F.lit(None).cast("string") for c in ("properties", "crs", "trs") if c not in page.columns}
+    plain |= {c: F.lit(None).cast("double") for c in ("xmin", "ymin", "xmax", "ymax") if c not in page.columns}
+    plain |= {c: F.lit(None).cast("timestamp") for c in ("tmin", "tmax") if c not in page.columns}
+    whole = page.withColumns(plain).join(nested, FEATURE, "left")
+    shapes = F.transform("items", lambda i: i["g"])
+    document = feature_document(base, F.transform("items", lambda i: i["e"]), shapes)
+    return whole.select("created_at", FEATURE, "part_no", document.alias("feature"))
+
+
+def items_document(
+    result: Items, now: Column, path: str = "", limit: int | None = None, next_query: str = "", base: str = ""
+) -> DataFrame:
+    """``place, line``: the page as one feature collection, line by line in order of ``place``.
+
+    The first line opens the document, one follows for each feature document, and the last
+    holds counts and links. No row holds more than one feature document, and the lines
+    written one after another (``write_items_document``) are the JSON text.
+    """
+    features = item_features(result, base)
+    text = F.to_json(F.col("feature"))
+    # Shapes are JSON texts already: they go in as they are.
+    shapes = F.concat(F.lit(',"geometry":['), F.array_join(F.col("feature.geometry"), ","), F.lit("]}"))
+    bare = F.to_json(F.struct(*[F.col(f"feature.{c}").alias(c) for c in features.schema["feature"].dataType.names if c != "geometry"]))
+    body = F.when(F.col("feature.geometry").isNull(), text).otherwise(F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), shapes))
+    place = lambda kind: F.struct(
+        F.lit(kind).alias("kind"), F.col("created_at").alias("created_at"), F.col(FEATURE).alias(FEATURE), F.col("part_no").alias("part_no")
+    )
+    lines = features.select(place(1).alias("place"), body.alias("line"))
+    none = features.schema
+    empty = F.struct(
+        F.lit(0).alias("kind"), *[F.lit(None).cast(none[c].dataType).alias(c) for c in ("created_at", FEATURE, "part_no")]
+    )
+    links = F.array(link(F.lit(path), "self"))
+    more = links if limit is None else F.when(
+        F.col("number_matched") > F.col("number_returned"), F.concat(links, F.array(link(F.lit(f"{path}?limit={limit}{next_query}"), "next")))
+    ).otherwise(links)
+    tail = F.to_json(F.struct(
+        iso_time(now).alias("timeStamp"), F.col("number_matched").alias("numberMatched"),
+        F.col("number_returned").alias("numberReturned"), more.alias("links"),
+    ))
+    ends = result.counts.select(F.explode(F.array(
+        F.struct(empty.alias("place"), F.lit('{"type":"FeatureCollection","features":[').alias("line")),
+        F.struct(empty.withField("kind", F.lit(2)).alias("place"), F.concat(F.lit("],"), F.substring(tail, F.lit(2), F.length(tail))).alias("line")),
+    )).alias("e")).select("e.place", "e.line")
+    first = lines.agg(F.min("place")).scalar()
+    parted = F.when((F.col("place.kind") == 1) & (F.col("place") != first), F.concat(F.lit(","), "line")).otherwise(F.col("line"))
+    return lines.unionByName(ends).select("place", parted.alias("line"))
+
+
+def write_items_document(lines: DataFrame, folder: str) -> None:
+    """The document as one file below ``folder``: a page, sorted by Spark and written line by line."""
+    lines.repartition(1).sortWithinPartitions("place").select("line").write.text(folder)

@@ -24,7 +24,7 @@ from driftline.operators.regions import region_visits
 from driftline.plans import sql as S
 from driftline.plans.ais_day import ais_day, clean_positions, profile_trips
 from driftline.plans.driver_tables import DriverTables, plain_times
-from driftline.plans.items import items
+from driftline.plans.items import items, items_document
 from driftline.plans.port_traffic import port_traffic
 from driftline.session import cut_lineage
 from driftline.sources import documents, export
@@ -632,6 +632,37 @@ def _(d):
     )
 
 
+@register("feature_paths", S.ctes("tracks", "features", "requests", "mixed") + """
+    SELECT CAST(f.feature_id AS VARCHAR) AS id, f.collection_id, geom_id, kind AS interpolation, t, x, y FROM features f
+    JOIN tracks USING (feature_id) JOIN kinds USING (geom_id)
+    WHERE (f.feature_id, f.collection_id) IN (SELECT feature_id, collection_id FROM requests)
+    UNION ALL
+    SELECT CAST(feature_id AS VARCHAR), collection_id, NULL, NULL, NULL, NULL, NULL FROM features
+    WHERE (feature_id, collection_id) IN (SELECT feature_id, collection_id FROM requests) AND feature_id NOT IN (SELECT feature_id FROM tracks)""")
+def _(d):
+    """Every instant of the documents of all requested features."""
+    wanted = d.features.join(d.requests.select("collection_id", "feature_id"), ["collection_id", "feature_id"], "left_semi")
+    boxes = T.extent(d.tracks, ["feature_id"])
+    rich = wanted.join(boxes, "feature_id", "left").withColumns(
+        {"properties": F.to_json(F.struct("name", "segment")), "crs": F.lit(None).cast("string"), "trs": F.lit(None).cast("string")}
+    )
+    docs = export.features_with_paths(rich, d.geometries, d.tracks)
+    return flat_paths(docs.select("collection_id", "feature"))
+
+
+def flat_paths(docs: DataFrame) -> DataFrame:
+    """id, other columns, and the instants of all paths of ``feature`` documents; one row of NULLs without path."""
+    others = [c for c in docs.columns if c != "feature"]
+    each = docs.select(*others, F.col("feature.id").alias("id"), F.explode_outer("feature.temporalGeometry").alias("g"))
+    shared = F.col("g.lower_inc").eqNullSafe(F.lit(False))
+    times, places = (own_items(F.col(f"g.{n}"), shared) for n in ("datetimes", "coordinates"))
+    pairs = F.arrays_zip(times.alias("d"), places.alias("c"))
+    points = each.select("id", *others, F.col("g.id").alias("geom_id"), F.col("g.interpolation").alias("interpolation"), F.explode_outer(pairs).alias("p"))
+    return points.select(
+        "id", *others, "geom_id", "interpolation", parse_time(F.col("p.d")).alias("t"), F.col("p.c")[0].alias("x"), F.col("p.c")[1].alias("y")
+    )
+
+
 @register("feature_page", S.ctes("features") + """
     SELECT feature_id, collection_id, created_at FROM features ORDER BY created_at, feature_id LIMIT 50""")
 def _(d):
@@ -722,6 +753,33 @@ def _(d):
     )
 
 
+PAGE = 40
+
+
+@register("items_document", ITEMS_SQL + CUT_SQL + f"""
+    , shown AS (SELECT * FROM features JOIN (SELECT feature_id FROM page) USING (feature_id) ORDER BY created_at, feature_id LIMIT {PAGE})
+    SELECT CAST(feature_id AS VARCHAR) AS id, geom_id, kind AS interpolation, t, round(x, 6) AS x, round(y, 6) AS y,
+        (SELECT count(*) FROM page) AS number_matched, least((SELECT count(*) FROM page), {PAGE}) AS number_returned,
+        CASE WHEN (SELECT count(*) FROM page) > {PAGE} THEN 2 ELSE 1 END AS n_links, TIMESTAMP '{NOW}' AS made_at
+    FROM shown JOIN matched USING (feature_id) JOIN kept USING (geom_id)""")
+def _(d):
+    """Every instant of the page, read back from the lines of its document."""
+    query = V.item_query(PAGE, "260,60,200,40", f"{START}/{END}", sub_trajectory=True)
+    page = items(d.features, d.geometries, d.tracks, query)
+    lines = items_document(page, now(), "/collections/all/items", PAGE)
+    kind = F.col("place.kind")
+    entry = "struct<id:bigint,datetimes:array<string>,coordinates:array<array<double>>,interpolation:string,lower_inc:boolean>"
+    feature = F.from_json(F.ltrim("line", F.lit(",")), f"id string, geometry array<string>, temporalGeometry array<{entry}>")
+    docs = lines.filter(kind == 1).select(feature.alias("feature"))
+    tail = F.from_json(F.concat(F.lit("{"), F.substring("line", 3, 1_000_000)), "timeStamp string, numberMatched bigint, numberReturned bigint, links array<string>")
+    end = lines.filter(kind == 2).select(tail.alias("t"))
+    told = {
+        "number_matched": end.select("t.numberMatched").scalar(), "number_returned": end.select("t.numberReturned").scalar(),
+        "n_links": end.select(F.size("t.links")).scalar(), "made_at": parse_time(end.select("t.timeStamp").scalar()),
+    }
+    return rounded(flat_paths(docs), 6, "x", "y").withColumns(told)
+
+
 @register("port_traffic", S.ctes("tracks", "seq", "norm", "speed", "boxes") + f"""
     , near AS (SELECT geom_id FROM boxes WHERE xmin <= 260 AND xmax >= 200 AND ymin <= 60 AND ymax >= 40),
     entry AS (SELECT geom_id, bool_or({S.hit('200', '40', '260', '60')}) AS entered FROM seq GROUP BY geom_id),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.text import iso_time
-from driftline.operators.sequence import collect_parts, pack, with_chunk
+from driftline.operators.sequence import assign_chunks, collect_parts, pack, with_chunk
 from driftline.operators.temporal import KEY, KIND, kind_of, pack_instants
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -117,6 +117,29 @@ def export_features(features: DataFrame, base: str = "") -> DataFrame:
     return features.select("collection_id", "feature_id", part, feature_document(base, geometries).alias("feature"))
 
 
+def features_with_paths(
+    features: DataFrame, geometries: DataFrame, instants: DataFrame, base: str = "", **chunking
+) -> DataFrame:
+    """``collection_id, feature_id, part, feature``: feature documents with all their trajectories whole.
+
+    The instants of a feature are counted off along (trajectory, time), so a document
+    holds a bounded number of them, however many trajectories they are of; a very large
+    feature comes in several (``part``), whose paths are joined as in ``pack``. A feature
+    without trajectory has none in its document.
+    """
+    about = [c for c in ("geometry_type", KIND, "base") if c in geometries.columns]
+    points = instants.select("feature_id", "geom_id", "t", "x", "y").join(features.select("feature_id"), "feature_id", "left_semi")
+    told = points.join(geometries.select("geom_id", *about), "geom_id")
+    entries = geometry_sequence(assign_chunks(told, ["feature_id"], ["geom_id", "t"], **chunking))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("geom_id", "geometry"))), lambda e: e["geometry"])
+    nested = entries.groupBy("feature_id", "part").agg(listed.alias("geometries"))
+    whole = features.join(nested, "feature_id", "left")
+    return whole.select(
+        "collection_id", "feature_id", F.coalesce("part", F.lit(0)).alias("part"),
+        feature_document(base, F.col("geometries")).alias("feature"),
+    )
+
+
 def export_feature_collection(
     page: DataFrame, counts: DataFrame, now: Column, path: str = "", limit: int = 10, next_query: str = ""
 ) -> DataFrame:
