@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.text import ITEM_TYPE
 from driftline.operators.properties import continuity_check, property_conflicts
 from driftline.operators.sequence import running_max_before
-from driftline.operators.validate import accepted, validate_values
+from driftline.operators.validate import accepted, validate_properties, validate_values
 from driftline.session import cut_lineage
 
 
@@ -25,6 +26,62 @@ def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return picked.select(*[F.col(c) if c in key else F.col(f"_r.{c}") for c in df.columns])
 
 
+TWICE = "given more than once"
+
+
+def outcomes(
+    incoming: DataFrame,
+    key: Sequence[str],
+    rules: Sequence[tuple[Column, str | Column]] = (),
+    needed: Sequence[tuple[DataFrame, Sequence[str], str]] = (),
+    known: DataFrame | None = None,
+    known_reason: str = "already exists",
+) -> DataFrame:
+    """Every row of ``incoming`` with ``refused``: why it is refused, NULL where it is taken.
+
+    The first reason that holds counts: a condition of ``rules``, a key that is NULL, a row
+    missing in a table of ``needed`` (table, columns, reason), a key in ``known``. Of the
+    rows of one key left by then the least is taken, all others are given more than once.
+
+    Equal rows are counted before anything moves and come apart again at the end, so a row
+    repeated very often thins out in each task; each table adds one join on distinct keys.
+    """
+    counted = incoming.groupBy(*incoming.columns).agg(F.count("*").alias("_n"))
+    nothing = F.lit(False)
+    for k in key:
+        nothing = nothing | F.col(k).isNull()
+    why = F.lit(None).cast("string")
+    for bad, reason in (*rules, (nothing, f"missing {', '.join(key)}")):
+        why = F.coalesce(why, F.when(bad, F.lit(reason) if isinstance(reason, str) else reason))
+    judged = counted.withColumn("_why", why)
+    tables = [(rows, columns, reason, False) for rows, columns, reason in needed]
+    tables += [(known, key, known_reason, True)] if known is not None else []
+    for rows, columns, reason, refuse in tables:
+        flags = rows.select(*columns).distinct().withColumn("_there", F.lit(True))
+        there = F.coalesce("_there", F.lit(False))
+        judged = judged.join(flags, list(columns), "left").select(
+            *incoming.columns, "_n", F.coalesce("_why", F.when(there if refuse else ~there, F.lit(reason))).alias("_why")
+        )
+    whole = F.struct(*incoming.columns)
+    first = judged.filter(F.col("_why").isNull()).groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(F.min(whole).alias("_first"))
+    joined = judged.join(first, [F.col(k) == F.col(f"_k_{k}") for k in key], "left")
+    again = F.array_repeat(F.lit(TWICE), (F.col("_n") - 1).cast("int"))
+    each = (
+        F.when(F.col("_why").isNotNull(), F.array_repeat("_why", F.col("_n").cast("int")))
+        .when(whole.eqNullSafe(F.col("_first")), F.concat(F.array(F.lit(None).cast("string")), again))
+        .otherwise(F.concat(F.array(F.lit(TWICE)), again))
+    )
+    return joined.select(*incoming.columns, F.explode(each).alias("refused"))
+
+
+def taken_rows(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("refused").isNull()).drop("refused")
+
+
+def refusals(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("refused").isNotNull())
+
+
 def new_rows(stored: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Incoming rows whose key is not stored yet, one per key."""
     return one_per_key(incoming, key).join(stored.select(*key), list(key), "left_anti").select(*incoming.columns)
@@ -65,6 +122,25 @@ def update_collections(collections: DataFrame, patches: DataFrame, now: Column)
     )
 
 
+def judge_patches(collections: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches of collections with ``refused``: a wrong type, an unknown collection, one of several for it."""
+    wrong = F.col("item_type").isNotNull() & (F.col("item_type") != ITEM_TYPE)
+    return outcomes(
+        patches, ["id"], [(wrong, f"itemType must be '{ITEM_TYPE}'")], [(collections, ["id"], "collection does not exist")]
+    )
+
+
+def judge_properties(properties: DataFrame, incoming: DataFrame, features: DataFrame) -> DataFrame:
+    """Posted properties with ``refused``: malformed, of an unknown feature, or of a name that it has."""
+    checked = validate_properties(incoming.withColumns({"name": F.col("property_name"), "type": F.col("property_type")}))
+    wrong = checked.select(*incoming.columns, F.get("errors", F.lit(0)).alias("_error"))
+    judged = outcomes(
+        wrong, ["feature_id", "property_name"], [(F.col("_error").isNotNull(), F.col("_error"))],
+        [(features, ["feature_id"], "feature does not exist")], properties, "property exists",
+    )
+    return judged.drop("_error")
+
+
 def features_of_collections(features: DataFrame, gone: DataFrame) -> DataFrame:
     return features.join(gone.select(F.col("id").alias("collection_id")), "collection_id", "left_semi")
 

@@ -53,20 +53,23 @@ class Catalogue:
     def post_collections(self, docs: DataFrame, now: Column) -> tuple["Catalogue", DataFrame]:
         """New collections; also the refused documents with their errors."""
         checked = validate.validate_collections(docs)
-        rows = validate.accepted(checked).select(
+        judged = mutate.outcomes(validate.accepted(checked), ["id"], known=self.collections, known_reason="Collection already exists")
+        late = mutate.refusals(judged).withColumn("errors", F.array(F.concat_ws(": ", "refused", "id"))).drop("refused")
+        refused = validate.rejected(checked).unionByName(late)
+        rows = mutate.taken_rows(judged).select(
             "id", "title", "description",
             F.col("updateFrequency").alias("update_frequency"),
             F.col("itemType").alias("item_type"),
             now.alias("created_at"),
             F.lit(None).cast("timestamp").alias("updated_at"),
         )
-        known = mutate.refused_rows(self.collections, validate.accepted(checked), ["id"])
-        duplicate = F.array(F.concat(F.lit("Collection already exists: "), F.col("id")))
-        refused = validate.rejected(checked).unionByName(known.withColumn("errors", duplicate))
-        return replace(self, collections=mutate.insert_new(self.collections, rows, ["id"])), refused
+        return replace(self, collections=self.collections.unionByName(rows)), refused
 
-    def put_collections(self, patches: DataFrame, now: Column) -> "Catalogue":
-        return replace(self, collections=mutate.update_collections(self.collections, patches, now))
+    def put_collections(self, patches: DataFrame, now: Column) -> tuple["Catalogue", DataFrame]:
+        """Changed collections; also the patches without effect, with the reason in ``refused``."""
+        judged = mutate.judge_patches(self.collections, patches)
+        changed = mutate.update_collections(self.collections, mutate.taken_rows(judged), now)
+        return replace(self, collections=changed), mutate.refusals(judged)
 
     def delete_collections(self, gone: DataFrame) -> "Catalogue":
         return Catalogue(**mutate.delete_collections(self.tables, gone))
@@ -95,11 +98,15 @@ class Catalogue:
         return lookup_features(requests, self.features, self.geometries)
 
     def post_items(self, docs: DataFrame, now: Column) -> tuple["Catalogue", DataFrame]:
-        """Features of ``(collection_id, body)`` documents; also the rejects with reasons."""
+        """Features of ``(collection_id, body)`` documents; also the rejects with reasons.
+
+        A rejected document has its ``body``; a feature refused because its id is known, or
+        given more than once in the call, has its ``feature_id``.
+        """
         known = docs.join(self.collections.select(F.col("id").alias("collection_id")), "collection_id", "left_semi")
         lost = docs.join(self.collections.select(F.col("id").alias("collection_id")), "collection_id", "left_anti")
-        parsed = mutate.one_per_key(documents.parsed_features(known), ["feature_id"])
-        fresh = parsed.join(self.features.select("feature_id"), "feature_id", "left_anti")
+        judged = mutate.outcomes(documents.parsed_features(known), ["feature_id"], known=self.features, known_reason="feature already exists")
+        fresh = mutate.taken_rows(judged)
         place = fresh.select("feature_id", "collection_id")
         rows = documents.feature_rows(fresh).withColumns({"type": F.lit("Feature"), "created_at": now})
         geometries = documents.geometry_rows(fresh).join(place, "feature_id").withColumn("created_at", now)
@@ -110,10 +117,13 @@ class Catalogue:
             geometries=self.geometries.unionByName(store.conform(geometries, "geometries")),
             instants=self.instants.unionByName(store.conform(points, "instants")),
         )
-        rejects = documents.rejected_documents(known).select("collection_id", "body", "error").unionByName(
-            lost.select("collection_id", "body", F.lit("collection does not exist").alias("error"))
+        nothing = F.lit(None).cast("string")
+        rejects = documents.rejected_documents(known).select("collection_id", "body", nothing.alias("feature_id"), "error")
+        rejects = rejects.unionByName(
+            lost.select("collection_id", "body", nothing.alias("feature_id"), F.lit("collection does not exist").alias("error"))
         )
-        return grown, rejects
+        refused = mutate.refusals(judged).select("collection_id", nothing.alias("body"), "feature_id", F.col("refused").alias("error"))
+        return grown, rejects.unionByName(refused)
 
     def delete_features(self, gone: DataFrame) -> "Catalogue":
         return Catalogue(**mutate.delete_features(self.tables, gone))
@@ -129,14 +139,17 @@ class Catalogue:
         entries = self.get_sequence(collection_id, feature_id).withColumn("collection_id", F.lit(collection_id))
         return export.sequence_documents(entries, now, base=base)
 
-    def post_sequences(self, paths: DataFrame, now: Column) -> "Catalogue":
-        """Append trajectories of known features.
+    def post_sequences(self, paths: DataFrame, now: Column) -> tuple["Catalogue", DataFrame]:
+        """Append trajectories of known features; also the refused ones with the reason in ``refused``.
 
         ``paths`` has ``collection_id, feature_id, geom_id, srid, trajectory`` (MF-JSON).
         """
-        fresh = mutate.new_rows(self.geometries, paths, ["geom_id"]).join(
-            self.features.select("feature_id", "collection_id"), ["feature_id", "collection_id"], "left_semi"
+        unreadable = documents.bad_trajectory(F.col("trajectory"))
+        judged = mutate.outcomes(
+            paths, ["geom_id"], [(unreadable, documents.BAD_PATH)],
+            [(self.features, ["feature_id", "collection_id"], "feature does not exist")], self.geometries, "trajectory already exists",
         )
+        fresh = mutate.taken_rows(judged)
         points = documents.decode_mfjson(fresh, keep=("geom_id", "feature_id", "collection_id"))
         keys = ["geom_id", "feature_id", "collection_id"]
         rows = temporal.extent(points, [*keys, "interpolation"]).join(fresh.select("geom_id", "srid"), "geom_id")
@@ -145,7 +158,7 @@ class Catalogue:
             self,
             geometries=self.geometries.unionByName(store.conform(rows, "geometries")),
             instants=self.instants.unionByName(store.conform(points, "instants")),
-        )
+        ), mutate.refusals(judged)
 
     def delete_geometries(self, gone: DataFrame) -> "Catalogue":
         return Catalogue(**mutate.delete_geometries(self.tables, gone))
@@ -179,17 +192,27 @@ class Catalogue:
         return P.property_values(mine, values)
 
     def post_properties(self, incoming: DataFrame) -> tuple["Catalogue", DataFrame]:
-        """``incoming`` in the shape of the table, without ``property_id``."""
-        known = incoming.join(self.features.select("feature_id"), "feature_id", "left_semi")
-        keyed = known.withColumn("property_id", F.xxhash64("feature_id", "property_name"))
-        grown, refused = mutate.append_properties(self.properties, store.conform(keyed, "properties"))
-        return replace(self, properties=grown), refused
+        """``incoming`` in the shape of the table, without ``property_id``; also the refused ones with the reason."""
+        keyed = incoming.withColumn("property_id", F.xxhash64("feature_id", "property_name"))
+        judged = mutate.judge_properties(self.properties, store.conform(keyed, "properties"), self.features)
+        grown = self.properties.unionByName(mutate.taken_rows(judged))
+        return replace(self, properties=grown), mutate.refusals(judged)
 
     def post_values(self, batches: DataFrame) -> tuple["Catalogue", DataFrame]:
-        """``batches`` in the shape of the table, without ``value_id``."""
-        known = batches.join(self.properties.select("property_id"), "property_id", "left_semi")
-        keyed = known.withColumn("value_id", F.xxhash64("property_id", "datetimes", "values"))
-        grown, refused = mutate.append_values(self.temporal_values, store.conform(keyed, "temporal_values"))
+        """``batches`` in the shape of the table, without ``value_id``; also the refused ones with the reason.
+
+        ``last_time`` of a batch that starts too early is the time after which it had to start.
+        """
+        keyed = store.conform(batches.withColumn("value_id", F.xxhash64("property_id", "datetimes", "values")), "temporal_values")
+        checked = validate.validate_values(keyed)
+        good, malformed = validate.accepted(checked), validate.rejected(checked)
+        ids = self.properties.select("property_id")
+        unknown = good.join(ids, "property_id", "left_anti")
+        grown, early = mutate.append_values(self.temporal_values, good.join(ids, "property_id", "left_semi"))
+        no_time = F.lit(None).cast("timestamp").alias("last_time")
+        refused = early.withColumn("refused", F.lit("starts before the end of earlier values"))
+        refused = refused.unionByName(malformed.select(*keyed.columns, no_time, F.get("errors", F.lit(0)).alias("refused")))
+        refused = refused.unionByName(unknown.select(*keyed.columns, no_time, F.lit("property does not exist").alias("refused")))
         return replace(self, temporal_values=grown), refused
 
     def delete_properties(self, gone: DataFrame) -> "Catalogue":

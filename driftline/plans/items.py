@@ -13,8 +13,9 @@ from driftline.operators import temporal
 from driftline.operators.temporal import KIND
 from driftline.operators.features import FEATURE, GEOMETRY, feature_page, page_counts
 from driftline.operators.predicates import bbox_overlap, time_overlap
-from driftline.operators.sequence import collect_parts, pack
+from driftline.operators.sequence import CHUNK, assign_chunks, collect_parts, pack
 from driftline.operators.validate import ItemQuery
+from driftline.session import cut_lineage
 from driftline.sources.export import feature_document, link, mfjson_point
 
 
@@ -115,17 +116,13 @@ def item_features(result: Items, base: str = "") -> DataFrame:
         F.col("sequence.interpolation").alias("interpolation"), F.col("sequence.lower_inc").alias("lower_inc"),
     )
     rows = result.geometries.select(
-        FEATURE, GEOMETRY, "part", "n_instants", F.struct(GEOMETRY, "part", entry.alias("e"), F.col("geometry").alias("g")).alias("item")
+        FEATURE, GEOMETRY, "part", F.col("n_instants") > SHORT_PATH, F.struct(GEOMETRY, "part", entry.alias("e"), F.col("geometry").alias("g")).alias("item")
+    ).toDF(FEATURE, GEOMETRY, "part", "long", "item")
+    tagged = assign_chunks(rows, [FEATURE], [GEOMETRY, "part"], SHORT_PATHS)
+    alone = F.when(F.col("long"), F.struct(GEOMETRY, "part"))
+    nested = tagged.groupBy(FEATURE, F.struct(F.coalesce(CHUNK, F.lit(0)).alias("chunk"), alone.alias("alone")).alias("part_no")).agg(
+        F.sort_array(F.collect_list("item")).alias("items")
     )
-    short = collect_parts(
-        rows.filter(F.col("n_instants") <= SHORT_PATH), [FEATURE],
-        [F.sort_array(F.collect_list(F.struct(GEOMETRY, "part", "item"))).alias("items")], [GEOMETRY, "part"], SHORT_PATHS,
-    ).select(FEATURE, F.lit(0).alias("long"), F.col("part_no").cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
-             F.transform("items", lambda i: i["item"]).alias("items"))
-    long = rows.filter(F.col("n_instants") > SHORT_PATH).select(
-        FEATURE, F.lit(1).alias("long"), F.col(GEOMETRY).cast("long").alias("a"), F.col("part").alias("b"), F.array("item").alias("items")
-    )
-    nested = short.unionByName(long).withColumn("part_no", F.struct("long", "a", "b"))
     page = result.page
     plain = {c: F.lit(None).cast("string") for c in ("properties", "crs", "trs") if c not in page.columns}
     plain |= {c: F.lit(None).cast("double") for c in ("xmin", "ymin", "xmax", "ymax") if c not in page.columns}
@@ -141,11 +138,13 @@ def items_document(
 ) -> DataFrame:
     """``place, line``: the page as one feature collection, line by line in order of ``place``.
 
-    The first line opens the document, one follows for each feature document, and the last
-    holds counts and links. No row holds more than one feature document, and the lines
+    The page is read once, when this is called: its documents are written to the shared
+    folder. The first line opens the document, one follows for each feature document, and
+    the last holds counts and links. No row holds more than one feature document, and the lines
     written one after another (``write_items_document``) are the JSON text.
     """
-    features = item_features(result, base)
+    # Counts, samples and the documents themselves read the entries of the page.
+    features = cut_lineage(item_features(result._replace(geometries=cut_lineage(result.geometries)), base))
     text = F.to_json(F.col("feature"))
     # Shapes are JSON texts already: they go in as they are.
     shapes = F.concat(F.lit(',"geometry":['), F.array_join(F.col("feature.geometry"), ","), F.lit("]}"))

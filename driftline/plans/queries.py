@@ -773,11 +773,11 @@ def _(d):
     docs = lines.filter(kind == 1).select(feature.alias("feature"))
     tail = F.from_json(F.concat(F.lit("{"), F.substring("line", 3, 1_000_000)), "timeStamp string, numberMatched bigint, numberReturned bigint, links array<string>")
     end = lines.filter(kind == 2).select(tail.alias("t"))
-    told = {
-        "number_matched": end.select("t.numberMatched").scalar(), "number_returned": end.select("t.numberReturned").scalar(),
-        "n_links": end.select(F.size("t.links")).scalar(), "made_at": parse_time(end.select("t.timeStamp").scalar()),
-    }
-    return rounded(flat_paths(docs), 6, "x", "y").withColumns(told)
+    rows = rounded(flat_paths(docs), 6, "x", "y").withColumn("t_", end.scalar())
+    return rows.select(
+        *[c for c in rows.columns if c != "t_"], F.col("t_.numberMatched").alias("number_matched"),
+        F.col("t_.numberReturned").alias("number_returned"), F.size("t_.links").alias("n_links"), parse_time(F.col("t_.timeStamp")).alias("made_at"),
+    )
 
 
 @register("port_traffic", S.ctes("tracks", "seq", "norm", "speed", "boxes") + f"""
@@ -1010,6 +1010,55 @@ def _(d):
     return new.select("id", "title", "description", "update_frequency", "updated_at")
 
 
+@register("insert_refused", S.ctes("features") + """
+    , posted AS (SELECT o_custkey * 2 AS feature_id, 'orders_' || o_orderstatus AS collection_id FROM orders),
+    judged AS (SELECT *, CASE WHEN feature_id IN (SELECT feature_id FROM features) THEN 'already exists'
+        WHEN row_number() OVER (PARTITION BY feature_id ORDER BY collection_id) > 1 THEN 'given more than once' ELSE 'taken' END AS outcome FROM posted)
+    SELECT feature_id, collection_id, outcome, count(*) AS n FROM judged GROUP BY feature_id, collection_id, outcome""")
+def _(d):
+    posted = d.table("orders").select(
+        (F.col("o_custkey") * 2).alias("feature_id"), F.concat(F.lit("orders_"), "o_orderstatus").alias("collection_id")
+    )
+    return _told(M.outcomes(posted, ["feature_id"], known=d.features), "feature_id", "collection_id")
+
+
+def _told(judged: DataFrame, *shown: str) -> DataFrame:
+    """Rows with each outcome, counted: all of them together are the input."""
+    return judged.groupBy(*shown, F.coalesce("refused", F.lit("taken")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@register("update_refused", """
+    WITH posted AS (SELECT 'nation_' || (s_nationkey + 5) AS id, s_name AS title, CASE WHEN s_acctbal < 0 THEN 'feature' END AS item_type FROM supplier),
+    judged AS (SELECT *, CASE WHEN item_type IS NOT NULL THEN 'itemType must be ''movingfeature'''
+        WHEN id NOT IN (SELECT replace(lower(n_name), ' ', '_') FROM nation) THEN 'collection does not exist'
+        WHEN row_number() OVER (PARTITION BY id, item_type IS NULL ORDER BY title) > 1 THEN 'given more than once' ELSE 'taken' END AS outcome FROM posted)
+    SELECT id, outcome, count(*) AS n FROM judged GROUP BY id, outcome""")
+def _(d):
+    patches = d.table("supplier").select(
+        F.concat(F.lit("nation_"), (F.col("s_nationkey") + 5).cast("string")).alias("id"), F.col("s_name").alias("title"),
+        F.when(F.col("s_acctbal") < 0, F.lit("feature")).alias("item_type"),
+    )
+    return _told(M.judge_patches(d.collections, patches), "id")
+
+
+@register("append_refused", S.ctes("tracks", "requests") + """
+    , have AS (SELECT DISTINCT feature_id, event_type AS property_name FROM tracks),
+    posted AS (SELECT feature_id + CASE WHEN request_id % 7 = 0 THEN 100000000 ELSE 0 END AS feature_id, property_name,
+        CASE WHEN request_id % 5 = 0 THEN 'Speed' ELSE 'TReal' END AS property_type, priority AS form FROM requests),
+    judged AS (SELECT *, CASE WHEN property_type = 'Speed' THEN 'Invalid property type'
+        WHEN feature_id NOT IN (SELECT c_custkey FROM customer) THEN 'feature does not exist'
+        WHEN (feature_id, property_name) IN (SELECT feature_id, property_name FROM have) THEN 'property exists'
+        WHEN row_number() OVER (PARTITION BY feature_id, property_name, property_type ORDER BY form) > 1 THEN 'given more than once' ELSE 'taken' END AS outcome FROM posted)
+    SELECT feature_id, property_name, outcome, count(*) AS n FROM judged GROUP BY feature_id, property_name, outcome""")
+def _(d):
+    request = F.col("request_id")
+    posted = d.requests.select(
+        (F.col("feature_id") + F.when(request % 7 == 0, 100_000_000).otherwise(0)).alias("feature_id"), "property_name",
+        F.when(request % 5 == 0, F.lit("Speed")).otherwise(F.lit("TReal")).alias("property_type"), F.col("priority").alias("form"),
+    )
+    return _told(M.judge_properties(d.properties, posted, d.features), "feature_id", "property_name")
+
+
 def _tables(d: DriverTables) -> dict[str, DataFrame]:
     return {
         "collections": d.collections, "features": d.features, "geometries": d.geometries,

@@ -52,7 +52,12 @@ def _bad_path(member: Column) -> Column:
     length, a time or place that cannot be read, or a time twice. A feature may have no path.
     """
     given = F.get_json_object(member, "$.temporalGeometry")
-    path = decode_trajectory(given)
+    return given.isNotNull() & bad_trajectory(given)
+
+
+def bad_trajectory(text: Column) -> Column:
+    """Whether MF-JSON text names no path that can be stored whole."""
+    path = decode_trajectory(text)
     times, places = F.transform(path["datetimes"], parse_time), path["coordinates"]
     fits = (
         (F.size(times) == F.size(places))
@@ -60,7 +65,7 @@ def _bad_path(member: Column) -> Column:
         & ~F.exists(places, lambda p: p.isNull() | F.try_element_at(p, F.lit(1)).isNull() | F.try_element_at(p, F.lit(2)).isNull())
         & (F.size(F.array_distinct(times)) == F.size(times))
     )
-    return given.isNotNull() & ~F.coalesce(times.isNotNull() & places.isNotNull() & fits, F.lit(False))
+    return ~F.coalesce(times.isNotNull() & places.isNotNull() & fits, F.lit(False))
 
 
 def split_documents(docs: DataFrame, body: str = "body") -> DataFrame:

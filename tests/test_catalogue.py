@@ -120,17 +120,56 @@ def test_arguments():
     assert instant.start == instant.end
 
 
+def test_items_as_one_document(base, tmp_path):
+    from driftline.plans.items import write_items_document
+
+    area = ",".join(map(str, S.PORT))
+    lines = base.get_items_document("belgium_ships", now(), bbox=area, limit=5, base="http://here")
+    write_items_document(lines, str(tmp_path / "page"))
+    file, = (tmp_path / "page").glob("part-*.txt")
+    doc = json.loads(file.read_text())
+    assert doc["type"] == "FeatureCollection" and (doc["numberMatched"], doc["numberReturned"]) == (8, 5)
+    assert [f["id"] for f in doc["features"]] == [r.feature_id for r in base.get_items("belgium_ships", bbox=area, limit=5).page.orderBy("created_at", "feature_id").collect()]
+    assert doc["links"][1]["rel"] == "next" and "bbox=" in doc["links"][1]["href"] and doc["links"][1]["href"].startswith("http://here/")
+    for f in doc["features"]:
+        path, = f["temporalGeometry"]
+        assert [(t[11:16], *c) for t, c in zip(path["datetimes"], path["coordinates"])] == [(c, float(x), float(y)) for c, x, y in S.SHIPS[f["id"]]]
+        assert f["geometry"][0]["type"] in ("LineString", "Point") and f["bbox"]
+    none = base.get_items_document("belgium_ships", now(), bbox="0,0,1,1")
+    write_items_document(none, str(tmp_path / "none"))
+    file, = (tmp_path / "none").glob("part-*.txt")
+    assert json.loads(file.read_text())["features"] == []
+
+
+def test_posted_twice_or_known(base, spark):
+    one = json.dumps(ship_document("msc_zoe"))
+    other = json.dumps({"type": "Feature", "id": "new", "properties": {"a": 1}})
+    rows = spark.createDataFrame([("belgium_ships", one), ("belgium_ships", other), ("belgium_ships", other), ("belgium_ships", other.replace("1", "2"))], "collection_id string, body string")
+    grown, rejects = base.post_items(rows, now())
+    assert grown.features.count() == base.features.count() + 1
+    assert sorted((r.feature_id, r.error) for r in rejects.collect()) == [
+        ("msc_zoe", "feature already exists"), ("new", "given more than once"), ("new", "given more than once")]
+
+
 def test_single_feature_and_export(base):
-    row = base.get_feature("belgium_ships", "msc_zoe").first()
-    assert len(row.geometries) == 1
-    alone = base.get_feature("other", "17").first()
-    assert alone.geometries == []
-    doc = export.to_text(export.export_features(base.get_feature("belgium_ships", "msc_zoe")), "feature").first().feature
-    doc = json.loads(doc)
+    found = base.get_feature("belgium_ships", "msc_zoe")
+    assert found.count() == 1 and found.first().part == 0
+    path = found.first().feature.temporalGeometry[0]
+    stored = base.instants.filter("feature_id = 'msc_zoe'").orderBy("t").collect()
+    assert [(t[11:16], *c) for t, c in zip(path.datetimes, path.coordinates)] == [(S.clock(r.t), r.x, r.y) for r in stored]
+    assert path.type == "MovingPoint" and path.interpolation == "Linear"
+    alone = json.loads(export.to_text(base.get_feature("other", "17"), "feature").first().feature)
+    assert alone["temporalGeometry"] is None and alone["id"] == "17"
+    assert base.get_feature("other", "nobody").count() == 0
+    doc = json.loads(found.select(F.to_json("feature").alias("f")).first().f)
     assert doc["bbox"] == [585000, 5672000, 593000, 5680000] and len(doc["links"]) == 3
     assert doc["time"][0] == "2024-03-15T06:00:00.000000Z"
     one = base.get_sequence("belgium_ships", "msc_zoe").first()
-    assert one.geometry.interpolation == "Linear"
+    assert one.geometry.interpolation == "Linear" and one.geometry.id == one.geom_id
+    told = base.get_sequence_document("belgium_ships", "msc_zoe", now(), base="http://here").first().document
+    assert told.type == "TemporalGeometrySequence" and (told.numberMatched, told.numberReturned) == (1, 1)
+    assert told.links[0].href == "http://here/collections/belgium_ships/items/msc_zoe/tgsequence"
+    assert [len(g.datetimes) for g in told.geometrySequence] == [len(stored)]
     assert json.loads(export.to_text(export.collection_documents(base.list_collections()), "collection").first().collection)["extent"] is None
 
 
@@ -150,7 +189,13 @@ def test_curves_on_request(base):
 def test_collection_update(base, spark):
     patch = spark.createDataFrame([("belgium_ships", "New", True, None, True, None, False)],
                                   "id string, title string, has_title boolean, description string, has_description boolean, item_type string, has_item_type boolean")
-    row = base.put_collections(patch, now()).collections.filter("id = 'belgium_ships'").first()
+    more = patch.unionByName(patch.withColumn("title", F.lit("Newer"))).unionByName(patch.withColumn("id", F.lit("nobody")))
+    more = more.unionByName(patch.withColumns({"item_type": F.lit("feature"), "has_item_type": F.lit(True)})).unionByName(patch.withColumn("id", F.lit(None).cast("string")))
+    changed, refused = base.put_collections(more, now())
+    assert sorted((r.id or "", r.refused) for r in refused.collect()) == [
+        ("", "missing id"), ("belgium_ships", "given more than once"), ("belgium_ships", "itemType must be 'movingfeature'"),
+        ("nobody", "collection does not exist")]
+    row = changed.collections.filter("id = 'belgium_ships'").first()
     assert (row.title, row.description, row.update_frequency, row.item_type) == ("New", None, 5, "movingfeature")
     assert row.updated_at is not None
 
@@ -171,9 +216,15 @@ def test_properties_life(base, spark):
     incoming = spark.createDataFrame([("msc_zoe", "speed", "TReal", "KMH"), ("msc_zoe", "flag", "TBoolean", None), ("nobody", "speed", "TReal", None)],
                                      "feature_id string, property_name string, property_type string, form string")
     cat, refused = base.post_properties(incoming)
-    assert cat.properties.count() == 2 and refused.count() == 0
-    again, refused = cat.post_properties(incoming.limit(1))
-    assert again.properties.count() == 2 and refused.count() == 1
+    assert cat.properties.count() == 2
+    assert [(r.feature_id, r.refused) for r in refused.collect()] == [("nobody", "feature does not exist")]
+    again, refused = cat.post_properties(spark.createDataFrame([
+        ("msc_zoe", "speed", "TReal", "KMH"), ("msc_zoe", "new", "TText", None), ("msc_zoe", "new", "TText", None), ("msc_zoe", "new", "TReal", None),
+        ("msc_zoe", None, "TReal", None), ("msc_zoe", "odd", "Speed", None), ("msc_zoe", "odd", None, None)], incoming.schema))
+    assert again.properties.count() == 3
+    assert sorted((r.property_name or "", r.refused) for r in refused.collect()) == [
+        ("", "Missing required field: name"), ("new", "given more than once"), ("new", "given more than once"),
+        ("odd", "Invalid property type"), ("odd", "Missing required field: type"), ("speed", "property exists")]
     ids = {r.property_name: r.property_id for r in cat.properties.collect()}
     schema = "property_id long, datetimes array<timestamp>, values array<string>, interpolation string"
     hour = lambda h: datetime(2024, 3, 1, h)
@@ -188,9 +239,13 @@ def test_properties_life(base, spark):
         (ids["speed"], [hour(8)], [], "Step"),
         (ids["speed"], [], [], "Step"),
         (ids["speed"], [hour(9)], ["1"], "Curved"),
+        (-1, [hour(9)], ["1"], "Step"),
     ], schema)
     cat, refused = cat.post_values(more)
-    assert sorted(r.datetimes[0].hour for r in refused.collect()) == [1, 4]
+    told = sorted((r.datetimes[0].hour if r.datetimes else -1, r.refused) for r in refused.collect())
+    assert told == [
+        (-1, "datetimes must not be empty"), (1, "starts before the end of earlier values"), (4, "starts before the end of earlier values"),
+        (8, "datetimes and values must have the same length"), (9, "Invalid interpolation"), (9, "property does not exist")]
     assert sorted(r.datetimes[0].hour for r in cat.temporal_values.collect()) == [0, 3, 7]
     row = cat.get_property("msc_zoe", "speed").first()
     assert [b.first_time.hour for b in row.batches] == [0, 3, 7]
@@ -215,10 +270,13 @@ def test_running_maximum_in_chunks(spark):
 
 
 def test_appended_path(base, spark):
-    doc = json.dumps({"type": "MovingPoint", "datetimes": ["2024-05-01T00:00:00Z", "2024-05-01T01:00:00+01"], "coordinates": [[1, 2], [3, 4]]})
+    doc = json.dumps({"type": "MovingPoint", "datetimes": ["2024-05-01T00:00:00Z", "2024-05-01T02:00:00+01"], "coordinates": [[1, 2], [3, 4]]})
     rows = spark.createDataFrame([("belgium_ships", "msc_zoe", 7, 25832, doc), ("other", "msc_zoe", 8, 25832, doc)],
                                  "collection_id string, feature_id string, geom_id long, srid int, trajectory string")
-    grown = base.post_sequences(rows, now())
+    rows = rows.union(rows.limit(1)).union(rows.limit(1).withColumns({"geom_id": F.lit(9).cast("long"), "trajectory": F.lit('{"datetimes": [null], "coordinates": [[1, 2]]}')}))
+    grown, refused = base.post_sequences(rows, now())
+    assert sorted((r.geom_id, r.refused) for r in refused.collect()) == [
+        (7, "given more than once"), (8, "feature does not exist"), (9, documents.BAD_PATH)]
     assert grown.geometries.count() == 11
     new = grown.geometries.filter("geom_id = 7").first()
     assert (new.xmin, new.ymax, new.tmin, new.interpolation) == (1, 4, datetime(2024, 5, 1), "Linear")

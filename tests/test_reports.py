@@ -83,10 +83,20 @@ def test_assembly(spark, csv):
     trips = {r.mmsi: r for r in R.assemble_trips(positions).collect()}
     assert len(trips[1].trip) == 3 and len(trips[1].sog) == 2 and len(trips[1].heading) == 2
     assert trips[1].name == "Alpha" and trips[1].destination == "Rodby"
-    parts = R.assemble_trips(R.assign_chunks(positions, ["mmsi"], max_rows=2), max_rows=4)
+    parts = R.assemble_trips(positions, max_rows=2)
     assert parts.filter("mmsi = 1").count() >= 2
-    whole = parts.select("mmsi", F.explode("trip").alias("p")).filter("mmsi = 1").select("p.t").collect()
-    assert sorted(whole) == sorted((p.t,) for p in trips[1].trip)
+    for name in ("trip", "sog", "heading"):
+        own = F.when(F.col(f"joined.{name}"), F.slice(name, 2, 1000)).otherwise(F.col(name))
+        whole = parts.filter("mmsi = 1").select(F.explode(own).alias("p")).select("p.t").collect()
+        assert sorted(whole) == sorted((p.t,) for p in trips[1][name])
+    assert {r.name for r in parts.filter("mmsi = 1").collect()} == {"Alpha"}
+
+
+def test_assembly_moves_the_reports_once(spark, csv):
+    """With chunks at hand: one exchange, one sort and one join less than a pass for each sequence."""
+    positions = R.to_utm32(R.domain_filter(lower(ais.read_ais_csv(spark, csv)))).withColumn("chunk", F.lit(None).cast("int"))
+    plan = R.assemble_trips(positions)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(mmsi") == 1 and "Generate" not in plan and "Join" not in plan
 
 
 def test_day_end_to_end(spark, csv, tmp_path):
