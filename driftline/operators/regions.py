@@ -4,7 +4,8 @@ Boxes are laid on a ladder of grids whose cells grow by a factor of 16. A box si
 the first grid with cells at least as large as itself, so it covers at most four
 cells there. A pair of boxes can only meet in a cell of the coarser of their two
 grids, so each side is listed on its own grid and on the coarser ones: a fixed
-number of rows per box, however large it is. The join is an equi-join on the cell.
+number of rows per box. The last grid is one cell, so that holds however large a box is.
+The join is an equi-join on the cell.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ def _own_level(finest: float) -> Column:
     return own
 
 
+def _cell(value: Column, grid: Column, finest: float) -> Column:
+    """Number of the cell of a grid that holds the value, along one axis."""
+    width = F.lit(finest) * F.pow(F.lit(FACTOR), grid)
+    return F.when(grid < LEVELS - 1, F.floor(value / width)).otherwise(F.lit(0).cast("long"))
+
+
 def _cells(boxes: DataFrame, finest: float, met: Column | None = None) -> DataFrame:
     """Add ``level`` (own grid) and one row per covered ``(grid, cx, cy)``.
 
@@ -41,9 +48,8 @@ def _cells(boxes: DataFrame, finest: float, met: Column | None = None) -> DataFr
         listed = listed.withColumn("_met", met)
         grids = F.filter(grids, lambda g: (g == F.col("level")) | F.array_contains(F.col("_met"), g))
     listed = listed.withColumn("grid", F.explode(grids))
-    width = F.lit(finest) * F.pow(F.lit(FACTOR), F.col("grid"))
     for axis in ("x", "y"):
-        low, high = (F.floor(F.col(f"{axis}{end}") / width) for end in ("min", "max"))
+        low, high = (_cell(F.col(f"{axis}{end}"), F.col("grid"), finest) for end in ("min", "max"))
         listed = listed.withColumn(f"c{axis}", F.explode(F.sequence(low, high)))
     return listed
 
@@ -53,7 +59,7 @@ def box_pairs(left: DataFrame, right: DataFrame, finest: float) -> DataFrame:
 
     A pair is met on the coarser grid only, in the cell that holds the lower left
     corner of the overlap, so it comes out once and needs no distinct. The last grid
-    takes everything larger; its cells exceed any map of the earth in metres. The left
+    takes everything larger than the one before it can hold; in metres that exceeds any map of the earth. The left
     side, the larger one, skips grids on which the right side has no box of its own.
     """
     extent = ("xmin", "ymin", "xmax", "ymax")
@@ -67,7 +73,6 @@ def box_pairs(left: DataFrame, right: DataFrame, finest: float) -> DataFrame:
         )
 
     lo_x, lo_y = F.greatest("l_xmin", "r_xmin"), F.greatest("l_ymin", "r_ymin")
-    width = F.lit(finest) * F.pow(F.lit(FACTOR), F.col("l_grid"))
     met = side(left, "l", in_use).join(
         side(right, "r", None),
         [F.col(f"l_{c}") == F.col(f"r_{c}") for c in ("grid", "cx", "cy")]
@@ -77,8 +82,8 @@ def box_pairs(left: DataFrame, right: DataFrame, finest: float) -> DataFrame:
             F.col("l_xmax") >= F.col("r_xmin"),
             F.col("l_ymin") <= F.col("r_ymax"),
             F.col("l_ymax") >= F.col("r_ymin"),
-            F.floor(lo_x / width) == F.col("l_cx"),
-            F.floor(lo_y / width) == F.col("l_cy"),
+            _cell(lo_x, F.col("l_grid"), finest) == F.col("l_cx"),
+            _cell(lo_y, F.col("l_grid"), finest) == F.col("l_cy"),
         ],
     )
     return met.drop(*[f"{p}_{c}" for p in "lr" for c in ("level", "grid", "cx", "cy")])

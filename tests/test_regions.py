@@ -60,3 +60,29 @@ def test_touching_and_lone_points(spark):
     df = spark.createDataFrame([tuple(map(float, c[:4])) + (c[4],) for c in cases], "a double, b double, c double, d double, want boolean")
     lit = [F.lit(v) for v in (4.0, 4.0, 6.0, 6.0)]
     assert df.filter(segment_meets_box(*[F.col(c) for c in "abcd"], *lit) != F.col("want")).count() == 0
+
+
+def test_boxes_of_any_size_list_a_bounded_number_of_cells(spark):
+    """Boxes from a point to far beyond the last grid; same pairs as comparing all with all."""
+    import random
+
+    from driftline.operators import regions as G
+
+    draw = random.Random(8)
+
+    def boxes(n):
+        out = []
+        for i in range(n):
+            side = 10.0 ** draw.uniform(-3, 15)
+            x, y = (draw.uniform(-1, 1) * 10.0 ** draw.uniform(0, 15) for _ in "xy")
+            out.append((i, x, y, x + side, y + side * draw.random()))
+        return [*out, (n, -1e15, -1e15, 1e15, 1e15)]
+
+    left, right = boxes(60), boxes(40)
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, xmin double, ymin double, xmax double, ymax double")
+    a, b = frame(left, "a"), frame(right, "b")
+    listed = G._cells(a, 1.0).groupBy("a").count()
+    assert listed.agg({"count": "max"}).first()[0] <= 4 * G.LEVELS
+    got = sorted((r.a, r.b) for r in G.box_pairs(a, b, 1.0).select("a", "b").collect())
+    want = sorted((p[0], q[0]) for p in left for q in right if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
+    assert got == want
