@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.schemas import TABLES
 
 # Layout: directory by collection where the table has one, rows of a file close together.
+# Trajectories follow a curve through space and time.
 CLUSTERING = {
-    "geometries": ("xmin", "ymin", "tmin"),
+    "geometries": ("_curve",),
     "instants": ("geom_id", "t"),
     "features": ("created_at", "feature_id"),
     "properties": ("feature_id", "property_name"),
@@ -22,6 +23,39 @@ CLUSTERING = {
 }
 
 
+#: Bits of each axis of the curve.
+CURVE_BITS = 16
+
+
+def interleaved(axes: list[Column]) -> Column:
+    """One number from whole numbers below ``2 ** CURVE_BITS``: their bits in turn, so that near rows have near numbers."""
+    spread: Column = F.lit(0).cast("long")
+    for bit in range(CURVE_BITS):
+        for k, axis in enumerate(axes):
+            spread = spread.bitwiseOR(F.shiftleft(F.shiftright(axis, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(axes) + k))
+    return spread
+
+
+def curve_place(rows: DataFrame) -> Column:
+    """Place of a trajectory's centre on a curve through x, y and time.
+
+    Each axis is scaled to what lies between its outermost half percents, so a few absurd
+    values do not squeeze all others into one cell.
+    """
+    centres = {
+        "x": (F.col("xmin") + F.col("xmax")) / 2, "y": (F.col("ymin") + F.col("ymax")) / 2,
+        "t": (F.unix_micros("tmin") + F.unix_micros("tmax")) / 2,
+    }
+    ends = rows.agg(*[F.percentile_approx(c, [0.005, 0.995]).alias(n) for n, c in centres.items()]).first()
+    top = 2**CURVE_BITS - 1
+    axes = []
+    for name, centre in centres.items():
+        low, high = ends[name] or (0.0, 1.0)
+        share = (centre - F.lit(float(low))) / F.lit(float(high - low) or 1.0)
+        axes.append(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * top, F.lit(0.0)).cast("long"))
+    return interleaved(axes)
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Columns of the table in order and type; those not in ``df`` are NULL."""
     fields = T.StructType.fromDDL(TABLES[name]).fields
@@ -53,8 +87,9 @@ def write_table(df: DataFrame, name: str, root: str, mode: str = "overwrite", fi
     rows = conform(df, name)
     by = [c for c in ("collection_id",) if c in rows.columns]
     order = [*by, *CLUSTERING[name]]
-    spread = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-    writer = spread.sortWithinPartitions(*order).write.mode(mode)
+    placed = rows.withColumn("_curve", curve_place(rows)) if "_curve" in order else rows
+    spread = placed.repartitionByRange(files, *order) if files else placed.repartitionByRange(*order)
+    writer = spread.sortWithinPartitions(*order).drop("_curve").write.mode(mode)
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(target)

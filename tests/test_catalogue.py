@@ -380,3 +380,31 @@ def test_overwriting_the_source_is_refused(spark, tmp_path):
         store.write_table(read, "temporal_values", str(tmp_path))
     store.write_table(read, "temporal_values", str(tmp_path / "next"))
     assert store.read_table(spark, "temporal_values", str(tmp_path)).count() == 1
+
+
+def test_stored_trajectories_are_near_in_space_and_time(spark, tmp_path):
+    """A box and a day each leave a part of the files, whichever of them a query asks for."""
+    import pyarrow.parquet as pq
+
+    from driftline.sources.store import read_table, write_table
+
+    draw = "xxhash64(id, {}) % 1000000 / 1000000.0"
+    rows = spark.range(20_000).selectExpr(
+        "id AS geom_id", "cast(id AS string) AS feature_id", "'c' AS collection_id", f"abs({draw.format(1)}) * 1000 AS xmin", f"abs({draw.format(2)}) * 1000 AS ymin",
+        f"timestamp_micros(bigint(1704067200000000 + abs({draw.format(3)}) * 30 * 86400000000)) AS tmin",
+    ).selectExpr("*", "xmin + 5 AS xmax", "ymin + 5 AS ymax", "tmin + interval 1 hour AS tmax")
+    rows = rows.union(rows.limit(1).selectExpr("-1L", "'odd'", "'c'", "1e12", "1e12", "timestamp_micros(0)", "1e12", "1e12", "timestamp_micros(0)"))
+    write_table(rows, "geometries", str(tmp_path), files=64)
+    assert read_table(spark, "geometries", str(tmp_path)).count() == 20_001
+
+    def left(*limits):
+        count = 0
+        files = list((tmp_path / "geometries").glob("*/*.parquet"))
+        for f in files:
+            columns = {c["path_in_schema"]: c["statistics"] for g in pq.read_metadata(f).to_dict()["row_groups"] for c in g["columns"]}
+            count += all(columns[low]["min"] <= b and columns[high]["max"] >= a for low, high, a, b in limits)
+        return count / len(files)
+
+    assert left(("xmin", "xmax", 400, 450), ("ymin", "ymax", 400, 450)) <= 0.3
+    found = read_table(spark, "geometries", str(tmp_path)).filter("tmin <= timestamp'2024-01-11' AND tmax >= timestamp'2024-01-10'")
+    assert found.select(F.input_file_name().alias("f")).distinct().count() <= 0.5 * 64
