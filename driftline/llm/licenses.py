@@ -53,9 +53,9 @@ NAMES = (
     ("agpl-3", ("affero", "3"), "gnu affero general public licen[cs]e(?: version| v)? 3(?: 0)?"),
     ("agpl", ("affero",), "(?:gnu )?affero general public licen[cs]e"),
     ("gfdl", ("gnu", "free", "documentation"), "gnu free documentation licen[cs]e"),
-    ("bsd-2-clause", ("bsd", "clause"), "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)(?: licen[cs]e)?"),
-    ("bsd-3-clause", ("bsd", "clause"), "(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd)(?: licen[cs]e)?"),
-    ("bsd-4-clause", ("bsd", "clause"), "(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", ("bsd",), "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)(?: licen[cs]e)?"),
+    ("bsd-3-clause", ("bsd",), "(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd)(?: licen[cs]e)?"),
+    ("bsd-4-clause", ("bsd",), "(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[cs]e)?"),
     ("0bsd", ("bsd", "zero"), "zero clause bsd(?: licen[cs]e)?"),
     ("bsd", ("bsd",), "(?:modified |revised |simplified |new )?bsd licen[cs]e"),
     ("mpl-2", ("mozilla", "2"), "mozilla public licen[cs]e(?: version| v)? 2(?: 0)?"),
@@ -122,7 +122,7 @@ NAMES = (
     ("llama", ("llama", "community"), "llama(?: [234])?(?: [0-9])? community licen[cs]e"),
     ("x11", ("x11",), "x11 licen[cs]e"),
     ("beerware", ("beerware",), "beerware(?: licen[cs]e)?"),
-    ("jsr", ("json", "evil"), "software shall be used for good not evil"),
+    ("jsr", ("good", "evil"), "software shall be used for good not evil"),
 )
 
 # Short forms: identifiers as words, by label.
@@ -196,7 +196,7 @@ def rules() -> list[Rule]:
 
     found = [Rule(label, tuple(sorted(words(p))), p, 0.95, True) for p, label in BASE]
     found += [Rule(label, ("identifier", "spdx"), f"spdx licen[cs]e identifier (?:{p})", 1.0) for label, p in IDENTIFIERS]
-    found += [Rule(label, (*needs, "under"), f"{GRANT}(?:{p})", 0.9) for label, needs, p in NAMES]
+    found += [Rule(label, needs, f"{GRANT}(?:{p})", 0.9) for label, needs, p in NAMES]
     found += [Rule(label, needs, p, 0.8) for label, needs, p in ADDRESSES]
     found += [Rule(label, needs, p, 0.85) for label, needs, p in CLAUSES]
     return found + [Rule(label, needs, p, 0.6) for label, needs, p in NAMES]

@@ -120,3 +120,44 @@ def test_edited_texts_are_nearer_than_next(spark):
     got = QUERIES["op10_fingerprints"](spark, cases.SMALL).toPandas()
     assert got["near_edited"].mean() > got["near_next"].mean() + 0.2
     assert got["near_edited"].between(0, 1).all() and got["near_next"].between(0, 1).all()
+
+
+def expansions(pattern):
+    """All texts that an expression of alternatives, optional groups and classes stands for."""
+    import re._parser as parser
+
+    def of(items):
+        texts = [""]
+        for kind, value in items:
+            name = str(kind)
+            if name == "LITERAL":
+                more = [chr(value)]
+            elif name == "IN":
+                more = [chr(c) for k, v in value for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]
+            elif name == "BRANCH":
+                more = [t for branch in value[1] for t in of(branch)]
+            elif name == "SUBPATTERN":
+                more = of(value[-1])
+            else:
+                assert name == "MAX_REPEAT" and value[:2] == (0, 1)
+                more = ["", *of(value[2])]
+            texts = [t + m for t in texts for m in more]
+        return texts
+
+    return of(parser.parse(pattern))
+
+
+def test_gates_ask_for_words_of_every_form():
+    """A rule's keywords stand in each text that its expression allows, so the gate hides none."""
+    for rule in licenses.rules():
+        for text in expansions(rule.pattern):
+            assert set(rule.needs) <= set(text.split()), (rule.label, text, rule.needs)
+
+
+def test_forms_behind_the_gate_are_found(spark):
+    texts = ["Simplified BSD License", "New BSD License", "Original BSD License", "The Software shall be used for Good, not Evil.",
+             "Governed by the Mozilla Public License 2.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licenses.scan_licenses(docs).collect()}
+    assert "bsd-2-clause" in got[0][0] and "bsd-3-clause" in got[1][0] and "bsd-4-clause" in got[2][0] and "jsr" in got[3][0]
+    assert got[4][0] == {"mpl-2"} and got[4][1] == 0.9
