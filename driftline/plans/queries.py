@@ -761,7 +761,7 @@ PAGE = 40
     SELECT CAST(feature_id AS VARCHAR) AS id, geom_id, kind AS interpolation, t, round(x, 6) AS x, round(y, 6) AS y,
         (SELECT count(*) FROM page) AS number_matched, least((SELECT count(*) FROM page), {PAGE}) AS number_returned,
         CASE WHEN (SELECT count(*) FROM page) > {PAGE} THEN 2 ELSE 1 END AS n_links, TIMESTAMP '{NOW}' AS made_at
-    FROM shown JOIN matched USING (feature_id) JOIN kept USING (geom_id)""")
+    FROM shown LEFT JOIN (SELECT * FROM matched JOIN kept USING (geom_id)) USING (feature_id)""")
 def _(d):
     """Every instant of the page, read back from the lines of its document."""
     query = V.item_query(PAGE, "260,60,200,40", f"{START}/{END}", sub_trajectory=True)
