@@ -13,6 +13,13 @@ class that a hash draws. A bucket with no more than ``ALL_PAIRS`` classes is com
 Candidate pairs are confirmed on the full sets: ``100 * |A and B| >= percent * |A or B|``.
 Components come from label propagation with pointer jumps over the confirmed links.
 
+The stars alone would lose links in families whose texts are seldom similar enough, so the rest
+is exact: in each larger bucket that still holds several components, every class outside the
+bucket's largest component is held against every class of another component there, in blocks of
+bounded size. A pair counts in the first bucket that it shares only; sizes and the number of bands
+shared rule most pairs out before any text moves. So no two sets that share a bucket stay apart
+without having been compared.
+
 A document without words or without text has an empty set and is linked with nothing. One with
 fewer words than ``width`` has its whole sequence as its one shingle. Rows that repeat a doc_id
 are one document if their sets are equal; otherwise each set is linked on its own and each row
@@ -23,6 +30,7 @@ doc_id and text are read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +49,10 @@ BINS, ROWS = 252, 6
 SMALL_SET, SEEDS = 96, 3
 #: Buckets of up to so many classes are compared pair by pair, larger ones as two stars.
 ALL_PAIRS = 4
+#: The rest goes in blocks of about so many classes and shingles, whichever fills up first.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: A pair is ruled out by its shared bands where similar sets share as few with this probability at most.
+UNLIKELY = 1e-5
 
 U = np.uint64
 
@@ -175,14 +187,23 @@ def similar(percent: int, width: int, a: Column, b: Column) -> Column:
     return confirmed(a, b)
 
 
+def shared_buckets(bands: DataFrame) -> DataFrame:
+    """Rows (class, key) of buckets with several classes, and the bucket's size ``n``."""
+    counts = cut_lineage(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    return cut_lineage(bands.join(counts, "key"))
+
+
 def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes from rows (class, key): stars in each bucket, no pair listed twice.
+    """Pairs (a, b) of classes from rows (class, key): stars in each bucket, no pair listed twice."""
+    return star_pairs(shared_buckets(bands))
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes from ``shared_buckets``: stars in each bucket, no pair listed twice.
 
     The most central class of a bucket is found by sums of bucket sizes, the drawn one by a hash
     of class and bucket; both are minima with partial results, so a hot bucket meets in no task.
     """
-    counts = cut_lineage(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut_lineage(bands.join(counts, "key"))
     weight = shared.groupBy("class").agg(F.sum("n").alias("weight"))
     placed = shared.join(weight, "class")
     drawn = F.xxhash64("class", "key")
@@ -226,6 +247,130 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def fewest_shared(percent: int, bins: int, rows: int) -> int:
+    """Bands that two similar sets share at least, but for a probability of ``UNLIKELY``; never below 1."""
+    n, p = bins // rows, (percent / 100) ** rows
+    chance, k = 0.0, 0
+    while k < n:
+        chance += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if chance > UNLIKELY:
+            break
+        k += 1
+    return max(1, k)
+
+
+def open_rows(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, class, root, minor): larger buckets that hold several components.
+
+    ``minor`` classes are those outside the bucket's largest component: of two classes of a
+    bucket in different components one is minor at least.
+    """
+    placed = shared.where(F.col("n") > ALL_PAIRS).join(roots, "class", "left")
+    placed = placed.select("key", "class", F.coalesce("root", "class").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "root"))["root"].alias("largest"), F.count("*").alias("several")
+    )
+    largest = largest.where("several > 1").select("key", "largest")
+    return placed.join(largest, "key").select("key", "class", "root", (F.col("root") != F.col("largest")).alias("minor"))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows of ``open_rows`` with size and bands, dealt to groups (key, i, j): minor block i against block j."""
+
+    def number(taken: Column) -> Column:
+        by_count = F.sum(taken.cast("long")) / BLOCK
+        by_size = F.sum(F.when(taken, F.col("size")).otherwise(0)) / BLOCK_SHINGLES
+        return F.ceil(F.greatest(by_count, by_size)).cast("int")
+
+    counts = rows.groupBy("key").agg(number(F.col("minor")).alias("left"), number(F.lit(True)).alias("right"))
+    dealt = rows.join(counts, "key")
+    place = F.xxhash64("class", "key")
+    asking = dealt.where("minor").select(
+        "key", F.pmod(place, "left").cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("j"),
+        F.lit(True).alias("asking"), "class", "root", "minor", "size", "bands",
+    )
+    asked = dealt.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"),
+        F.pmod(place, "right").cast("int").alias("j"),
+        F.lit(False).alias("asking"), "class", "root", "minor", "size", "bands",
+    )
+    return asking.unionByName(asked)
+
+
+def undecided(dealt: DataFrame, percent: int, fewest: int) -> DataFrame:
+    """(key, i, j, a, b): for each block the pairs a[k], b[k] that sizes and bands do not rule out."""
+
+    def matrix(bands: pd.Series, width: int, fill: int) -> np.ndarray:
+        out = np.full((len(bands), width), fill, np.int64)
+        for r, values in enumerate(bands):
+            out[r, : len(values)] = values
+        return out
+
+    def compared(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        key, i, j = group
+        q, o = rows[rows["asking"]], rows[~rows["asking"]]
+        width = max(map(len, rows["bands"]))
+        left, right = matrix(q["bands"], width, -1), matrix(o["bands"], width, -2)
+        shape = (len(q), len(o))
+        met, here, shares = np.zeros(shape, bool), np.zeros(shape, bool), np.zeros(shape, np.int16)
+        for t in range(width):
+            same = left[:, t, None] == right[None, :, t]
+            shares += same
+            if (left[:, t] == key).any():
+                here |= same & ~met & (left[:, t] == key)[:, None]
+            met |= same
+        x, y = q["size"].to_numpy()[:, None], o["size"].to_numpy()[None, :]
+        a, b = q["class"].to_numpy(), o["class"].to_numpy()
+        keep = here & (shares >= fewest) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+        keep &= q["root"].to_numpy()[:, None] != o["root"].to_numpy()[None, :]
+        keep &= (a[:, None] < b[None, :]) | ~o["minor"].to_numpy(bool)[None, :]
+        r, c = np.nonzero(keep)
+        found = [(key, i, j, a[r], b[c])] if len(r) else []
+        return pd.DataFrame(found, columns=["key", "i", "j", "a", "b"])
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(compared, "key long, i int, j int, a array<long>, b array<long>")
+
+
+def confirmed_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): pairs of ``undecided`` whose full sets are similar; each text moves once to a block."""
+
+    def confirm(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known = WordHashes()
+        sets = {c: shingle_set(t, width, known) for c, t in zip(right["class"], right["text"])}
+        known.clear()
+        order = {c: k for k, c in enumerate(sets)}
+        values, at = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
+        ends = np.cumsum([len(s) for s in sets.values()])
+        places = np.split(at, ends[:-1])
+        a, b = np.concatenate(list(left["a"])), np.concatenate(list(left["b"]))
+        by_a = np.argsort(a, kind="stable")
+        a, b = a[by_a], b[by_a]
+        mark, out = np.zeros(len(values), np.int64), []
+        for first, last in _runs(a):
+            own, others = places[order[a[first]]], [places[order[c]] for c in b[first:last]]
+            sizes = np.array([len(p) for p in others])
+            mark[own] = 1
+            both = np.add.reduceat(mark[np.concatenate(others)], np.cumsum(sizes) - sizes)
+            mark[own] = 0
+            hit = 100 * both >= percent * (len(own) + sizes - both)
+            out.append(pd.DataFrame({"a": a[first:last][hit], "b": b[first:last][hit]}))
+        give_back()
+        return pd.concat(out, ignore_index=True)
+
+    named = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.concat("a", "b"))).alias("class"))
+    moved = named.join(texts, "class").select("key", "i", "j", "class", "text").toDF("in_key", "in_i", "in_j", "class", "text")
+    there = moved.groupBy("in_key", "in_i", "in_j")
+    return pairs.groupBy("key", "i", "j").cogroup(there).applyInPandas(confirm, "a long, b long")
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(sorted_values)])
+
+
 def judged(docs: DataFrame, width: int, percent: int, bins: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, text_hash, component_id, kept: one row for each row of ``docs``."""
     ship(docs.sparkSession)
@@ -233,20 +378,35 @@ def judged(docs: DataFrame, width: int, percent: int, bins: int, rows: int) -> D
     sketched = docs.select("doc_id", hashed, sketch(F.col("text"), width, bins, rows).alias("s")).select("doc_id", "text_hash", "s.*")
     sketched = written(sketched, "sketches")
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("whole").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands")
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")
     )
     # Written, so that a class has the same number wherever it is read.
-    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "whole", "first", "bands"), "classes")
-    pairs = cut_lineage(candidate_pairs(classes.select("class", F.explode("bands").alias("key"))))
-
-    # Of all texts only those in a pair move, one for each class.
-    asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("class")
-    asked = classes.join(asked, "class", "left_semi").select("class", "first.doc_id", "first.text_hash")
-    texts = docs.select("doc_id", hashed, "text").join(asked, ["doc_id", "text_hash"])
-    texts = written(texts.groupBy("class").agg(F.min("text").alias("text")), "texts")
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "whole", "first", "bands", "size"), "classes")
+    shared = shared_buckets(classes.select("class", F.explode("bands").alias("key")))
+    pairs = cut_lineage(star_pairs(shared))
+
+    def texts_of(asked: DataFrame, name: str) -> DataFrame:
+        """Of all texts only those in a pair move, one for each class."""
+        asked = classes.join(asked.distinct(), "class", "left_semi").select("class", "first.doc_id", "first.text_hash")
+        texts = docs.select("doc_id", hashed, "text").join(asked, ["doc_id", "text_hash"])
+        return written(texts.groupBy("class").agg(F.min("text").alias("text")), name)
+
+    texts = texts_of(pairs.select("a").union(pairs.select("b")).toDF("class"), "texts")
     left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
     links = pairs.join(left, "a").join(right, "b").where(similar(percent, width, F.col("left"), F.col("right")))
-    roots = cut_lineage(components(links.select("a", "b")))
+    links = cut_lineage(links.select("a", "b"))
+    roots = cut_lineage(components(links))
+
+    # The rest of the larger buckets.
+    still = cut_lineage(open_rows(shared, roots))
+    if not still.isEmpty():
+        dealt = blocks(still.join(classes.select("class", "size", "bands"), "class"))
+        rest = written(undecided(dealt, percent, fewest_shared(percent, bins, rows)), "rest")
+        if not rest.isEmpty():
+            asked = texts_of(rest.select(F.explode(F.concat("a", "b")).alias("class")), "rest_texts")
+            more = cut_lineage(confirmed_links(rest, asked, width, percent))
+            if not more.isEmpty():
+                roots = cut_lineage(components(links.union(more)))
     # A component is called by the smallest doc_id of all its classes.
     firsts = classes.select("class", "first.doc_id")
     names = roots.join(firsts, "class").groupBy("root").agg(F.min("doc_id").alias("name"))

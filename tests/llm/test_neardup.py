@@ -65,6 +65,62 @@ def test_families_of_near_copies(spark):
     compare(spark, ids, texts)
 
 
+def private_edits(draw, copies, words, edits, shared):
+    """Texts of one base with ``edits`` words changed in each, most pairs just below the limit; ``shared`` pairs are near."""
+    base = [f"w{draw.randint(0, 10**6)}" for _ in range(words)]
+    texts = []
+    for k in range(copies):
+        near = k % shared == 1
+        w = texts[-1].split() if near else list(base)
+        for at in draw.sample(range(words), 2 if near else edits):
+            w[at] = f"new{draw.randint(0, 10**9)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_sparse_links_in_a_large_family_are_all_found(spark):
+    """Most pairs of a family of 300 stand below the limit; each of the few links is found, in blocks of any size."""
+    draw = random.Random(31)
+    texts = private_edits(draw, 300, 400, 9, 10)
+    ids = list(range(len(texts)))
+    draw.shuffle(ids)
+    compare(spark, ids, texts)
+
+
+def test_blocks_of_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 4000)
+    draw = random.Random(32)
+    texts = private_edits(draw, 120, 300, 7, 6) + private_edits(draw, 60, 40, 1, 6) + cases.sentences(33, 20)
+    compare(spark, list(range(len(texts))), texts)
+
+
+def test_links_between_similar_and_unlike_pairs_need_no_star(spark):
+    """What the stars decide is not needed: with every link taken away the rest alone finds all components."""
+    draw = random.Random(34)
+    texts = private_edits(draw, 90, 300, 2, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(
+        docs["doc_id"].alias("class"), "text", neardup.sketch(docs["text"], 5, neardup.BINS, neardup.ROWS).alias("s")
+    ).selectExpr("class", "text", "s.n_shingles AS size", "s.bands AS bands")
+    shared = neardup.shared_buckets(rows.selectExpr("class", "explode(bands) AS key"))
+    still = neardup.open_rows(shared, spark.createDataFrame([], "class long, root long"))
+    dealt = neardup.blocks(still.join(rows.drop("text"), "class"))
+    pairs = neardup.undecided(dealt, 85, neardup.fewest_shared(85, neardup.BINS, neardup.ROWS))
+    found = [(r.a, r.b) for r in neardup.confirmed_links(pairs, rows.select("class", "text"), 5, 85).collect()]
+    assert len(found) == len(set(found))
+    sets = brute_sets(texts)
+    want = {(a, b) for b in range(90) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    sizes = {r.key: r.n for r in shared.select("key", "n").distinct().collect()}
+    keys = {r["class"]: r.bands for r in rows.collect()}
+
+    def first_shared(a, b):
+        return next((sizes[k] for k, m in zip(keys[a], keys[b]) if k == m), 0)
+
+    assert {tuple(sorted(p)) for p in found} == {p for p in want if first_shared(*p) > neardup.ALL_PAIRS}
+    assert len(found) > 10
+
+
 def test_a_chain_is_one_component(spark):
     words = [f"w{i}" for i in range(240)]
     texts = [" ".join(words[i * 3 : i * 3 + 150]) for i in range(30)]
