@@ -50,7 +50,7 @@ SMALL_SET, SEEDS = 96, 3
 #: Buckets of up to so many classes are compared pair by pair, larger ones as two stars.
 ALL_PAIRS = 4
 #: The rest goes in blocks of about so many classes and shingles, whichever fills up first.
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 #: A pair is ruled out by its shared bands where similar sets share as few with this probability at most.
 UNLIKELY = 1e-5
 
@@ -403,7 +403,7 @@ def judged(docs: DataFrame, width: int, percent: int, bins: int, rows: int) -> D
         dealt = blocks(still.join(classes.select("class", "size", "bands"), "class"))
         rest = written(undecided(dealt, percent, fewest_shared(percent, bins, rows)), "rest")
         if not rest.isEmpty():
-            asked = texts_of(rest.select(F.explode(F.concat("a", "b")).alias("class")), "rest_texts")
+            asked = texts_of(rest.select(F.explode(F.array_distinct(F.concat("a", "b"))).alias("class")), "rest_texts")
             more = cut_lineage(confirmed_links(rest, asked, width, percent))
             if not more.isEmpty():
                 roots = cut_lineage(components(links.union(more)))
