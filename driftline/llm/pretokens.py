@@ -123,21 +123,56 @@ class Parts:
                 self.memory.keep(word, known)
         return known
 
-    def encoded(self, text: str) -> bytes:
-        """All parts of a text encoded and joined.
+    def stretches(self, text: str) -> tuple[list[str], bool]:
+        """A text cut into words, or into parts (then true).
 
         A lone space between other signs always starts a part: such texts go word by word.
         """
-        if not text:
-            return b""
         found = [c for c in SPACES if c in text]
         if (
             text[0] == " " or text[-1] == " " or "  " in text or text[0] in found or text[-1] in found
             or any(f"{c} " in text or f" {c}" in text for c in found)
         ):
-            return b"".join(map(self.part, self.of(text)))
+            return self.of(text), True
         first, *rest = text.split(" ")
-        remembered, word = self.memory.get, self.word
-        packed = [word(first)]
-        packed += [remembered(w) or word(w) for w in [" " + w for w in rest]]
-        return b"".join(packed)
+        return [first, *[" " + w for w in rest]], False
+
+    def encoded(self, text: str) -> bytes:
+        """All parts of a text encoded and joined."""
+        if not text:
+            return b""
+        found, are_parts = self.stretches(text)
+        remembered, other = self.memory.get, self.part if are_parts else self.word
+        return b"".join([remembered(w) or other(w) for w in found])
+
+    def encoded_together(self, texts: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The same for many texts: what none of them and no earlier text held is encoded by one call of ``encode``."""
+        cut = [self.stretches(t) if t else ([], True) for t in texts]
+        known: dict[str, bytes] = {}
+        words: dict[str, list[str]] = {}
+        new: dict[str, None] = {}
+        for are_parts in (True, False):
+            for w in set().union(*(found for found, parts in cut if parts == are_parts)):
+                value = self.memory.get(w) or self.memory.recall(w)
+                if value is not None:
+                    known[w] = value
+                elif are_parts or (w[1:] if w[:1] == " " else w).isalpha():
+                    new[w] = None
+                elif w not in new:
+                    words[w] = self.of(w)
+        for p in set().union(*words.values()):
+            if p not in known and p not in new:
+                value = self.memory.get(p) or self.memory.recall(p)
+                if value is None:
+                    new[p] = None
+                else:
+                    known[p] = value
+        fresh = dict(zip(new, encode(list(new))))
+        known |= fresh
+        whole = {w: b"".join(map(known.__getitem__, parts)) for w, parts in words.items()}
+        known |= whole
+        for made in (fresh, whole):
+            for w, value in made.items():
+                if len(w) <= LONGEST_REMEMBERED:
+                    self.memory.keep(w, value)
+        return [b"".join(map(known.__getitem__, found)) for found, _ in cut]

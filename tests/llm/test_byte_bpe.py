@@ -58,6 +58,61 @@ def test_fuzz_equals_library():
             assert mine.decode(mine.encode(text)) == text.encode()
 
 
+def test_parts_of_one_queue_equal_parts_alone(tmp_path, monkeypatch):
+    """Ranks drawn at random (odd seeds), so that merges often make pairs of lower ranks, or rising; merges that overlap."""
+    monkeypatch.setattr(byte_bpe, "FEW", 1)
+    left_alone = 0
+    for seed in range(25):
+        draw = random.Random(seed)
+        tokens = {bytes([b]): b for b in range(256)}
+        free = draw.sample(range(256, 900), 200)
+        if seed % 2 == 0:
+            free.sort(reverse=True)
+        while free:
+            made = draw.choice([t for t in tokens if t <= b"d" * 9 and t >= b"a"][:40]) + draw.choice([b"a", b"b", b"ab", b"aa"])
+            tokens.setdefault(made, free.pop())
+        file = tmp_path / f"{seed}.tiktoken"
+        file.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in tokens.items()))
+        mine = byte_bpe.Encoder(str(file))
+        parts = ["".join(draw.choice("aaabcd") for _ in range(draw.randint(1, 80))) for _ in range(400)]
+        want = [mine.merged(p.encode()) for p in parts]
+        alone = []
+        merged = mine.merged
+        mine.merged = lambda data: alone.append(data) or merged(data)
+        assert [ids(p) for p in mine.encode_parts(parts)] == want
+        left_alone += sum(len(p) <= byte_bpe.SHORT and p not in tokens for p in alone)
+        monkeypatch.setattr(byte_bpe, "SHARED", draw.choice([50, 1_000_000]))
+        assert [ids(p) for p in mine.encode_parts(parts)] == want
+    assert 0 < left_alone < 25 * 400 * 0.7
+
+
+def test_texts_together_equal_library(monkeypatch):
+    """In blocks, with a small memory, with texts that are cut into words and texts that are not."""
+    monkeypatch.setattr(pretokens, "REMEMBERED", 40)
+    for few, block in ((1, 60), (1, 10_000), (10**9, 500)):
+        monkeypatch.setattr(byte_bpe, "FEW", few)
+        monkeypatch.setattr(byte_bpe, "TEXT_BLOCK", block)
+        draw, mine, theirs = random.Random(5), byte_bpe.Encoder(byte_bpe.default_path()), library()
+        pool = ["a", "the", "ing", "thonion", "erhend", " ", " ", " ", "  ", ".", ",", "\n", "'s", "é", "文", "1", "aaaa", "x" * 70, "\u088f"]
+        texts = ["".join(draw.choice(pool) for _ in range(draw.randint(0, 40))) for _ in range(400)]
+        assert [ids(p) for p in mine.encode_all(texts)] == [theirs.encode_ordinary(t) for t in texts]
+        assert max(map(len, (mine.parts.memory, mine.parts.memory.old))) <= 40
+
+
+def test_new_words_take_a_few_steps_together():
+    """Most words of the corpora are met once only: their merges must not be a loop of their own."""
+    draw, mine = random.Random(9), byte_bpe.Encoder(byte_bpe.default_path())
+    syllables = ["th", "en", "in", "er", "on", "tion", "ing", "st", "ea", "ou", "ed", "hand", "ly", "ble"]
+    words = sorted({"".join(draw.choice(syllables) for _ in range(draw.randint(2, 6))) for _ in range(30_000)})
+    calls = []
+    merged = mine.merged
+    mine.merged = lambda data: calls.append(data) or merged(data)
+    got = mine.encode_all([" ".join(words[i : i + 100]) for i in range(0, len(words), 100)])
+    alone = [w for w in calls if w not in mine.ranks]
+    assert len(words) > 15_000 and len(alone) < len(words) / 100
+    assert [ids(p) for p in got] == [library().encode_ordinary(" ".join(words[i : i + 100])) for i in range(0, len(words), 100)]
+
+
 def test_letters_of_all_planes():
     draw, mine, theirs = random.Random(11), byte_bpe.Encoder(byte_bpe.default_path()), library()
     newer = [c for a, b in pretokens.NEWER_LETTERS + pretokens.NEWER_NUMBERS for c in {a, b, (a + b) // 2}]
