@@ -36,6 +36,8 @@ from driftline.session import cut_lineage
 
 TRAIN_DOCS, ROUNDS = 600, 2
 LONGEST, REMEMBERED, TEXT_BLOCK = 32, 300_000, 1_000_000
+#: Words whose segmentations are in memory at a time: some 5 KB each.
+AT_ONCE = 2_000
 #: Weight of the shared counts, and probability of a letter outside the vocabulary.
 SMOOTH, UNKNOWN = 500.0, 1e-7
 UNDEFINED, CONFIDENT = "und", 0.5
@@ -150,8 +152,10 @@ def training_words(docs: DataFrame, folds: int, left_out: int) -> DataFrame:
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id"]).where("lang = of")
 
     @F.pandas_udf("array<string>")
-    def parted(found: pd.Series) -> pd.Series:
-        return found.map(words)
+    def parted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for found in batches:
+            yield found.map(words)
+        give_back()
 
     each = texts.select("lang", F.explode(parted(F.coalesce("text", F.lit("")))).alias("word"))
     return each.groupBy("lang", "word").agg(F.count("*").alias("n"))
@@ -176,11 +180,14 @@ def train(docs: DataFrame, folds: int = 5, left_out: int = 0, path: str | None =
             segmenter = Segmenter(names)
             for batch in batches:
                 for lang, rows in batch.groupby("lang"):
-                    for at in range(0, len(rows), 20_000):
-                        some = rows.iloc[at : at + 20_000]
-                        found = segmenter.expected(some["word"].tolist(), some["n"].to_numpy(float), p[:, [langs.index(lang)]])
-                        hit = np.flatnonzero(found)
-                        yield pd.DataFrame({"lang": lang, "piece": hit, "n": found[hit]})
+                    found = np.zeros(len(names) + 1)
+                    for at in range(0, len(rows), AT_ONCE):
+                        some = rows.iloc[at : at + AT_ONCE]
+                        found += segmenter.expected(some["word"].tolist(), some["n"].to_numpy(float), p[:, [langs.index(lang)]])
+                    hit = np.flatnonzero(found)
+                    yield pd.DataFrame({"lang": lang, "piece": hit, "n": found[hit]})
+            del segmenter
+            give_back()
 
         # A number for each language and piece of the fixed vocabulary comes to the driver.
         summed = counted.mapInPandas(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
@@ -210,10 +217,11 @@ class Scorer:
         if len(self.place) + len(new) > REMEMBERED and self.place:
             self.place, self.known = {}, self.known[:0]
             new = list({w for found in parted for w in found})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some))))
-            self.known = np.vstack([self.known, self.segmenter.forward(some, self.model.probabilities)])
+        found = []
+        for at in range(0, len(new), AT_ONCE):
+            found.append(self.segmenter.forward(new[at : at + AT_ONCE], self.model.probabilities))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.known = np.vstack([self.known, *found])
         sums = np.full((len(texts), len(self.model.languages)), np.nan)
         for i, found in enumerate(parted):
             if found:

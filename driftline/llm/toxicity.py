@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import fold, lower_ascii, ship
+from driftline.llm.common import fold, give_back, lower_ascii, ship
 from driftline.llm.quality import training_rows
 from driftline.session import cut_lineage
 
@@ -98,6 +99,12 @@ def _padded(word: bytes) -> bytes:
     return word + hashlib.blake2b(word, digest_size=PADDED).digest()[: max(2, PADDED - len(word))]
 
 
+def forget() -> None:
+    """Frees what a task has remembered: workers outlive it."""
+    _padded.cache_clear()
+    give_back()
+
+
 def expanded(data: bytes) -> bytes:
     """Text in lower case with its short words made long enough to be matched."""
     return SHORT.sub(lambda m: _padded(m[0]), data)
@@ -177,11 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, left_out: int = 2)
     pairs = docs.sparkSession.sparkContext.broadcast([[contents(*r, size) for size in SIZES] for r in ranked])
 
     @F.pandas_udf("array<double>")
-    def tried(texts: pd.Series, halves: pd.Series) -> pd.Series:
+    def tried(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         both = [[(compressor(t), compressor(o)) for t, o in of_half] for of_half in pairs.value]
-        return pd.Series([
-            [d for t, o in both[half] for d in largest_distances(text, t, o)] for text, half in zip(texts, halves)
-        ])
+        for texts, halves in batches:
+            yield pd.Series([
+                [d for t, o in both[half] for d in largest_distances(text, t, o)] for text, half in zip(texts, halves)
+            ])
+        forget()
 
     # At most twice TRAIN_ROWS rows of a few numbers come to the driver.
     found = rows.select("y", tried("text", F.pmod("h", F.lit(2)).cast("int")).alias("d")).toPandas()
@@ -207,11 +216,13 @@ def toxicity(text: Column, spark, model: Model | None) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         t, o = compressor(m.toxic), compressor(m.ordinary)
-        x = np.array([largest_distances(text, t, o) for text in texts], float).reshape(len(texts), TOP)
-        return pd.Series(probability(x, np.array(m.weights)))
+        for texts in batches:
+            x = np.array([largest_distances(text, t, o) for text in texts], float).reshape(len(texts), TOP)
+            yield pd.Series(probability(x, np.array(m.weights)))
+        forget()
 
     return score(F.coalesce(text, F.lit("")))
 

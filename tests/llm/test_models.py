@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -162,3 +163,27 @@ def test_predictions_do_not_depend_on_other_columns(spark):
     b = swapped.select("doc_id", toxicity.toxicity(swapped["text"], spark, model).alias("s")).toPandas()
     merged = pd.merge(a, b.assign(doc_id=b["doc_id"] - 1000000), on="doc_id")
     assert (merged["s_x"] == merged["s_y"]).all()
+
+
+def test_language_memory_of_many_new_words():
+    """Words never met before take their segmentations' memory a few at a time; scores are the same."""
+    import tracemalloc
+
+    draw = random.Random(4)
+    vocabulary = language.pieces(language.default_path())
+    chances = np.random.default_rng(1).random((len(vocabulary) + 1, 4)) / len(vocabulary)
+    new = sorted({"".join(draw.choice("abcdefghinorst") for _ in range(draw.randint(8, 14))) for _ in range(20_000)})
+    scorer = language.Scorer(language.Model(list("abcd"), vocabulary, chances))
+    tracemalloc.start()
+    got = scorer.block([" ".join(new)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    assert np.allclose(got[0], scorer.segmenter.forward(new, chances).sum(axis=0))
+
+
+def test_toxicity_forgets_words_after_a_task():
+    toxicity.expanded(b" some of a few short words ")
+    assert toxicity._padded.cache_info().currsize
+    toxicity.forget()
+    assert not toxicity._padded.cache_info().currsize
