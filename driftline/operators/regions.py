@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import segment_meets_box
-from driftline.operators.sequence import neighbours, with_chunk
+from driftline.operators.sequence import CHUNK, neighbours, with_chunk
 from driftline.operators.temporal import KEY, POSITION
 
 LEVELS = 8
@@ -89,6 +89,18 @@ def box_pairs(left: DataFrame, right: DataFrame, finest: float) -> DataFrame:
     return met.drop(*[f"{p}_{c}" for p in "lr" for c in ("level", "grid", "cx", "cy")])
 
 
+def _named_boxes(regions: DataFrame) -> DataFrame:
+    """Add ``_box``: the least id among the regions that have just this box, its own for a region of several boxes."""
+    extent = ("xmin", "ymin", "xmax", "ymax")
+    alone = F.count("*").over(Window.partitionBy("region_id")) == 1
+    least = F.min("region_id").over(Window.partitionBy(*extent, "_alone"))
+    return (
+        regions.withColumn("_alone", alone & F.col("region_id").isNotNull())
+        .withColumn("_box", F.when(F.col("_alone"), least).otherwise(F.col("region_id")))
+        .drop("_alone")
+    )
+
+
 def region_visits(
     instants: DataFrame,
     regions: DataFrame,
@@ -99,22 +111,39 @@ def region_visits(
     """Each (path, region) that meet: number of segments in contact and first such time.
 
     ``regions`` has ``region_id`` and extent columns. Segments meet regions in the grid
-    join; the exact test follows on the pairs, and partial counts run before the
-    exchange on (path, region).
+    join; the exact test follows on the pairs. Regions of one and the same box are met
+    once, under the least of their ids, and every one of them gets the result. Contacts
+    are counted where the segments of a path lie, by (path, chunk, box), so they need no
+    exchange while the boxes are broadcast; the counts of a large path's chunks are
+    added up afterwards.
     """
+    key, extent = list(key), ["xmin", "ymin", "xmax", "ymax"]
     rows = neighbours(with_chunk(instants, [*key, "t", "x", "y"]), key, POSITION, **chunking)
     x2, y2 = F.coalesce("next.x", "x"), F.coalesce("next.y", "y")
     segments = rows.select(
-        *key, "t", F.col("x").alias("x1"), F.col("y").alias("y1"), x2.alias("x2"), y2.alias("y2"),
+        *key, CHUNK, "t", F.col("x").alias("x1"), F.col("y").alias("y1"), x2.alias("x2"), y2.alias("y2"),
         F.least("x", x2).alias("xmin"), F.least("y", y2).alias("ymin"),
         F.greatest("x", x2).alias("xmax"), F.greatest("y", y2).alias("ymax"),
     )
-    pairs = box_pairs(segments, regions.select("region_id", "xmin", "ymin", "xmax", "ymax"), finest)
+    named = _named_boxes(regions.select("region_id", *extent))
+    boxes = named.filter(F.col("region_id").eqNullSafe(F.col("_box"))).select("_box", *extent)
     exact = segment_meets_box(
         *[F.col(c) for c in ("x1", "y1", "x2", "y2", "r_xmin", "r_ymin", "r_xmax", "r_ymax")]
     )
+
+    def contacts(some: Column) -> DataFrame:
+        met = box_pairs(segments.filter(some), boxes, finest).filter(exact)
+        return met.groupBy(*key, CHUNK, "_box").agg(F.count("*").alias("n_segments"), F.min("t").alias("first_contact"))
+
+    ordinary = contacts(F.col(CHUNK).isNull()).drop(CHUNK)
+    large = (
+        contacts(F.col(CHUNK).isNotNull())
+        .groupBy(*key, "_box")
+        .agg(F.sum("n_segments").alias("n_segments"), F.min("first_contact").alias("first_contact"))
+    )
+    members = named.select("region_id", F.col("_box").alias("_of")).distinct()
     return (
-        pairs.filter(exact)
-        .groupBy(*key, "region_id")
-        .agg(F.count("*").alias("n_segments"), F.min("t").alias("first_contact"))
+        ordinary.unionByName(large)
+        .join(members, F.col("_box").eqNullSafe(F.col("_of")))
+        .select(*key, "region_id", "n_segments", "first_contact")
     )

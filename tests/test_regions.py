@@ -86,3 +86,27 @@ def test_boxes_of_any_size_list_a_bounded_number_of_cells(spark):
     got = sorted((r.a, r.b) for r in G.box_pairs(a, b, 1.0).select("a", "b").collect())
     want = sorted((p[0], q[0]) for p in left for q in right if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
     assert got == want
+
+
+def test_regions_of_one_box_are_met_once(spark, monkeypatch):
+    """Copies of a box share its work; ids given twice, ids of several boxes, null ids and chunked paths count as before."""
+    from driftline.operators import regions as G
+
+    boxes = [(r, 10.0 * (r % 3), 0.0, 10.0 * (r % 3) + 5, 4.0) for r in range(60)]
+    boxes += [(100, 0.0, 0.0, 5.0, 4.0), (100, 10.0, 0.0, 15.0, 4.0), (101, 0.0, 0.0, 5.0, 4.0), (101, 0.0, 0.0, 5.0, 4.0)]
+    boxes += [(None, 0.0, 0.0, 5.0, 4.0), (None, 20.0, 0.0, 25.0, 4.0), (102, None, 0.0, 5.0, 4.0)]
+    regions = spark.createDataFrame(boxes, "region_id long, xmin double, ymin double, xmax double, ymax double")
+    rows = [(g, datetime(2024, 1, 1) + timedelta(minutes=i), 3.0 * i, float(g)) for g in range(6) for i in range(9)]
+    paths = spark.createDataFrame(rows, "geom_id long, t timestamp, x double, y double")
+    want = {}
+    for g, t, x, y in rows:
+        for r, xmin, ymin, xmax, ymax in boxes:
+            if xmin is not None and y <= ymax and x <= xmax and min(x + 3, 24.0) >= xmin:
+                n, first = want.get((g, r), (0, t))
+                want[(g, r)] = (n + 1, min(first, t))
+    met, plain = [], G.box_pairs
+    monkeypatch.setattr(G, "box_pairs", lambda left, right, finest: met.append(right) or plain(left, right, finest))
+    for chunking in ({}, {"max_rows": 4}):
+        got = region_visits(paths, regions, finest=4.0, **chunking).collect()
+        assert {(r.geom_id, r.region_id): (r.n_segments, r.first_contact) for r in got} == want and len(got) == len(want)
+    assert {right.count() for right in met} == {3 + 6 + 1}  # three boxes for 60 ids, those of 100, 101 and null, one unknown
