@@ -64,19 +64,21 @@ class Encoder:
             self.merge[a, b] = rank
             self.halves.setdefault(made, (rank, a, b))
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.fits: dict[int, bool] = {}  # by both ids in one number
+        self.fits: dict[int, dict[int, bool]] = {}  # of each token that ends a prefix, by the token before it
+        self.tested = 0
         self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
             if len(token) == 1 or (h := self.halves.get(i)) and self.first_across(h[1], h[2]) == h[0]:
-                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+                self.fits[i] = {}
+                self.automaton.add_word(token.decode("latin-1"), (i, len(token), self.fits[i]))
         self.automaton.make_automaton()
+        self.edges.clear()
         self.parts = Parts(self.encode_part)
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
 
     def forget(self) -> None:
-        """Frees what is remembered: workers outlive their tasks."""
+        """Frees the words that are remembered: workers outlive their tasks. Pair tests, of bounded number, stay."""
         self.parts.forget()
-        self.fits.clear()
         self.edges.clear()
         give_back()
 
@@ -106,32 +108,35 @@ class Encoder:
         return first
 
     def may_follow(self, a: int, b: int) -> bool:
-        if len(self.fits) > 2 * REMEMBERED:
-            self.fits.clear()
-        fits = self.fits[a << 32 | b] = self.first_across(a, b) == float("inf")
+        if self.tested >= 2 * REMEMBERED:
+            self.tested = 0
+            for known in self.fits.values():
+                known.clear()
+        self.tested += 1
+        fits = self.fits[b][a] = self.first_across(a, b) == float("inf")
         return fits
 
     def encode_part(self, part: str) -> bytes:
         """Ids of a part of text, by the last token of each of its prefixes."""
         letters = part.encode().decode("latin-1")
-        at = len(letters)
+        at = len(letters) - 1
         last, size_of = [0] * (at + 1), [0] * (at + 1)
-        fits, may_follow = self.fits.get, self.may_follow
-        for end, (token, size) in self.automaton.iter(letters):
-            end += 1
-            if size_of[end]:
+        done, may_follow = -1, self.may_follow
+        for end, (token, size, known) in self.automaton.iter(letters):
+            if end == done:
                 continue
-            if end != size:
+            if end >= size:
                 before = last[end - size]
-                ok = fits(before << 32 | token)
-                if ok is None:
-                    ok = may_follow(before, token)
-                if not ok:
+                if before in known:
+                    if not known[before]:
+                        continue
+                elif not may_follow(before, token):
                     continue
             last[end] = token
             size_of[end] = size
+            done = end
         ids = []
-        while at:
+        while at >= 0:
             ids.append(last[at])
             at -= size_of[at]
         ids.reverse()

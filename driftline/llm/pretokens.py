@@ -29,6 +29,9 @@ NEWER_LETTERS = (
 )
 NEWER_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
 
+#: Signs that are a part of their own where they end a word of letters.
+SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
 #: Entries of each half of a memory (some 25 MB), and the longest key that is kept.
 REMEMBERED = 120_000
 LONGEST_REMEMBERED = 64
@@ -111,8 +114,11 @@ class Parts:
     def word(self, word: str) -> bytes:
         """Of a stretch of text at whose ends the pattern cuts anyway.
 
-        Python's letters are all in the libraries' older tables too: a word of them alone is one part.
+        Python's letters are all in the libraries' older tables too: a word of them alone is one part, and
+        one sign after them another. Such a word takes no place in the memory beside its parts.
         """
+        if word[-1:] in SIGNS and (word[1:-1] if word[0] == " " else word[:-1]).isalpha():
+            return self.part(word[:-1]) + self.part(word[-1])
         known = self.memory.recall(word)
         if known is None:
             if (word[1:] if word[:1] == " " else word).isalpha():

@@ -72,3 +72,33 @@ def test_query_decodes_to_the_text(spark):
 
     got = {r.doc_id: r.decoded_sha256 for r in QUERIES["op2_bpe"](spark, cases.SMALL).collect()}
     assert got == want
+
+
+def test_words_before_a_sign():
+    """A word and the sign after it are remembered as two parts, not as a third entry; any sign parts as the library does."""
+    draw, mine, theirs = random.Random(23), bpe.Encoder(bpe.default_path()), library()
+    mine.encode("Sonne, Mond. Sonne.")
+    assert set(mine.parts.memory) == {"Sonne", " Mond", " Sonne", ",", "."}
+    signs = [chr(c) for c in range(33, 127)] + ["²", "–", "文", "́", "'s", "'", ""]
+    words = ["Sonne", "été", "x", "文字", "ʻa", "ǅ", "ª", "\U00018d9a", "a\nb", "", "7", "s", "́"]
+    for _ in range(3000):
+        text = " ".join(draw.choice(words) + draw.choice(signs) for _ in range(draw.randint(1, 6)))
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pair_tests_outlive_a_task(monkeypatch):
+    """What two tokens side by side gave is kept between tasks, up to its bound; the words are not."""
+    mine, theirs = bpe.Encoder(bpe.default_path()), library()
+    text = " ".join(cases.sentences(5, 40))
+    want = theirs.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(mine.encode(text), "<u4").tolist() == want
+    mine.forget()
+    tried = []
+    plain = mine.first_across
+    monkeypatch.setattr(mine, "first_across", lambda a, b: tried.append((a, b)) or plain(a, b))
+    assert not mine.parts.memory and not mine.edges
+    assert np.frombuffer(mine.encode(text), "<u4").tolist() == want and not tried
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)
+    for more in cases.sentences(6, 40):
+        assert np.frombuffer(mine.encode(more), "<u4").tolist() == theirs.encode(more, add_special_tokens=False).ids
+        assert mine.tested == sum(map(len, mine.fits.values())) <= 8 and tried
