@@ -295,7 +295,7 @@ def _(d):
         AND least(y, coalesce(ny, y)) <= ymax AND greatest(y, coalesce(ny, y)) >= ymin
     WHERE {S.hit('xmin', 'ymin', 'xmax', 'ymax')} GROUP BY geom_id, region_id""")
 def _(d):
-    return region_visits(d.paths, d.regions, finest=8.0)
+    return region_visits(plain_times(d.paths), d.regions, finest=8.0)
 
 
 # Reports
